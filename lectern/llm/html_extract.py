@@ -196,6 +196,16 @@ LABELLED = """
 40  0.0  3   0.0  5   1.0  0 2 1
 8   0.0  0   0.0  2   1.0  0 2 1
 2   0.0  9   0.0  14  0.9  0 2 1
+4   0.0  30  0.2  6   0.0  0 2 1
+11  0.0  12  0.1  5   0.0  0 2 1
+3   0.0  2   1.0  4   0.3  0 2 1
+7   0.3  8   0.6  9   0.7  0 2 1
+15  0.1  3   0.9  1   1.0  0 2 1
+2   0.5  20  0.4  12  0.2  0 2 1
+22  0.6  70  0.7  3   0.5  0 2 1
+1   0.0  1   1.0  1   1.0  0 2 1
+50  0.4  2   0.8  26  0.1  0 2 1
+9   0.8  15  0.3  18  0.9  0 2 1
 1   1.0  0   0.0  1   1.0  0 0 0
 2   1.0  2   1.0  3   1.0  0 0 0
 4   1.0  3   1.0  60  0.0  0 0 0
