@@ -177,6 +177,19 @@ LABELLED = """
 60  0.0  7   0.0  30  0.0  0 1 0
 1   1.0  1   1.0  1   1.0  0 1 0
 9   0.1  120 0.0  0   0.0  0 1 0
+30  0.0  60  0.0  0   0.0  0 1 0
+12  0.0  45  0.0  20  0.0  0 1 0
+4   0.0  90  0.0  50  0.0  0 1 0
+70  0.0  40  0.0  80  0.0  0 1 0
+15  0.0  0   0.0  60  0.0  0 1 0
+6   0.0  5   0.0  0   0.0  0 1 0
+25  0.2  30  0.0  1   0.0  0 1 0
+2   0.0  70  0.0  33  0.0  0 1 0
+45  0.1  50  0.0  42  0.0  0 1 0
+1   0.0  33  0.0  1   0.0  0 1 0
+120 0.0  2   0.0  65  0.0  0 1 0
+80  0.0  9   0.0  90  0.1  0 1 0
+18  0.0  20  0.0  36  0.0  0 1 0
 1   0.0  8   0.0  50  0.0  0 2 1
 8   0.0  9   0.0  70  0.0  0 2 1
 10  0.0  8   0.0  2   0.0  0 2 1
