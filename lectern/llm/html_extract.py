@@ -172,6 +172,12 @@ LABELLED = """
 3   1.0  2   1.0  4   1.0  1 0 0
 12  0.0  3   1.0  60  0.0  1 0 0
 45  0.0  80  0.0  9   0.0  1 0 0
+60  0.0  20  0.0  30  0.0  1 0 0
+30  0.0  0   0.0  50  0.0  1 0 0
+10  0.0  40  0.0  60  0.0  1 0 0
+90  0.0  60  0.0  45  0.0  1 0 0
+26  0.0  35  0.0  0   0.0  1 0 0
+7   0.0  12  0.0  33  0.0  1 0 0
 5   0.0  0   0.0  2   1.0  0 1 0
 20  0.0  8   0.0  9   0.0  0 1 0
 60  0.0  7   0.0  30  0.0  0 1 0
@@ -241,6 +247,11 @@ LABELLED = """
 9   0.0  0   0.0  55  0.0  0 0 1
 80  0.0  0   0.0  0   0.0  0 0 1
 6   0.0  0   0.0  0   0.0  0 0 1
+50  0.0  90  0.0  70  0.0  0 0 1
+3   0.0  120 0.0  8   0.0  0 0 1
+10  0.0  75  0.1  60  0.0  0 0 1
+28  0.0  2   1.0  35  0.0  0 0 1
+40  0.1  3   0.9  4   0.0  0 0 1
 14  0.3  60  0.0  35  0.0  0 0 1
 18  0.0  40  0.0  2   0.9  0 0 1
 """
