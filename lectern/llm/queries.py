@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, lang_id, token_store
+from . import chat_format, exact_dedup, html_extract, lang_id, substring_dedup, token_store
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
@@ -37,6 +38,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(turns))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.write_store(table(spark, sf_dir, "documents"), vocabulary())
     return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lang_id": op2_lang_id,
     "op3_chat_format": op3_chat_format,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_token_store": op8_token_store,
     "op10_html_extract": op10_html_extract,
 }
