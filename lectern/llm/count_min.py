@@ -1,9 +1,9 @@
 """A count-min sketch built in parts over a DataFrame and merged block by block.
 
 Each task counts the cells that its hashes fall into and sends, for each block of cells, the sorted cells it touched as
-compressed differences, with a bit for those it touched more than once. Blocks are merged on the executors; what
-leaves them is one bit a cell: touched at least twice in all. An item is estimated repeated if that bit is set in every row,
-so an item that occurs twice is never missed, and one that occurs once is reported only by collision.
+compressed differences, with their counts. Blocks are merged on the executors; what leaves them is one bit a cell: touched
+at least `least` times in all. An item is estimated frequent if that bit is set in every row, so an item that occurs so
+often is never missed, and any other is reported only by collision.
 
 The merged bits are gathered and broadcast; their size is chosen from the number of items but never exceeds
 DEPTH * 2**most_bits / 8 bytes. Past that bound the estimates get looser, never wrong.
@@ -35,22 +35,23 @@ def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return x & np.uint64((1 << bits) - 1)
 
 
-def pack_sorted(x: np.ndarray, flags: np.ndarray) -> bytes:
-    """Sorted distinct cells of a block and a flag for each, as compressed byte planes of their differences."""
+def pack_sorted(x: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted distinct cells of a block, as byte planes of their differences, and a count up to 255 for each; compressed."""
     d = np.diff(x.astype(np.uint32), prepend=np.uint32(0)).astype("<u4")
     planes = d.view(np.uint8).reshape(-1, 4).T
-    return len(x).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + np.packbits(flags).tobytes())
+    return len(x).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes())
 
 
 def unpack_sorted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(data[:4], "little")
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:]), np.uint8)
     d = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel()
-    return np.cumsum(d, dtype=np.int64), np.unpackbits(raw[4 * n :], count=n)
+    return np.cumsum(d, dtype=np.int64), raw[4 * n :]
 
 
-def repeated_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> bytes:
-    """The merged bits, DEPTH rows of 2**bits, row after row. hashes: the 64-bit hashes of a batch of df's rows, in pieces."""
+def frequent_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, least: int = 2) -> bytes:
+    """The merged bits, DEPTH rows of 2**bits, row after row. hashes: the 64-bit hashes of a batch of df's rows, in pieces.
+    least: up to 255, where counts stop."""
     schema = pa.schema([("block", pa.int64()), ("part", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +63,7 @@ def repeated_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
                 for k in range(len(where) - 1):
                     a, b = where[k], where[k + 1]
                     if a < b:
-                        yield row << 40 | k, pack_sorted(c[a:b] & np.uint64((1 << BLOCK_BITS) - 1), n[a:b] > 1)
+                        yield row << 40 | k, pack_sorted(c[a:b] & np.uint64((1 << BLOCK_BITS) - 1), n[a:b])
 
         def rows() -> Iterator[tuple]:
             held, size = [], 0
@@ -84,13 +85,13 @@ def repeated_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
             for batch in batches:
                 for b, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if b != block:
-                        if block is not None and (n > 1).any():
-                            yield block, zstandard.ZstdCompressor(level=1).compress(np.packbits(n > 1).tobytes())
-                        block, n = b, np.zeros(1 << BLOCK_BITS, np.uint8)
+                        if block is not None and (n >= least).any():
+                            yield block, zstandard.ZstdCompressor(level=1).compress(np.packbits(n >= least).tobytes())
+                        block, n = b, np.zeros(1 << BLOCK_BITS, np.uint16)
                     at, more = unpack_sorted(part)
-                    n[at] = np.minimum(n[at] + 1 + more, 2)
-            if block is not None and (n > 1).any():
-                yield block, zstandard.ZstdCompressor(level=1).compress(np.packbits(n > 1).tobytes())
+                    n[at] = np.minimum(n[at] + more, 255)
+            if block is not None and (n >= least).any():
+                yield block, zstandard.ZstdCompressor(level=1).compress(np.packbits(n >= least).tobytes())
 
         return batched(rows(), schema)
 
@@ -103,8 +104,8 @@ def repeated_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
     return out.tobytes()
 
 
-def estimated_repeated(sketch: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Which hashes are estimated to occur at least twice. sketch: the merged bits as bytes."""
+def estimated_frequent(sketch: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes are estimated to occur as often as the sketch asked for. sketch: the merged bits as bytes."""
     found = np.ones(len(hashes), bool)
     for row in range(DEPTH):
         c = cells(hashes, row, bits)

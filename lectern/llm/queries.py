@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, lang_id, substring_dedup, token_store
+from . import chat_format, exact_dedup, html_extract, lang_id, ngram_join, substring_dedup, token_store
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
@@ -48,6 +48,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.shingle_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_token_store": op8_token_store,
+    "op9_ngram_join": op9_ngram_join,
     "op10_html_extract": op10_html_extract,
 }
 

@@ -64,7 +64,7 @@ def remove_repeated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
             if len(h):
                 yield h
 
-    sent = spark.sparkContext.broadcast(count_min.repeated_bits(src.select("x"), all_windows, bits))
+    sent = spark.sparkContext.broadcast(count_min.frequent_bits(src.select("x"), all_windows, bits))
     n_ranges = max(16, n_bytes // (24 << 20))
     schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("part", pa.binary())])
 
@@ -107,7 +107,7 @@ def remove_repeated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
                 for i, data, key in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                     words = _WORDS.of(data.split())
                     h = window_hashes(words, width, SEED1)
-                    at = np.flatnonzero(count_min.estimated_repeated(sketch, h, bits))
+                    at = np.flatnonzero(count_min.estimated_frequent(sketch, h, bits))
                     if len(at):
                         second = (window_hashes(words, width, SEED2)[at] >> np.uint64(32)).astype(np.uint32)
                         held.append((NULL_ID if i is None else i, key, h[at], second, at.astype(np.uint32)))
