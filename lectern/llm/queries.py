@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_extract, lang_id, ngram_join, substring_dedup, token_store
+from . import chat_format, decontaminate, exact_dedup, html_extract, lang_id, mixing, ngram_join, substring_dedup, token_store
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
@@ -38,11 +38,20 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(turns))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "mix_epoch", "mix_domain", "lang", "source", "mix_tokens")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.write_store(table(spark, sf_dir, "documents"), vocabulary())
     return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -60,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lang_id": op2_lang_id,
     "op3_chat_format": op3_chat_format,
+    "op4_decontaminate": op4_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_mix_sources": op7_mix_sources,
     "op8_token_store": op8_token_store,
     "op9_ngram_join": op9_ngram_join,
     "op10_html_extract": op10_html_extract,
@@ -68,11 +79,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _weights(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in weights.items())} ELSE {mixing.OTHER} END"
+
+
+def _pour(name: str, parent: str, child: str, out: str) -> str:
+    """A level of the budget: common table expressions that end in `out` with a column share."""
+    order = f"PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE) / CAST(w AS DOUBLE), {child}"
+    return f"""
+{out}a AS (SELECT *, coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+              sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wr FROM {name}),
+{out}b AS (SELECT *, cap * wr <= (budget - used) * w AS full_ FROM {out}a),
+{out}c AS (SELECT *, budget - sum(CASE WHEN full_ THEN cap ELSE 0 END) OVER (PARTITION BY {parent}) AS rest,
+              sum(CASE WHEN full_ THEN 0 ELSE w END) OVER (PARTITION BY {parent}) AS parts FROM {out}b),
+{out} AS (SELECT *, CASE WHEN full_ THEN cap ELSE rest * w // parts END AS share FROM {out}c)"""
+
+
 ORACLE_SQL = {
     "op1_exact_dedup": f"""
 WITH d AS (SELECT doc_id, {_LOWER.format("text")} AS t FROM documents),
 g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
              row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) AS rn FROM d)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, rn = 1 AS kept, sha256(t) AS text_sha256 FROM g
+""",
+    "op7_mix_sources": f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, lang AS lang0, source AS source0,
+         CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'other'
+              ELSE 'd' || (CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) % 4) END AS domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+r AS (SELECT * FROM d WHERE n > 0),
+leaves AS (SELECT domain, lang, source, CAST(sum(n) AS HUGEINT) AS tokens, CAST(sum(n) * 2 AS HUGEINT) AS cap, CAST(1 AS HUGEINT) AS w FROM r GROUP BY ALL),
+n1 AS (SELECT 0 AS root, domain, sum(cap) AS cap, CAST({_weights("domain", mixing.DOMAIN_WEIGHTS)} AS HUGEINT) AS w,
+              (SELECT sum(tokens) * 80 // 100 FROM leaves) AS budget FROM leaves GROUP BY domain),
+{_pour("n1", "root", "domain", "s1")},
+n2 AS (SELECT l.domain, l.lang, sum(l.cap) AS cap, CAST({_weights("l.lang", mixing.LANG_WEIGHTS)} AS HUGEINT) AS w, any_value(s1.share) AS budget
+       FROM leaves l JOIN s1 USING (domain) GROUP BY l.domain, l.lang),
+{_pour("n2", "domain", "lang", "s2")},
+n3 AS (SELECT l.*, s2.share AS budget FROM leaves l JOIN s2 ON l.domain = s2.domain AND l.lang = s2.lang),
+{_pour("n3", "domain, lang", "source", "s3")},
+e AS (SELECT r.*, x.epoch, md5('17-' || x.epoch || '-' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM r, (VALUES (0), (1)) x(epoch)),
+o AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY epoch, k, coalesce(doc_id, -9223372036854775808)) AS upto FROM e)
+SELECT o.doc_id, o.epoch AS mix_epoch, o.domain AS mix_domain, o.lang0 AS lang, o.source0 AS source, o.n AS mix_tokens
+FROM o JOIN s3 ON o.domain = s3.domain AND o.lang = s3.lang AND o.source = s3.source WHERE o.upto <= s3.share
 """,
 }
