@@ -154,17 +154,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", passing: tuple[str, ...] = ()) -> DataFrame:
-    """A row per input row: id_col, the `passing` columns, lang_pred and score, the mean over the text's windows (by bytes)
-    of the network's probability for the predicted language. Text that is null or has no letter: `und` with score 0; so is
-    every text if there was nothing to learn from. Repeated rows and null identifiers are predicted like any other."""
-    src = docs.select(*[F.col(c) for c in dict.fromkeys((id_col, *passing))], F.col(text_col).alias("_text"))
-    fields = [f for f in src.schema.fields if f.name != "_text"]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
+    """A row per input row: id_col, the `passing` columns (the text itself may be one), lang_pred and score, the mean over the
+    text's windows (by bytes) of the network's probability for the predicted language. Text that is null or has no letter:
+    `und` with score 0; so is every text if there was nothing to learn from. Repeated rows and null identifiers are
+    predicted like any other."""
+    names = list(dict.fromkeys((id_col, *passing)))
+    src = docs.select(*dict.fromkeys((*names, text_col)))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*names).schema) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             preds, scores = [], []
-            for data in as_bytes(b.column("_text")):
+            for data in as_bytes(b.column(text_col)):
                 if net is None or data is None or not any(map(str.isalpha, data.decode("utf-8", "replace"))):
                     preds.append(UNKNOWN)
                     scores.append(0.0)
@@ -177,8 +178,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                 k = int(mean.argmax())
                 preds.append(net.labels[k])
                 scores.append(min(1.0, float(mean[k])))
-            keep = b.schema.names.index("_text")
-            yield pa.RecordBatch.from_arrays([*[c for n, c in enumerate(b.columns) if n != keep], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*[n for n in b.schema.names if n != "_text"], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return src.mapInArrow(run, ddl)
 

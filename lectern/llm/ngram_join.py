@@ -20,17 +20,18 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import count_min
-from .common import WordHashes, as_bytes, batched, cut_lineage, mix64, signed, window_hashes, written
+from .common import WordHashes, as_bytes, batched, cut_lineage, mix64, release, signed, window_hashes, written
 from .substring_dedup import pack, unpack
 
 SEED = 0x243F6A8885A308D3
 MOST_LIGHT = 12
 HOT = 48
 PIECE = 1 << 20
+NO_ID = -(1 << 63)
 _WORDS = WordHashes()
 
 
@@ -109,7 +110,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def shingle_join(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", n_bytes: int | None = None) -> DataFrame:
+def shingle_join(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: id_col, n_shingles, n_links (distinct other sets linked in the comparisons made, not all there
     may be within a component), component_id (the smallest identifier among the rows that links connect, itself included).
 
@@ -118,9 +119,32 @@ def shingle_join(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     never a component_id unless the component has no other. Repeated rows link with each other. Other columns are ignored.
     Sets are compared by 64-bit hashes of their shingles, nodes are named by 64 bits of their set's digest.
     """
+    sets, named = groups(docs, width, percent, id_col, text_col)
+    node = named.select("nid", "component_id", "n_links", F.lit(True).alias("some"))
+    return sets.join(node, (sets["nid"] == node["nid"]) & (sets["n"] > 0), "left").select(
+        F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("some"), F.col("component_id")).otherwise(F.col("i")).alias("component_id")
+    )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, less all but one row of each group that links connect: the one with the smallest identifier (a null
+    one only if there is no other), of several such rows any one of those with the least hash of their text. Rows without
+    words all stay."""
+    _, named = groups(docs, width, percent, id_col, text_col)
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("i").isNull(), "i", "k")).alias("s")).select(F.coalesce("s.i", F.lit(NO_ID)).alias("_d"), F.col("s.k").alias("_k"))
+    keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_k": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    stay = keyed.where(has_words).join(first, ["_d", "_k"], "left_semi")
+    stay = stay.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_k").orderBy(F.lit(1)))).where("_n = 1")
+    return stay.select(*docs.columns).unionByName(docs.where(~has_words))
+
+
+def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (i, k: hash of the text, n: size of the set, nid: its node) and the nodes (nid, i, k of their first row,
+    component, component_id, n_links)."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
-    n_bytes = n_bytes if n_bytes is not None else src.agg(F.sum(F.octet_length("x"))).first()[0] or 0
+    n_bytes = src.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     n_ranges = max(16, n_bytes // (24 << 20))
 
     # 1. Nodes: the distinct sets.
@@ -144,6 +168,7 @@ def shingle_join(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     load = n_bytes / 6 / (1 << bits)
     hot = spark.sparkContext.broadcast(count_min.frequent_bits(src.select("x"), lambda b: (shingles(x, width) for x in as_bytes(b.column(0))), bits, int(min(255, HOT + 4 * load))))
 
+    release(spark)
     # 3. Lists: entries travel as compressed arrays, a row for each task's share of a hash range.
     piece_schema = pa.schema([("r", pa.int64()), ("part", pa.binary())])
 
@@ -226,6 +251,7 @@ def shingle_join(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     posted = src.select("x").mapInArrow(post, "r long, part binary").repartition("r").sortWithinPartitions("r")
     lists = written(posted.mapInArrow(shared, "part binary"), "lists")
 
+    release(spark)
     # 4. Each member of a list against the list's leader: of those of about its size, the one with the least name.
     def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("c", pa.int64())])
@@ -255,14 +281,15 @@ def shingle_join(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpack(part)[1]))], names=["nid"])
 
     listed = lists.mapInArrow(members, "nid long").distinct()
-    wanted = nodes.join(listed, "nid").select("nid", F.coalesce("i", F.lit(-(1 << 63))).alias("d"), "k")
-    texts = src.select(F.coalesce("i", F.lit(-(1 << 63))).alias("d"), F.xxhash64("x").alias("k"), "x").join(wanted, ["d", "k"]).select("nid", "x")
+    wanted = nodes.join(listed, "nid").select("nid", F.coalesce("i", F.lit(NO_ID)).alias("d"), "k")
+    texts = src.select(F.coalesce("i", F.lit(NO_ID)).alias("d"), F.xxhash64("x").alias("k"), "x").join(wanted, ["d", "k"]).select("nid", "x")
     texts = written(texts, "texts")
 
     links = cut_lineage(compare(star, texts, width, percent))
     every = [links]
     labels = components(links, "u", "v")
 
+    release(spark)
     # 6. All pairs of list members that are not connected so far.
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,13 +321,11 @@ def shingle_join(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str
     # 7. Back to the rows.
     links = union(every)
     labels = components(links, "u", "v")
-    degree = links.select(F.explode(F.array("u", "v")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("links"))
-    named = nodes.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    least = named.groupBy("label").agg(F.min("i").alias("component_id"))
-    node = named.join(least, "label").join(degree, "nid", "left").select("nid", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-    return sets.join(node.withColumn("some", F.lit(True)), (sets["nid"] == node["nid"]) & (sets["n"] > 0), "left").select(
-        F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("some"), F.col("component_id")).otherwise(F.col("i")).alias("component_id")
-    )
+    degree = links.select(F.explode(F.array("u", "v")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("n_links"))
+    named = nodes.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("label", "nid"))
+    least = named.groupBy("component").agg(F.min("i").alias("component_id"))
+    named = named.join(least, "component").join(degree, "nid", "left")
+    return sets, named.select("nid", "i", "k", "component", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def node_id(s: np.ndarray) -> int:

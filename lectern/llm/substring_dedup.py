@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import count_min
-from .common import WordHashes, as_bytes, batched, window_hashes
+from .common import WordHashes, as_bytes, batched, release, window_hashes
 
 NULL_ID = np.iinfo(np.int64).max
 SEED1, SEED2 = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179
@@ -65,6 +65,7 @@ def remove_repeated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
                 yield h
 
     sent = spark.sparkContext.broadcast(count_min.frequent_bits(src.select("x"), all_windows, bits))
+    release(spark)
     n_ranges = max(16, n_bytes // (24 << 20))
     schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("part", pa.binary())])
 
