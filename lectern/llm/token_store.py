@@ -18,8 +18,11 @@ from those of its chunks, since CRC-32 is linear.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,17 +40,39 @@ STORE_DDL = "kind string, key binary, doc_id long, n long, payload binary, diges
 _ENCODERS: dict[str, Encoder] = {}
 
 
-class Encoder:
-    """Ids of a text as the tokenizers library gives them, with a bounded cache of words."""
+def _byte_symbols() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes as: printable ones as they are, the rest from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(x for x in range(256) if x not in shown)}
 
-    MOST = 600_000
+
+class Encoder(dict):
+    """Ids of a text as the tokenizers library gives them; a bounded cache from words (bytes) to packed ids.
+
+    A word of Latin letters with at most one common mark after it is one or two pre-tokens, which go straight to the
+    library's model; any other word goes through the library as a whole.
+    """
+
+    MOST = 800_000
+    #: Letters up to U+024F that lower and normalise one by one, then a mark.
+    PLAIN = re.compile("([a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)")
+    SYMBOLS = _byte_symbols()
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.kind).itemsize
+        config = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"].encode() for t in config["added_tokens"]]
+        names = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
+        splits = [x["type"] for x in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        # What PLAIN relies on; other vocabularies go through the library word by word.
+        self.lowers = names == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"] and config["model"]["type"] == "BPE" and not config["post_processor"]
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -55,20 +80,37 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
+    def _model(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.SYMBOLS)
+        return array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.MOST:
+            self.clear()
+        text = word.decode("utf-8", "replace")
+        m = self.PLAIN.fullmatch(text) if self.lowers else None
+        if m is None:
+            out = array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        elif m[2]:
+            out = self[m[1].encode()] + self[m[2].encode()] if len(text) > 1 else self._model(text)
+        else:
+            out = self._model(m[1].lower())
+        self[word] = out
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of `width` bytes each, for each text."""
-        split, cache, kind = [t.split() for t in texts], self.cache, f"<u{self.width}"
-        if len(cache) > self.MOST:
-            cache.clear()
-        missing = [w for w in dict.fromkeys(w for words in split for w in words) if w not in cache]
-        for a in range(0, len(missing), 4096):
-            part = missing[a : a + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                cache[word] = np.array(got.ids, kind).tobytes()
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
-
-
-def cuts(ids: np.ndarray, window: int = 8, mean: int = 256, least: int = 64, most: int = 2048) -> list[int]:
+        get, out = self.__getitem__, []
+        for t in texts:
+            # A-Z is lowered ahead of the cache if the vocabulary lowers all the same, but not where a special token may be spelled out.
+            if self.lowers and not any(x in t.lower() for x in self.special):
+                t = t.lower()
+            out.append(b"".join(map(get, t.split())))
+        return out
+
+
+def cuts(ids: np.ndarray, window: int = 8, mean: int = 512, least: int = 128, most: int = 4096) -> list[int]:
     """Where the chunks of an id stream end. A boundary depends on the last `window` ids alone, but for `least` and `most`."""
     n = len(ids)
     if n <= least:
