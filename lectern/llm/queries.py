@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, lang_id, mixing, ngram_join, substring_dedup, token_store
+from . import chat_format, decontaminate, exact_dedup, html_extract, lang_id, mixing, ngram_join, substring_dedup, suffix_dedup, token_store
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
@@ -47,6 +47,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "mix_epoch", "mix_domain", "lang", "source", "mix_tokens")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_decontaminate": op4_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_token_store": op8_token_store,
     "op9_ngram_join": op9_ngram_join,
