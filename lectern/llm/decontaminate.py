@@ -93,7 +93,10 @@ class Matcher:
             return [(item, 1.0, 0, len(w)) for item in self.whole.get(tuple(w), ())] if w else []
         s = window_hashes(_HASHES.of(w), WIDTH, SEED)
         maybe = np.flatnonzero(self.first[(s >> np.uint64(44)).astype(np.int64)])
-        hits = maybe[np.isin(s[maybe], self.known)] if len(maybe) else maybe
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.known, s[maybe]), len(self.known) - 1)
+            maybe = maybe[self.known[at] == s[maybe]]
+        hits = maybe
         if not len(hits):
             return []
         out = []
@@ -115,9 +118,9 @@ class Matcher:
                 near = np.zeros((len(at), len(group["items"])), bool)
                 for b in range(BLOCKS):
                     near |= group["near"][prints[:, b], :, b]
-                for k, item in zip(*np.nonzero(near), strict=True):
-                    if int(_POPCOUNT[prints[k] ^ group["prints"][item]].sum()) > RADIUS:
-                        continue
+                rows, items = np.nonzero(near)
+                within = _POPCOUNT[prints[rows] ^ group["prints"][items]].sum(axis=1) <= RADIUS
+                for k, item in zip(rows[within].tolist(), items[within].tolist(), strict=True):
                     start = int(at[k])
                     both = sum((group["bags"][item] & Counter(s[start : start + size].tolist())).values())
                     if 100 * both >= self.percent * (2 * size - both):
