@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the order's hash that name a bucket.
 BUCKET_DIGITS = 3
@@ -81,7 +83,7 @@ def cuts(rows: DataFrame, percent: int, max_epochs: int, seed: int) -> DataFrame
     """A row for each leaf: LEAF, cut_epoch and cut_key, cut_id: the last place in the leaf's order that is taken (null: nothing).
 
     The order is by epoch, hash and identifier; rows equal in these are taken together or not at all."""
-    rows = rows.where("n_tokens > 0")
+    rows = cut_lineage(rows.where("n_tokens > 0"))  # narrow rows: words are counted once
     leaves = budgets(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), percent, max_epochs)
     each = rows.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])))
     each = each.withColumn("key", order_key(seed, F.col("epoch"), F.col("id"))).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
@@ -109,9 +111,8 @@ def mix(docs: DataFrame, percent: int = 80, max_epochs: int = 2, seed: int = 17,
     """
     rows = prepared(docs, id_col, text_col, lang_col, source_col)
     plan = cuts(rows, percent, max_epochs, seed).select(*[F.col(c).alias(f"_{c}") for c in (*LEAF, "cut_epoch", "cut_key", "cut_id")])
-    plan.cache()
-    n = plan.limit(MOST_BROADCAST_LEAVES + 1).count()
-    if n <= MOST_BROADCAST_LEAVES:
+    plan = cut_lineage(plan)
+    if plan.count() <= MOST_BROADCAST_LEAVES:
         plan = F.broadcast(plan)
     out = docs.withColumns({"mix_domain": domain_of(F.col(source_col)), "mix_tokens": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")}).where("mix_tokens > 0")
     out = out.join(plan, (F.col("mix_domain") == F.col("_domain")) & (F.coalesce(F.col(lang_col), F.lit("")) == F.col("_lang")) & (F.coalesce(F.col(source_col), F.lit("")) == F.col("_source")))
