@@ -98,9 +98,10 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_lists(spark, sf_dir)
 
 
-@query(f"WITH {_KNN}, {_BM25}, {_FUSED} SELECT * FROM fused")
+@query(f"WITH {_KNN}, {_BM25}, {_FUSED} SELECT query_id, chunk_id, score, rank, coalesce(dense_rank, 0) AS dense_rank, coalesce(lexical_rank, 0) AS lexical_rank FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_fused(R.fuse(dense_lists(spark, sf_dir), lexical_lists(spark, sf_dir)))
+    out = R.top_fused(R.fuse(dense_lists(spark, sf_dir), lexical_lists(spark, sf_dir)))
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("dense_rank", "lexical_rank")})
 
 
 @query(
