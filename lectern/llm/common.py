@@ -46,6 +46,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame made by written() that nothing will read again."""
+    files = df.inputFiles()
+    if files:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(conf).delete(path, True)
+
+
+def sorted_distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique by sorting, which is faster for short arrays."""
+    if len(x) < 2:
+        return x
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -60,6 +77,13 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few rows, so that only few texts are Python objects at a time."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def rows_to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -90,7 +114,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Stable 64-bit hashes of words (bytes); a bounded cache, as most words come again and again."""
 
-    MOST = 400_000
+    MOST = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -102,6 +126,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One cache for all operators of a worker.
+WORDS = WordHashes()
+
+
 def window_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     """A 64-bit hash of every run of `width` word hashes, in order; empty if there are fewer."""
     n = len(words) - width + 1

@@ -22,7 +22,7 @@ from .common import batched, mix64
 
 DEPTH = 2
 BLOCK_BITS = 20
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 def row_bits(n_items: int, most_bits: int = 29, least_bits: int = BLOCK_BITS) -> int:
@@ -49,35 +49,24 @@ def unpack_sorted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(d, dtype=np.int64), raw[4 * n :]
 
 
-def frequent_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, least: int = 2) -> bytes:
-    """The merged bits, DEPTH rows of 2**bits, row after row. hashes: the 64-bit hashes of a batch of df's rows, in pieces.
-    least: up to 255, where counts stop."""
-    schema = pa.schema([("block", pa.int64()), ("part", pa.binary())])
+def parts(held: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
+    """One task's share of the sketch, by blocks of cells: (block, compressed counts)."""
+    h = np.concatenate(held)
+    for row in range(DEPTH):
+        c, n = np.unique(cells(h, row, bits).astype(np.uint32), return_counts=True)
+        where = np.searchsorted(c, np.arange(0, (1 << bits) + 1, 1 << BLOCK_BITS))
+        for k in range(len(where) - 1):
+            a, b = where[k], where[k + 1]
+            if a < b:
+                yield row << 40 | k, pack_sorted(c[a:b] & np.uint32((1 << BLOCK_BITS) - 1), n[a:b])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[np.ndarray]) -> Iterator[tuple]:
-            h = np.concatenate(held)
-            for row in range(DEPTH):
-                c, n = np.unique(cells(h, row, bits), return_counts=True)
-                where = np.searchsorted(c, np.arange(0, (1 << bits) + 1, 1 << BLOCK_BITS, dtype=np.uint64))
-                for k in range(len(where) - 1):
-                    a, b = where[k], where[k + 1]
-                    if a < b:
-                        yield row << 40 | k, pack_sorted(c[a:b] & np.uint64((1 << BLOCK_BITS) - 1), n[a:b])
 
-        def rows() -> Iterator[tuple]:
-            held, size = [], 0
-            for batch in batches:
-                for h in hashes(batch):
-                    held.append(h)
-                    size += len(h)
-                    if size >= FLUSH:
-                        yield from flush(held)
-                        held, size = [], 0
-            if size:
-                yield from flush(held)
+SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.binary())])
 
-        return batched(rows(), schema)
+
+def merged(shares: DataFrame, bits: int, least: int = 2) -> bytes:
+    """The merged bits, DEPTH rows of 2**bits, row after row. shares: rows (block, part) of all tasks. least: up to 255, where
+    counts stop."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -93,17 +82,37 @@ def frequent_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
             if block is not None and (n >= least).any():
                 yield block, zstandard.ZstdCompressor(level=1).compress(np.packbits(n >= least).tobytes())
 
-        return batched(rows(), schema)
+        return batched(rows(), SCHEMA)
 
-    parts = df.mapInArrow(count, "block long, part binary").repartition("block").sortWithinPartitions("block")
     out = np.zeros((DEPTH << bits) // 8, np.uint8)
     size = (1 << BLOCK_BITS) // 8
-    for r in parts.mapInArrow(merge, "block long, part binary").toLocalIterator():
+    for r in shares.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, part binary").toLocalIterator():
         at = ((r["block"] >> 40 << bits) >> 3) + (r["block"] & (1 << 40) - 1) * size
         out[at : at + size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["part"]), np.uint8)
     return out.tobytes()
 
 
+def frequent_bits(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, least: int = 2) -> bytes:
+    """merged() over the hashes of df's rows. hashes: the 64-bit hashes of a batch, in pieces."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            held, size = [], 0
+            for batch in batches:
+                for h in hashes(batch):
+                    held.append(h)
+                    size += len(h)
+                    if size >= FLUSH:
+                        yield from parts(held, bits)
+                        held, size = [], 0
+            if size:
+                yield from parts(held, bits)
+
+        return batched(rows(), SCHEMA)
+
+    return merged(df.mapInArrow(count, "block long, part binary"), bits, least)
+
+
 def estimated_frequent(sketch: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     """Which hashes are estimated to occur as often as the sketch asked for. sketch: the merged bits as bytes."""
     found = np.ones(len(hashes), bool)

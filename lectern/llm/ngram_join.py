@@ -24,25 +24,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import count_min
-from .common import WordHashes, as_bytes, batched, cut_lineage, mix64, release, signed, window_hashes, written
+from .common import WORDS, as_bytes, batched, cut_lineage, discard, mix64, release, signed, slices, sorted_distinct, window_hashes, written
 from .substring_dedup import pack, unpack
 
 SEED = 0x243F6A8885A308D3
 MOST_LIGHT = 12
 HOT = 48
-PIECE = 1 << 20
+PIECE = 1 << 19
 NO_ID = -(1 << 63)
-_WORDS = WordHashes()
 
 
 def shingles(data: bytes, width: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's word shingles, A-Z lower-cased; the whole sequence if there are fewer words."""
-    words = _WORDS.of(data.lower().split())
+    words = WORDS.of(data.lower().split())
     if not len(words):
         return np.empty(0, np.uint64)
     if len(words) < width:
         return window_hashes(words, len(words), SEED ^ len(words))
-    return np.unique(window_hashes(words, width, SEED))
+    return sorted_distinct(window_hashes(words, width, SEED))
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -145,28 +144,36 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
     n_bytes = src.agg(F.sum(F.octet_length("x"))).first()[0] or 0
-    n_ranges = max(16, n_bytes // (24 << 20))
+    n_ranges = max(16, n_bytes // (10 << 20))
 
-    # 1. Nodes: the distinct sets.
-    sets_schema = pa.schema([("i", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("nid", pa.int64()), ("small", pa.list_(pa.int64()))])
+    # 1. One pass for the sets' digests and for the count-min sketch of all shingles, whose cells are few for each item: only
+    # counts far above the mean matter, to put frequent shingles last in the order.
+    bits = count_min.row_bits(n_bytes // 6 // 32)
+    first_schema = pa.schema([("i", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("nid", pa.int64()), ("small", pa.list_(pa.int64())), ("block", pa.int64()), ("part", pa.binary())])
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for b in batches:
+            held, size = [], 0
+            for b in slices(batches):
                 for i, data, k in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                     s = shingles(data, width)
-                    yield i, k, len(s), node_id(s), signed(s).tolist() if 0 < len(s) <= MOST_LIGHT else None
+                    yield i, k, len(s), node_id(s), signed(s).tolist() if 0 < len(s) <= MOST_LIGHT else None, None, None
+                    held.append(s)
+                    size += len(s)
+                    if size >= count_min.FLUSH:
+                        yield from ((None,) * 5 + x for x in count_min.parts(held, bits))
+                        held, size = [], 0
+            if size:
+                yield from ((None,) * 5 + x for x in count_min.parts(held, bits))
 
-        return batched(rows(), sets_schema)
+        return batched(rows(), first_schema)
 
-    sets = cut_lineage(src.select("i", "x", F.xxhash64("x").alias("k")).mapInArrow(digests, "i long, k long, n long, nid long, small array<long>"))
+    both = written(src.select("i", "x", F.xxhash64("x").alias("k")).mapInArrow(first_pass, "i long, k long, n long, nid long, small array<long>, block long, part binary"), "sets")
+    sets = both.where("block is null").select("i", "k", "n", "nid", "small")
     light = light_boundary(sets, percent)
     least_heavy = -(-percent * (light + 1) // 100)
-
-    # 2. Frequent shingles go last in the order. The cells are few for each item: only counts far above the mean matter.
-    bits = count_min.row_bits(n_bytes // 6 // 32)
     load = n_bytes / 6 / (1 << bits)
-    hot = spark.sparkContext.broadcast(count_min.frequent_bits(src.select("x"), lambda b: (shingles(x, width) for x in as_bytes(b.column(0))), bits, int(min(255, HOT + 4 * load))))
+    hot = spark.sparkContext.broadcast(count_min.merged(both.where("block is not null").select("block", "part"), bits, int(min(255, HOT + 4 * load))))
 
     release(spark)
     # 3. Lists: entries travel as compressed arrays, a row for each task's share of a hash range.
@@ -177,36 +184,37 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
 
         def flush(held: list[tuple]) -> Iterator[tuple]:
             nid, n = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+            rare = np.array([x[4] for x in held], np.int64)
             h, pos = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
             doc = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
-            share = (h >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)
+            share = mix64(h) % np.uint64(n_ranges)  # prefixes hold least hashes, so they aren't spread evenly themselves
             order = np.argsort(share, kind="stable")
             cut = np.searchsorted(share[order], np.arange(n_ranges + 1, dtype=np.uint64))
             for r in range(n_ranges):
                 at = order[cut[r] : cut[r + 1]]
                 if len(at):
                     own, inner = np.unique(doc[at], return_inverse=True)
-                    yield r, pack(nid[own], n[own], h[at], np.diff(inner.astype(np.int32), prepend=np.int32(0)), pos[at].astype(np.uint32))
+                    yield r, pack(nid[own], n[own], rare[own], h[at], np.diff(inner.astype(np.int32), prepend=np.int32(0)), pos[at].astype(np.uint32))
 
         def rows() -> Iterator[tuple]:
             held, size, seen = [], 0, set()
-            for b in batches:
+            for b in slices(batches):
                 for data in as_bytes(b.column(0)):
                     s = shingles(data, width)
                     nid = node_id(s)
                     if not len(s) or nid in seen:  # a copy within the task adds nothing
                         continue
-                    if len(seen) > 200_000:
+                    if len(seen) > 50_000:
                         seen.clear()
                     seen.add(nid)
                     if len(s) <= light:
                         keys = light_keys(s, percent)
-                        held.append((nid, len(s), keys, np.zeros(len(keys), np.int64)))
+                        held.append((nid, len(s), keys, np.zeros(len(keys), np.int64), len(s)))
                         size += len(keys)
                     if len(s) >= least_heavy:
                         common = count_min.estimated_frequent(sketch, s, bits)
                         first = np.concatenate([s[~common], s[common]])[: prefix_length(len(s), percent)]
-                        held.append((nid, len(s), first, np.arange(len(first))))
+                        held.append((nid, len(s), first, np.arange(len(first)), int((~common).sum())))
                         size += len(first)
                     if size >= PIECE:
                         yield from flush(held)
@@ -220,19 +228,18 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
         """The lists of each hash range that have two members or more."""
 
         def lists(parts: list[list[np.ndarray]]) -> Iterator[tuple]:
-            nid = np.concatenate([p[0][np.cumsum(p[3], dtype=np.int64)] for p in parts])
-            n = np.concatenate([p[1][np.cumsum(p[3], dtype=np.int64)] for p in parts])
-            h, pos = np.concatenate([p[2] for p in parts]), np.concatenate([p[4] for p in parts])
+            nid, n, rare = (np.concatenate([p[j][np.cumsum(p[4], dtype=np.int64)] for p in parts]) for j in range(3))
+            h, pos = np.concatenate([p[3] for p in parts]), np.concatenate([p[5] for p in parts])
             order = np.lexsort((nid, h))
-            h, nid, n, pos = h[order], nid[order], n[order], pos[order]
+            h, nid, n, pos, rare = h[order], nid[order], n[order], pos[order], rare[order]
             once = np.ones(len(h), bool)  # copies from other tasks
             once[1:] = (h[1:] != h[:-1]) | (nid[1:] != nid[:-1])
-            h, nid, n, pos = h[once], nid[once], n[once], pos[once]
+            h, nid, n, pos, rare = h[once], nid[once], n[once], pos[once], rare[once]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             size = np.diff(first, append=len(h))
             keep = np.repeat(size > 1, size)
             if keep.any():
-                yield pack(h[keep], nid[keep], n[keep].astype(np.uint32), pos[keep].astype(np.uint32))
+                yield pack(h[keep], nid[keep], n[keep].astype(np.uint32), pos[keep].astype(np.uint32), rare[keep].astype(np.uint32))
 
         def rows() -> Iterator[tuple]:
             last, held = None, []
@@ -252,16 +259,17 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     lists = written(posted.mapInArrow(shared, "part binary"), "lists")
 
     release(spark)
-    # 4. Each member of a list against the list's leader: of those of about its size, the one with the least name.
+    # 4. Each member of a list against the list's leader: of those of about its size, the one with the fewest rare shingles, as
+    # what near copies were made from has none of its own.
     def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("c", pa.int64())])
 
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for part in b.column(0).to_pylist():
-                    h, nid, n, _ = unpack(part)
+                    h, nid, n, _, rare = unpack(part)
                     about = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64)
-                    order = np.lexsort((nid, about, h))
+                    order = np.lexsort((nid, rare, about, h))
                     h, nid, about, n = h[order], nid[order], about[order], n[order]
                     new = np.concatenate([[True], (h[1:] != h[:-1]) | (about[1:] != about[:-1])])
                     v = nid[np.flatnonzero(new)[np.cumsum(new) - 1]]
@@ -272,18 +280,34 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
 
     nodes = cut_lineage(sets.where("n > 0").groupBy("nid").agg(F.min(F.struct(F.col("i").isNull(), "i", "k", "n")).alias("s")).select("nid", "s.i", "s.k", "s.n"))
     star = lists.mapInArrow(leaders, "u long, v long, c long").groupBy("u", "v").agg(F.sum("c").alias("c"))
-    star = star.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
+    star = star.groupBy("u").agg(F.max(F.struct("c", "v")).alias("b")).select("u", "b.v", "b.c")
+    # Which are compared now is a matter of cost alone: those that share so few lists with their leader are left to step 6.
+    size = lambda c: nodes.select(F.col("nid").alias(c), F.col("n").alias(f"n{c}"))
+    star = star.join(size("u"), "u").join(size("v"), "v")
+    likely = (100 + percent) * (F.col("c") + F.greatest("nu", "nv") * percent / 100) >= percent * (F.col("nu") + F.col("nv"))
+    star = cut_lineage(star.where(likely | (F.least("nu", "nv") <= 2 * MOST_LIGHT)).select("u", "v"))
 
     # 5. The texts of all nodes that are in some list, once.
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
             for part in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpack(part)[1]))], names=["nid"])
+                held.append(sorted_distinct(unpack(part)[1]))
+                size += len(held[-1])
+                if size >= 1 << 20:
+                    held = [sorted_distinct(np.concatenate(held))]
+                    size = len(held[0])
+                    if size >= 1 << 19:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0])], names=["nid"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted_distinct(np.concatenate(held)))], names=["nid"])
 
     listed = lists.mapInArrow(members, "nid long").distinct()
     wanted = nodes.join(listed, "nid").select("nid", F.coalesce("i", F.lit(NO_ID)).alias("d"), "k")
     texts = src.select(F.coalesce("i", F.lit(NO_ID)).alias("d"), F.xxhash64("x").alias("k"), "x").join(wanted, ["d", "k"]).select("nid", "x")
     texts = written(texts, "texts")
+    release(spark)
 
     links = cut_lineage(compare(star, texts, width, percent))
     every = [links]
@@ -294,29 +318,30 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in b.column(0).to_pylist():
-                h, nid, n, pos = unpack(part)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(nid), pa.array(n.astype(np.int64)), pa.array(pos.astype(np.int64))], names=["h", "nid", "n", "pos"])
-
-    each = lists.mapInArrow(entries, "h long, nid long, n long, pos long").join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    mixed = each.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    each = cut_lineage(each.join(mixed, "h"))
-    a, b = (each.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("nid", "n", "pos", "label")]) for k in (1, 2))
-    fits = (F.col("nid1") > F.col("nid2")) & (F.col("label1") != F.col("label2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    fits &= (100 + percent) * F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= percent * (F.col("n1") + F.col("n2"))
-    pairs = a.join(b, "h").where(fits).groupBy(F.col("nid1").alias("u"), F.col("nid2").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    pairs = cut_lineage(pairs.join(star, ["u", "v"], "left_anti"))
-    # Comparing the likeliest partner of each node first connects most of what there is to connect.
-    while not pairs.isEmpty():
+                h, nid, *rest = unpack(part)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(nid), *(pa.array(x.astype(np.int64)) for x in rest)], names=["h", "nid", "n", "pos", "rare"])
+
+    each = lists.mapInArrow(entries, "h long, nid long, n long, pos long, rare long").join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    n_blocks = max(16, n_bytes // (16 << 20))
+    part = each.select("h", "nid", "n", "pos", "rare", "label").repartition("h").sortWithinPartitions("h").mapInArrow(lambda x: unconnected(x, percent, n_blocks), "r long, part binary")
+    pairs = cut_lineage(part.repartition("r").sortWithinPartitions("r").mapInArrow(lambda x: candidates(x, percent), "u long, v long, c long"))
+    release(spark)
+    # If there are many, comparing the likeliest partner of each node first connects most of what there is to connect.
+    while pairs.count() > 4 * nodes.count():
         best = cut_lineage(pairs.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")))
         found = cut_lineage(compare(best, texts, width, percent))
+        if not found.isEmpty():
+            every.append(found)
+            to = components(union(every), "u", "v")
+            of = lambda c, k: to.select(F.col("node").alias(c), F.col("label").alias(k))  # noqa: E731,B023
+            pairs = pairs.join(of("u", "p"), "u", "left").join(of("v", "q"), "v", "left").where(F.coalesce("p", "u") != F.coalesce("q", "v"))
+        pairs = cut_lineage(pairs.select("u", "v", "c").join(best, ["u", "v"], "left_anti"))
         if found.isEmpty():
-            every.append(cut_lineage(compare(pairs.join(best, ["u", "v"], "left_anti"), texts, width, percent)))
             break
-        every.append(found)
-        to = components(union(every), "u", "v")
-        of = lambda c, k: to.select(F.col("node").alias(c), F.col("label").alias(k))  # noqa: E731,B023
-        pairs = pairs.join(best, ["u", "v"], "left_anti").join(of("u", "p"), "u", "left").join(of("v", "q"), "v", "left")
-        pairs = cut_lineage(pairs.where(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v", "c"))
+    every.append(cut_lineage(compare(pairs, texts, width, percent)))
+    discard(texts)
+    discard(lists)
+    release(spark)
 
     # 7. Back to the rows.
     links = union(every)
@@ -328,6 +353,113 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     return sets, named.select("nid", "i", "k", "component", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def may_link(x: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs, in the columns of counted(), may be similar enough by all that their lists say. Exact bounds:
+
+    - of the set whose prefix ends first, only what follows its prefix can be shared besides the lists in common;
+    - no common shingle comes before the first one met, in either set;
+    - rare shingles come first, so what is shared is the rare ones in common, rare ones that follow a prefix, and frequent ones.
+
+    Sets small enough for subsets share subsets, which says nothing of the kind."""
+    _, _, n, m, rare_n, rare_m, lists, rare_lists, p, q = x
+    need = percent * (n + m)  # of the overlap times 100 + percent
+    prefix = [a - -(-percent * a // 100) + 1 for a in (n, m)]
+    rest = np.maximum(n - prefix[0], m - prefix[1])
+    rare_rest = np.maximum(np.maximum(rare_n - prefix[0], 0), np.maximum(rare_m - prefix[1], 0))
+    most = np.minimum(lists + rest, np.minimum(np.minimum(n - p, m - q), rare_lists + rare_rest + np.minimum(n - rare_n, m - rare_m)))
+    return (np.minimum(n, m) <= 2 * MOST_LIGHT) | ((100 + percent) * most >= need)
+
+
+def counted(x: np.ndarray) -> np.ndarray:
+    """Columns (u, v, n of u, n of v, rare of u, rare of v, lists, lists of rare shingles, first place in u, in v), those of one pair
+    summed up."""
+    x = x[:, np.lexsort((x[1], x[0]))]
+    first = np.flatnonzero(np.concatenate([[True], (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])]))
+    return np.stack([*x[:6, first], *(np.add.reduceat(x[k], first) for k in (6, 7)), *(np.minimum.reduceat(x[k], first) for k in (8, 9))])
+
+
+def unconnected(batches: Iterator[pa.RecordBatch], percent: int, n_blocks: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Of sorted list entries (h, nid, n, pos, rare, label), the pairs of members (u above v) whose labels differ and whose sizes allow a
+    link, counted up within the task in bounded pieces: for each block of pairs, compressed columns as in counted()."""
+
+    def flush(held: list[np.ndarray]) -> Iterator[tuple]:
+        x = counted(np.concatenate(held, axis=1))
+        block = (mix64(x[0].view(np.uint64) ^ mix64(x[1].view(np.uint64))) % np.uint64(n_blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        cut = np.searchsorted(block[order], np.arange(n_blocks + 1))
+        for r in range(n_blocks):
+            at = order[cut[r] : cut[r + 1]]
+            if len(at):
+                yield r, pack(*x[:2, at], *x[2:, at].astype(np.uint32))
+
+    def of_list(nid, n, pos, rare, label) -> Iterator[np.ndarray]:
+        order = np.argsort(nid)
+        nid, n, pos, rare, label = nid[order], n[order], pos[order], rare[order], label[order]
+        step = max(1, most // len(nid))
+        for a in range(1, len(nid), step):
+            b = min(a + step, len(nid))
+            fits = (label[a:b, None] != label[None, :b]) & (np.arange(a, b)[:, None] > np.arange(b)[None])
+            small, large = np.minimum(n[a:b, None], n[None, :b]), np.maximum(n[a:b, None], n[None, :b])
+            u, v = np.nonzero(fits & (100 * small >= percent * large))
+            if len(u):
+                u = u + a
+                yield np.stack([nid[u], nid[v], n[u], n[v], rare[u], rare[v], np.ones(len(u), np.int64), pos[u] < rare[u], pos[u], pos[v]])
+
+    def lists() -> Iterator[list[np.ndarray]]:
+        rest = None
+        for batch in batches:
+            cols = [batch.column(k).to_numpy() for k in range(6)]
+            if rest is not None:
+                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+            h = cols[0]
+            if not len(h):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            for a, b in zip(first, first[1:], strict=False):  # the last list may go on in the next batch
+                yield [c[a:b] for c in cols[1:]]
+            rest = [c[first[-1] :] for c in cols]
+        if rest is not None:
+            yield rest[1:]
+
+    def rows() -> Iterator[tuple]:
+        held, size = [], 0
+        for own in lists():
+            for x in of_list(*own):
+                held.append(x)
+                size += x.shape[1]
+                if size >= most:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return batched(rows(), pa.schema([("r", pa.int64()), ("part", pa.binary())]))
+
+
+def candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of each block (rows of one block stand together) that may link by all that their lists say: u, v, lists."""
+
+    def settled(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = counted(np.concatenate(parts, axis=1))
+        x = x[:, may_link(x, percent)]
+        if x.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(x[k]) for k in (0, 1, 6)], names=["u", "v", "c"])
+
+    last, held, size = None, [], 0
+    for b in batches:
+        for r, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if r != last and held:
+                yield from settled(held)
+                held, size = [], 0
+            last = r
+            held.append(np.stack([x.astype(np.int64) for x in unpack(part)]))
+            size += held[-1].shape[1]
+            if size >= 1 << 19:
+                held, size = [counted(np.concatenate(held, axis=1))], 0
+    if held:
+        yield from settled(held)
+
+
 def node_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -349,7 +481,7 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, salts:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             own = None
-            for b in batches:
+            for b in slices(batches):
                 for v, u, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), strict=True):
                     s = shingles(data, width)
                     if u is None:
