@@ -63,7 +63,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.shingle_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return ngram_join.shingle_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,5 +130,36 @@ e AS (SELECT r.*, x.epoch, md5('17-' || x.epoch || '-' || coalesce(CAST(doc_id A
 o AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY epoch, k, coalesce(doc_id, -9223372036854775808)) AS upto FROM e)
 SELECT o.doc_id, o.epoch AS mix_epoch, o.domain AS mix_domain, o.lang0 AS lang, o.source0 AS source, o.n AS mix_tokens
 FROM o JOIN s3 ON o.domain = s3.domain AND o.lang = s3.lang AND o.source = s3.source WHERE o.upto <= s3.share
+""",
+    "op3_chat_format": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(x) + length(x) - length(replace(x, '\\', '')) + 2 * len(regexp_extract_all(x, '</?s>|\[/?INST\]|\[/?ROLE\]|\[/HEAD\]')) AS nx,
+  length(r) + length(r) - length(replace(r, '\\', '')) + 2 * len(regexp_extract_all(r, '</?s>|\[/?INST\]|\[/?ROLE\]|\[/HEAD\]')) AS nr FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+  CAST(coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE r WHEN 'user' THEN 18 + nx WHEN 'assistant' THEN 5 + nx ELSE 20 + nr + nx END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+    "op5_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, k, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM w WHERE len(w) >= 13)),
+m AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g),
+l AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS p FROM s JOIN m USING (g) WHERE first < doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+y AS (SELECT x.doc_id, count(l.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE l.p IS NULL) AS kept FROM x LEFT JOIN l ON x.doc_id = l.doc_id AND x.p = l.p GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN y ON w.doc_id = y.doc_id
+""",
+    "op9_ngram_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, 'all ' || len(w) || ' ' || array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= 75 * (p.n + q.n - c)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) m ON d.doc_id = m.x
 """,
 }

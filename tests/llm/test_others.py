@@ -167,7 +167,8 @@ def test_leaks_in_blocks(spark, docs, empty):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SF).toPandas(), c.execute(queries.ORACLE_SQL[name]).df()
     key = sorted(got.columns)
     assert sorted(want.columns) == key
