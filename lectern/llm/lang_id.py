@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, slices
 
 UNKNOWN = "und"
 WINDOW = 128
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*names).schema) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1024):
             preds, scores = [], []
             for data in as_bytes(b.column(text_col)):
                 if net is None or data is None or not any(map(str.isalpha, data.decode("utf-8", "replace"))):

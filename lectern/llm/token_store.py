@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, mix64, new_path
+from .common import as_bytes, batched, mix64, new_path, slices
 
 END_ID = 1
 DIGEST = 16
@@ -191,23 +191,21 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
         seen: set[bytes] = set()
 
         def rows() -> Iterator[tuple]:
-            for batch in batches:
-                ids_, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-                for a in range(0, len(texts), 256):
-                    for doc, stream in zip(ids_[a : a + 256], encoder.encode([t or b"" for t in texts[a : a + 256]]), strict=True):
-                        stream += end
-                        ids, last, keys, lens = np.frombuffer(stream, kind), 0, [], []
-                        for c in cuts(ids):
-                            payload = stream[last * encoder.width : c * encoder.width]
-                            keys.append(key := digest(payload))
-                            lens.append(c - last)
-                            last = c
-                            if key not in seen:
-                                if len(seen) > 200_000:  # only saves sending a chunk twice
-                                    seen.clear()
-                                seen.add(key)
-                                yield "chunk", key, None, lens[-1], payload, None, None
-                        yield "doc", digest(str(doc).encode()), doc, len(ids), None, b"".join(keys), np.array(lens, "<u4").tobytes()
+            for batch in slices(batches):
+                for doc, stream in zip(batch.column(0).to_pylist(), encoder.encode([t or b"" for t in as_bytes(batch.column(1))]), strict=True):
+                    stream += end
+                    ids, last, keys, lens = np.frombuffer(stream, kind), 0, [], []
+                    for c in cuts(ids):
+                        payload = stream[last * encoder.width : c * encoder.width]
+                        keys.append(key := digest(payload))
+                        lens.append(c - last)
+                        last = c
+                        if key not in seen:
+                            if len(seen) > 200_000:  # only saves sending a chunk twice
+                                seen.clear()
+                            seen.add(key)
+                            yield "chunk", key, None, lens[-1], payload, None, None
+                    yield "doc", digest(str(doc).encode()), doc, len(ids), None, b"".join(keys), np.array(lens, "<u4").tobytes()
 
         return batched(rows(), STORE)
 
