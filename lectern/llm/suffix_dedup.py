@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, mix64, release, written
+from .common import as_bytes, batched, mix64, release, slices, written
 from .substring_dedup import pack, unpack
 from .suffix_sort import suffix_array
 
 SEED_BYTES = 64
 AT_ONCE = 1 << 20
 #: Bytes whose suffixes are sorted together.
-SORTED_AT_ONCE = 1 << 19
+SORTED_AT_ONCE = 1 << 18
 NO_ID = -(1 << 63)
 _RNG = np.random.default_rng(20240229)
 BYTE_VALUES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -246,7 +246,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
                 if len(a):
                     yield int(k[doc[a[0]]]), 1, pack(d[doc[a]], k[doc[a]], lo[a], hi[a])
             sent = order[first]
-            share = (h[sent] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)
+            share = mix64(h[sent]) % np.uint64(n_ranges)  # anchors are least hashes, so they aren't spread evenly themselves
             by = np.argsort(share, kind="stable")
             cut = np.searchsorted(share[by], np.arange(n_ranges + 1, dtype=np.uint64))
             for r in range(n_ranges):
@@ -257,14 +257,14 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
 
         def rows() -> Iterator[tuple]:
             held, size = [], 0
-            for b in batches:
+            for b in slices(batches):
                 for data, d, k in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     if len(data) < length:
                         continue
                     found = list(segments(data, length))
                     held.append((d, k, found, b"".join(hashlib.blake2b(data[lo : hi + length], digest_size=16).digest() for _, lo, hi, _ in found)))
                     size += len(found)
-                    if size >= 1 << 17:
+                    if size >= 1 << 16:
                         yield from flush(held)
                         held, size = [], 0
             if held:
@@ -331,16 +331,15 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(k[cut]), pa.array(parts, pa.binary())], names=["d", "k", "part"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("r", pa.int64()), ("h", pa.int64()), ("d", pa.int64()), ("k", pa.int64()), ("lo", pa.int64()), ("at", pa.int64()), ("whole", pa.bool_()), ("bytes", pa.binary())])
+        out = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("k", pa.int64()), ("lo", pa.int64()), ("at", pa.int64()), ("whole", pa.bool_()), ("bytes", pa.binary())])
 
         def rows() -> Iterator[tuple]:
-            for b in batches:
+            for b in slices(batches):
                 for d, k, data, lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
                     for part in lists:
                         h, lo, hi, at, whole = unpack(part)
-                        r = ((h >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).tolist()
                         for n, (a, z) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-                            yield r[n], int(h[n].astype(np.int64)), d, k, a, int(at[n]), bool(whole[n]), data[a : z + length]
+                            yield int(h[n].astype(np.int64)), d, k, a, int(at[n]), bool(whole[n]), data[a : z + length]
 
         return batched(rows(), out)
 
@@ -348,15 +347,17 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         out = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("part", pa.binary())])
 
         def by_text(found: list[tuple]) -> Iterator[tuple]:
-            x = np.array(found, np.int64).reshape(-1, 4)
+            if not found:
+                return
+            x = np.array(found, np.int64)
             x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
-            cut = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(axis=1)])) if len(x) else []
+            cut = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(axis=1)]))
             for a, z in zip(cut, [*cut[1:], len(x)], strict=True):
                 yield int(x[a, 0]), int(x[a, 1]), pack(x[a:z, 2], x[a:z, 3])
 
         def rows() -> Iterator[tuple]:
             groups, group, last, size = [], [], None, 0
-            for b in batches:
+            for b in slices(batches):
                 for h, d, k, lo, at, whole, data in zip(*(b.column(j).to_pylist() for j in range(7)), strict=True):
                     if h != last and group:
                         if len(group) > 1:
@@ -389,7 +390,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
         out = pa.schema([("i", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
         def rows() -> Iterator[tuple]:
-            for b in batches:
+            for b in slices(batches):
                 for i, data, lists in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                     if not lists:
                         yield i, len(data), 0, 0, data
@@ -406,8 +407,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
 
     lists = lambda df: df.groupBy("d", "k").agg(F.collect_list("part").alias("parts"))
     want = lists(met.where("kind = 0").select("part").mapInArrow(wanted, "d long, k long, part binary"))
-    fetched = src.select("d", "k", "x").join(want, ["d", "k"]).mapInArrow(fetch, "r long, h long, d long, k long, lo long, at long, whole boolean, bytes binary")
-    met_again = fetched.repartition("r").sortWithinPartitions("h").select("h", "d", "k", "lo", "at", "whole", "bytes")
+    fetched = src.select("d", "k", "x").join(want, ["d", "k"]).mapInArrow(fetch, "h long, d long, k long, lo long, at long, whole boolean, bytes binary")
+    met_again = fetched.repartition("h").sortWithinPartitions("h").select("h", "d", "k", "lo", "at", "whole", "bytes")
     lost = met_again.mapInArrow(sort, "d long, k long, part binary").unionByName(met.where("kind = 1").select("part").mapInArrow(known, "d long, k long, part binary"))
     lost = written(lost, "repeated")
     release(spark)
