@@ -18,12 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import count_min
-from .common import WordHashes, as_bytes, batched, release, window_hashes
+from .common import WORDS, as_bytes, batched, release, slices, window_hashes
 
 NULL_ID = np.iinfo(np.int64).max
 SEED1, SEED2 = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179
 AT_ONCE = 1 << 20
-_WORDS = WordHashes()
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -59,8 +58,8 @@ def remove_repeated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
     bits = count_min.row_bits(n_bytes // 6, most_bits)
 
     def all_windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for data in as_bytes(batch.column(0)):
-            h = window_hashes(_WORDS.of(data.split()), width, SEED1)
+        for data in (x for b in slices(iter([batch])) for x in as_bytes(b.column(0))):
+            h = window_hashes(WORDS.of(data.split()), width, SEED1)
             if len(h):
                 yield h
 
@@ -104,9 +103,9 @@ def remove_repeated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
 
         def rows() -> Iterator[tuple]:
             held, size = [], 0
-            for batch in batches:
+            for batch in slices(batches):
                 for i, data, key in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                    words = _WORDS.of(data.split())
+                    words = WORDS.of(data.split())
                     h = window_hashes(words, width, SEED1)
                     at = np.flatnonzero(count_min.estimated_frequent(sketch, h, bits))
                     if len(at):
@@ -169,7 +168,7 @@ def remove_repeated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
         out = pa.schema([("i", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
         def rows() -> Iterator[tuple]:
-            for batch in batches:
+            for batch in slices(batches):
                 for i, data, lists in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                     words = data.split()
                     n = len(words)
