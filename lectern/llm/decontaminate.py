@@ -6,6 +6,9 @@ other, so looking up all near block values finds every item within the radius. E
 similarity of the two bags of shingles. A window without any shingle of the benchmark has similarity 0 with every item, so
 fingerprints are made only around such shingles.
 
+A document of fewer shingles than an item is the one window, held against the items by itself: bags of two sizes have no
+fingerprint radius, so items come from the shingles they share with it, and the similarity takes both sizes as they are.
+
 The radius: at similarity 0.75 the cosine of two bags of one size is 6/7, their fingerprints differ in 11 of 64 bits on
 average with a standard deviation of 3, and in more than 23 about three times in 100,000.
 """
@@ -65,6 +68,7 @@ class Matcher:
         self.percent = percent
         self.whole: dict[tuple[str, ...], list[int | None]] = {}  # items under WIDTH words: only as a whole document
         self.sizes: dict[int, dict] = {}
+        self.places: list[tuple[int, int]] = []  # of each item with shingles: its size and its place in the group of that size
         every = []
         for item, text in items:
             w = words(text)
@@ -79,7 +83,14 @@ class Matcher:
             group["items"].append(item)
             group["bags"].append(Counter(s.tolist()))
             group["prints"].append(fingerprints(s, np.zeros(1, np.int64), len(s))[0])
+            self.places.append((len(s), len(group["items"]) - 1))
         self.known = np.unique(np.concatenate(every)) if every else np.empty(0, np.uint64)
+        # The items of each known shingle, one after another: those of known[k] are owners[owned[k] : owned[k + 1]].
+        has = [np.searchsorted(self.known, np.unique(s)) for s in every]
+        self.owners = np.repeat(np.arange(len(every)), [len(x) for x in has])[np.argsort(np.concatenate(has), kind="stable")] if every else np.empty(0, np.int64)
+        self.owned = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(has), minlength=len(self.known)))]) if every else np.zeros(1, np.int64)
+        self.item_sizes = np.array([size for size, _ in self.places], np.int64)
+        self.most = max(self.sizes, default=0)
         self.first = np.zeros(1 << 20, bool)
         self.first[(self.known >> np.uint64(44)).astype(np.int64)] = True
         for group in self.sizes.values():
@@ -93,13 +104,15 @@ class Matcher:
             return [(item, 1.0, 0, len(w)) for item in self.whole.get(tuple(w), ())] if w else []
         s = window_hashes(_HASHES.of(w), WIDTH, SEED)
         maybe = np.flatnonzero(self.first[(s >> np.uint64(44)).astype(np.int64)])
+        at = maybe
         if len(maybe):
             at = np.minimum(np.searchsorted(self.known, s[maybe]), len(self.known) - 1)
-            maybe = maybe[self.known[at] == s[maybe]]
+            same = self.known[at] == s[maybe]
+            maybe, at = maybe[same], at[same]
         hits = maybe
         if not len(hits):
             return []
-        out = []
+        out = self.longer(s, at, len(w))
         for size, group in self.sizes.items():
             if size > len(s):
                 continue
@@ -128,6 +141,25 @@ class Matcher:
             out += [(group["items"][k], sim, -start, size + WIDTH - 1) for k, (sim, start) in best.items()]
         return out
 
+    def longer(self, s: np.ndarray, at: np.ndarray, n_words: int) -> list[tuple[int | None, float, int, int]]:
+        """What find returns for the items of more shingles than the text, whose shingles are s, with those of the benchmark
+        at places `at` of the known ones."""
+        if len(s) * 100 < self.percent * (len(s) + 1) or len(s) >= self.most:
+            return []
+        # An item's share of the text's shingles bounds what both have; it has to reach p / (100 + p) of the two sizes.
+        counts = np.zeros(len(self.places), np.int64)
+        for k, n in zip(*np.unique(at, return_counts=True), strict=True):
+            counts[self.owners[self.owned[k] : self.owned[k + 1]]] += n
+        sizes = self.item_sizes
+        out, own = [], Counter(s.tolist())
+        for k in np.flatnonzero((sizes > len(s)) & (counts * (100 + self.percent) >= self.percent * (len(s) + sizes))).tolist():
+            size, place = self.places[k]
+            group = self.sizes[size]
+            both = sum((group["bags"][place] & own).values())
+            if 100 * both >= self.percent * (len(s) + size - both):
+                out.append((group["items"][place], both / (len(s) + size - both), 0, n_words))
+        return out
+
 
 def matchers(benchmark: DataFrame, item_col: str, text_col: str, percent: int, block_bytes: int) -> Iterator[Matcher]:
     """The benchmark as indexes of bounded size, block by block; each is broadcast by itself."""
@@ -140,7 +172,8 @@ def matchers(benchmark: DataFrame, item_col: str, text_col: str, percent: int, b
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 75, block_bytes: int = 1 << 20) -> DataFrame:
     """The benchmark items that documents hold: id_col, item_col, similarity, start_word, n_words (counted in lower-cased
-    runs of letters and digits), a row for each row of docs and item at the most similar window.
+    runs of letters and digits), a row for each row of docs and item at the most similar window. A document shorter than an
+    item is one window, at its whole length.
 
     Null or empty texts hold and are nothing; an item under five words is found only where it is a whole document. Null
     identifiers are carried on; repeated rows of either table give rows of their own. Other columns are ignored. A

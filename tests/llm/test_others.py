@@ -154,6 +154,31 @@ def test_leaks(spark):
     assert Counter(r.doc_id for r in left.collect()) == Counter(d for d, _ in docs if d not in hit)
 
 
+def test_leaks_in_documents_shorter_than_the_item(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(60)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.choice((7, 12, 38, 60))))) for k in range(30)] + [(50, " ".join(["again"] * 30))]
+    docs = [(100 * i + cut, " ".join(t.split()[:-cut] if cut % 2 else t.split()[cut:])) for i, t in items for cut in range(1, 16) if len(t.split()) > cut]
+    want = {}
+    for d, t in docs:
+        w = t.split()
+        own = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        for i, x in items:
+            y = x.split()
+            bag = Counter(tuple(y[k : k + 5]) for k in range(len(y) - 4))
+            if sum(bag.values()) > sum(own.values()):
+                both = sum((bag & own).values())
+                sim = both / (sum(own.values()) + sum(bag.values()) - both)
+                if sim >= 0.75:
+                    want[d, i] = (sim, 0, len(w))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in D.find_leaks(frame, bench).collect()}
+    long = {k: v for k, v in got.items() if v[2] < len(dict(items)[k[1]].split())}
+    assert {k: pytest.approx(v) for k, v in want.items()} == long and len(want) > 50
+    assert D.Matcher([(1, " ".join(f"w{k}" for k in range(38)))]).find(" ".join(f"w{k}" for k in range(37))) == [(1, 33 / 34, 0, 37)]
+    assert {r.doc_id for r in D.without_leaks(frame, bench).collect()}.isdisjoint(d for d, _ in want)
+
+
 def test_leaks_in_blocks(spark, docs, empty):
     b = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(20)], "item_id long, text string")
     own = b.selectExpr("item_id + 1000 as doc_id", "concat('ahead ', text) as text", "1 as i", "2 as d")
