@@ -76,17 +76,37 @@ def promotes_function_word(window: Column, match: Column) -> Column:
     return (F.size(F.split(window, " ")) == F.size(F.split(match, " "))) & F.exists(pairs, lambda x: F.coalesce(x, F.lit(False)))
 
 
+#: Characters counted together in a signature; those of no class are not counted.
+_CLASSES = ("e", "t", "a", "o", "i", "n", "s", "r", "h", "l", "d", "u", "c", "m", "fp", "gy", "wv", "bk", "jxqz", "01234", "56789")
+
+
+def letter_signature(text: Column) -> Column:
+    """63 bits: for each class of characters, as many of its three as the text has characters of it. A letter more or less
+    changes a bit at most, so the differing bits of two texts are no more than insertions and deletions between them."""
+    out = F.lit(0).cast("long")
+    for k, chars in enumerate(_CLASSES):
+        n = F.length(text) - F.length(F.translate(text, chars, ""))
+        bits = F.when(n == 0, 0).when(n == 1, 1).when(n == 2, 3).otherwise(7).cast("long")
+        out = out.bitwiseOR(F.shiftleft(bits, 3 * k))
+    return out
+
+
 def best_matches(windows: DataFrame, vocabulary: DataFrame, threshold: float = SETTINGS.fuzzy_threshold) -> DataFrame:
     """The best vocabulary term for each distinct window (gram, n), at a ratio of `threshold` or more: gram, term, ratio.
 
-    Terms have as many words as the window (the join's key) and, as the ratio bounds them, about its length; ties go to the
-    term that comes first. A window whose best term would promote a function word has none."""
-    v = vocabulary.select("term", F.size(F.split("term", " ")).alias("n")).distinct()
-    w = windows.select("gram", "n").where(F.length("gram") >= K.LEAST_WINDOW_CHARS).distinct()
+    Terms have as many words as the window and one of the lengths that the ratio allows (the join's key), and signatures that
+    differ by no more than the ratio does; no pair at the threshold is lost. Ties go to the term that comes first. A window
+    whose best term would promote a function word has none."""
+    v = vocabulary.select("term", F.size(F.split("term", " ")).alias("n"), F.length("term").alias("size")).distinct().withColumn("v", letter_signature(F.col("term")))
+    w = windows.select("gram", "n").where(F.length("gram") >= K.LEAST_WINDOW_CHARS).distinct().withColumn("w", letter_signature(F.col("gram")))
+    least = threshold / (200.0 - threshold)
+    sizes = F.sequence(F.floor(F.length("gram") * least).cast("int"), F.ceil(F.length("gram") / least).cast("int")) if threshold > 0 else None
     lo, hi = F.least(F.length("gram"), F.length("term")), F.length("gram") + F.length("term")
+    most = (1 - threshold / 100) * hi + 1e-9
     # Edits with replacements are no more than insertions and deletions, which the ratio counts.
-    near = F.levenshtein("gram", "term") <= (1 - threshold / 100) * hi + 1e-9
-    pairs = w.join(v, "n").where((200.0 * lo >= threshold * hi) & near).withColumn("ratio", fuzzy.ratio(F.col("gram"), F.col("term"))).where(F.col("ratio") >= threshold)
+    near = (F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= most) & (F.levenshtein("gram", "term") <= most)
+    both = w.join(v, "n") if sizes is None else w.withColumn("size", F.explode(sizes)).join(v, ["n", "size"])
+    pairs = both.where((200.0 * lo >= threshold * hi) & near).withColumn("ratio", fuzzy.ratio(F.col("gram"), F.col("term"))).where(F.col("ratio") >= threshold)
     best = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("gram").orderBy(F.desc("ratio"), "term"))).where("_k = 1")
     return best.where(~promotes_function_word(F.col("gram"), F.col("term"))).select("gram", "term", "ratio")
 

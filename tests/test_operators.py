@@ -172,6 +172,44 @@ def test_fuzzy_matches_against_plain(spark):
     assert got == want
 
 
+def test_fuzzy_vocabulary_is_whole(spark):
+    from lectern.plans import catalog
+
+    t = spark.createDataFrame([(1, ["aa", "bb", "cc", "dd"])], "query_id int, tokens array<string>")
+    got = {r.term for r in catalog.fuzzy_vocabulary(Q.ngrams(t, (2, 3))).collect()}
+    assert got == {"aaa bb", "bbb cc", "ccc dd", "aaa bb cc", "bbb cc dd"}
+
+
+def test_fuzzy_blocks_lose_nothing(spark):
+    import random
+
+    random.seed(6)
+    words = ["".join(random.choices("abeèz19", k=random.randint(1, 7))) for _ in range(40)]
+    grams = sorted({" ".join(random.choices(words, k=n)) for n in (2, 3) for _ in range(60)})
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    w = spark.createDataFrame([(g, len(g.split())) for g in grams], "gram string, n int")
+    terms = [g[0] + g for g in grams[::2]] + [g[1:-1] for g in grams if g.split()[0][1:] and g.split()[-1][:-1]]
+    for limit in (60.0, 80.0, 100.0):
+        want = {}
+        for g in grams:
+            best = sorted((-200.0 * lcs(g, t) / (len(g) + len(t)), t) for t in set(terms) if len(t.split()) == len(g.split()))
+            if len(g) >= 5 and best and -best[0][0] >= limit:
+                want[g] = best[0][1]
+        got = {r.gram: r.term for r in Q.best_matches(w, spark.createDataFrame([(t,) for t in terms], "term string"), limit).collect()}
+        left = {g: t for g, t in want.items() if g not in got}
+        assert {g: t for g, t in want.items() if g in got} == got
+        assert all(any(x != y and x in Q.K.FUNCTION_WORDS for x, y in zip(g.split(), t.split(), strict=True)) for g, t in left.items())
+
+
 def test_grounding(spark):
     s = spark.createDataFrame([(1, 1, "t", "a"), (1, 2, "t", "x"), (2, 1, "t", "x")], "answer_id int, number int, text string, chunk_id string")
     w = spark.createDataFrame([(1, "t", None), (1, "t", "x"), (1, "t", "a")], "answer_id int, text string, chunk_id string")
