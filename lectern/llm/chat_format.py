@@ -3,10 +3,14 @@
 For each conversation the renderer is called on successive prefixes of its turns; the part by which one output exceeds
 the one before is the span of the new turn. An output that doesn't begin with the one before shows a template that
 rewrites history. Rendering every prefix from the first turn would cost the square of the turns, so after `context`
-turns the prefix begins anew a few turns back, and the last turn's span has to come out the same from both beginnings;
-a template for which it doesn't is reported like one that rewrites history.
-
-Turns stream through in (conversation, turn) order: memory holds `context` turns, whatever a conversation's length.
+turns the prefix begins anew a few turns back, behind the system turns that open the conversation, and the last turn's
+span has to come out the same from both beginnings; a template for which it doesn't, such as one that numbers turns, is
+reported like one that rewrites history. So that no rewriting further back goes unseen, the whole conversation is rendered
+as well whenever its turns have doubled and at its end, and has to be what the spans add up to: linear time in all. Such
+rewriting is reported at the turn where the whole was rendered; what a template changes and restores between two of these
+lengths is not seen.
+
+Turns stream through in (conversation, turn) order: memory holds one conversation.
 """
 
 from __future__ import annotations
@@ -80,23 +84,53 @@ def parse_inst(piece: str) -> list[tuple[str, str, int, int]]:
 
 def spans(messages: Iterator[Message], render: Callable[[list[Message]], str], context: int = 16) -> Iterator[tuple[str, bool]]:
     """The text that each turn adds to the output, and whether the template rewrote what it had put out before."""
-    held: list[Message] = []
+    turns = iter(messages)
+    every: list[Message] = []
+    lead: list[Message] = []  # up to `context` system turns ahead of all others; restarted prefixes keep them
+    held: list[Message] = []  # turns after those, since the last beginning
     before = render([])
     anchored = before  # what stands ahead of the first turn belongs to its span
-    first, far = True, False
-    for message in messages:
-        if len(held) >= 2 * context:
-            # Begin anew `context` turns back: the last turn's span must not depend on where the prefix begins.
-            last_before, short = render(held[:-1]), held[-context:]
-            a, b = render(short[:-1]), render(short)
-            far = not (before.startswith(last_before) and b.startswith(a) and before[len(last_before) :] == b[len(a) :])
-            held, before = short, b
-        held.append(message)
-        now = render(held)
+    first, far, whole, rewrote = True, False, True, False
+    restart, check = 2 * context, 2 * context
+    said = hashlib.blake2b()
+    message = next(turns, None)
+    while message is not None:
+        following = next(turns, None)
+        if len(held) >= restart:
+            # Begin anew about `context` turns back, at a turn of the first one's role if there is one: the last turn's span must
+            # not depend on where the prefix begins. A template that refuses the shorter prefix goes on with the longer one.
+            cut = next((k for k in range(len(held) - context, 0, -1) if held[k][0] == held[0][0]), len(held) - context)
+            last_before, short = render(lead + held[:-1]), held[cut:]
+            try:
+                a, b = render(lead + short[:-1]), render(lead + short)
+            except Exception:
+                restart = len(held) + context
+            else:
+                far = not (before.startswith(last_before) and b.startswith(a) and before[len(last_before) :] == b[len(a) :])
+                held, before, whole, restart = short, b, False, max(2 * context, len(short) + context)
+        (held if held or message[0] != "system" or len(lead) >= context else lead).append(message)
+        if not rewrote:
+            every.append(message)
+        now = render(lead + held)
         grown = now.startswith(before)
         piece = now[len(before) :] if grown else now
-        yield (anchored + piece if first and grown else piece), far or not grown
+        piece = anchored + piece if first and grown else piece
+        rewrites = far or not grown
+        if not rewrote:
+            said.update(piece.encode("utf-8", "surrogatepass"))
+            # Held against the whole output at doubling lengths and at the end, which costs a constant number of turns each.
+            if not rewrites and not whole and (following is None or len(every) >= check):
+                full = render(every)
+                if hashlib.blake2b(full.encode("utf-8", "surrogatepass")).digest() != said.digest():
+                    piece, rewrites = full, True
+            if len(every) >= check:
+                check *= 2
+            if rewrites:
+                rewrote = True
+                every.clear()
+        yield piece, rewrites
         before, first, far = now, False, False
+        message = following
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", render: Callable[[list[Message]], str] = render_inst, parse: Callable[[str], list[tuple[str, str, int, int]]] = parse_inst, context: int = 16) -> DataFrame:

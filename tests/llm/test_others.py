@@ -109,6 +109,32 @@ def test_templates_that_rewrite():
     assert next(C.spans(iter(turns), header, 4))[0].startswith("HEAD <s>")
 
 
+def test_templates_that_rewrite_far_back():
+    turns = [(("user", "assistant")[k % 2], f"t{k}") for k in range(200)]
+    last = lambda m: "".join(f"<{r}>{x}" for r, x in m[-40:])
+    late = lambda m: "".join(f"<{r}>{x}" if k >= len(m) - 33 else f"<{r}>" for k, (r, x) in enumerate(m))
+    for template in (last, late):
+        for n in (41, 63, 64, 65, 200):
+            assert any(r for _, r in C.spans(iter(turns[:n]), template)), n
+    assert not any(r for _, r in C.spans(iter(turns[:40]), last))
+
+    def strict(m):
+        rest = m[1:] if m and m[0][0] == "system" else m
+        assert all(r == ("user", "assistant")[k % 2] for k, (r, _) in enumerate(rest))
+        return "".join(f"<{r}>{x}" for r, x in m)
+
+    for talk in (turns, [("system", "s"), *turns]):
+        got = list(C.spans(iter(talk), strict))
+        assert "".join(p for p, _ in got) == strict(talk) and not any(r for _, r in got) and len(got) == len(talk)
+
+    seen = [0]
+    plain = lambda m: (seen.__setitem__(0, seen[0] + len(m)), C.render_inst(m))[1]
+    many = [("system", "s"), *turns * 20]
+    got = list(C.spans(iter(many), plain))
+    assert "".join(p for p, _ in got) == C.render_inst(many) and seen[0] < 40 * len(many)
+    assert list(C.spans(iter([]), plain)) == []
+
+
 # 4: benchmark decontamination
 
 def test_leaks(spark):
