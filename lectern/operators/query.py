@@ -45,27 +45,34 @@ def error_codes(queries: DataFrame, codes: DataFrame) -> DataFrame:
     return found.join(F.broadcast(any_)).where(~F.col("some") | F.col("indexed")).select("query_id", "code")
 
 
-def mentioned_model(queries: DataFrame, models: DataFrame, most_tokens: int = 6) -> DataFrame:
-    """query_id, model: the first, then shortest run of tokens whose concatenation is a model's compact key."""
-    toks = queries.select("query_id", T.tokens(F.col("text")).alias("t"))
-    runs = toks.select("query_id", "t", F.explode(F.when(F.size("t") > 0, F.sequence(F.lit(1), F.size("t"))).otherwise(F.array().cast("array<int>"))).alias("start"))
-    runs = runs.select("query_id", "t", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_tokens), F.size("t") - F.col("start") + 1))).alias("n"))
-    runs = runs.select("query_id", "start", "n", F.array_join(F.slice("t", F.col("start"), F.col("n")), "").alias("compact"))
+def mentioned_model(queries: DataFrame, models: DataFrame) -> DataFrame:
+    """query_id, model: the first, then shortest run of tokens whose concatenation is a model's compact key. Runs go on to the
+    length of the longest key."""
+    longest = models.agg(F.max(F.length("compact")).alias("longest")).where("longest > 0")
+    toks = queries.select("query_id", T.tokens(F.col("text")).alias("t")).join(F.broadcast(longest))
+    runs = toks.select("query_id", "t", "longest", F.explode(F.when(F.size("t") > 0, F.sequence(F.lit(1), F.size("t"))).otherwise(F.array().cast("array<int>"))).alias("start"))
+    runs = runs.select("query_id", "t", "longest", "start", F.explode(F.sequence(F.lit(1), F.least("longest", F.size("t") - F.col("start") + 1))).alias("n"))
+    runs = runs.select("query_id", "start", "n", "longest", F.array_join(F.slice("t", F.col("start"), F.col("n")), "").alias("compact")).where(F.length("compact") <= F.col("longest"))
     found = runs.join(models, "compact").withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy("start", "n", "compact")))
     return found.where("_k = 1").select("query_id", "model")
 
 
 def exact_terms(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """query_id, term: vocabulary terms (term) that stand in the tokens (tokens) as whole words. A term of n words is looked up
-    among the n-token runs, so this is an equality join."""
-    runs = ngrams(queries, (1, 5))
+    among the n-token runs, so this is an equality join; the vocabulary says which n there are."""
+    sizes = vocabulary.select(F.size(F.split("term", " ")).alias("n")).distinct()
+    runs = runs_of(queries.select("query_id", "tokens").join(F.broadcast(sizes)))
     return runs.join(vocabulary.select("term").distinct(), runs["gram"] == F.col("term")).select("query_id", "term").distinct()
 
 
 def ngrams(queries: DataFrame, sizes: tuple[int, int]) -> DataFrame:
     """query_id, start (from 0), n, gram: runs of n tokens for each n of an inclusive range."""
-    n = F.explode(F.sequence(F.lit(sizes[0]), F.lit(sizes[1])))
-    x = queries.select("query_id", "tokens", n.alias("n")).where(F.size("tokens") >= F.col("n"))
+    return runs_of(queries.select("query_id", "tokens", F.explode(F.sequence(F.lit(sizes[0]), F.lit(sizes[1]))).alias("n")))
+
+
+def runs_of(queries: DataFrame) -> DataFrame:
+    """query_id, start (from 0), n, gram: runs of n tokens for rows (query_id, tokens, n)."""
+    x = queries.where(F.size("tokens") >= F.col("n"))
     x = x.select("query_id", "tokens", "n", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("n"))).alias("start"))
     return x.select("query_id", "start", "n", F.array_join(F.slice("tokens", F.col("start") + 1, F.col("n")), " ").alias("gram"))
 

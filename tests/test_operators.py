@@ -210,6 +210,16 @@ def test_fuzzy_blocks_lose_nothing(spark):
         assert all(any(x != y and x in Q.K.FUNCTION_WORDS for x, y in zip(g.split(), t.split(), strict=True)) for g, t in left.items())
 
 
+def test_models_and_terms_of_any_length(spark):
+    q = spark.createDataFrame([(1, "the a b c d e f g h printer", "the a b c d e f g h printer".split()), (2, "", [])], "query_id int, text string, tokens array<string>")
+    m = spark.createDataFrame([("A-B C/D E.F G H", 0), ("Printers", 1)], "model string, pos int")
+    assert [tuple(r) for r in Q.mentioned_model(q, Q.indexed_models(m)).collect()] == [(1, "A-B C/D E.F G H")]
+    assert Q.mentioned_model(q, Q.indexed_models(m).limit(0)).count() == 0
+    v = spark.createDataFrame([("a b c d e f g",), ("the",), ("g h printer x",)], "term string")
+    assert sorted(r.term for r in Q.exact_terms(q, v).collect()) == ["a b c d e f g", "the"]
+    assert Q.exact_terms(q, v.limit(0)).count() == 0
+
+
 def test_grounding(spark):
     s = spark.createDataFrame([(1, 1, "t", "a"), (1, 2, "t", "x"), (2, 1, "t", "x")], "answer_id int, number int, text string, chunk_id string")
     w = spark.createDataFrame([(1, "t", None), (1, "t", "x"), (1, "t", "a")], "answer_id int, text string, chunk_id string")
