@@ -8,7 +8,7 @@ overlap of two members. Equal sets are one node from the start, so copies are ne
 
 Links are needed up to connection, so within a list each member is first compared with one leader alone, whose near copies
 this joins in linear time. Then every pair of list members that is still unconnected, and that sizes and places allow, is
-compared exactly; nothing is capped. Comparisons move a text for each pair, to where the other's text is.
+compared exactly; nothing is capped. Where links are to be counted, every pair of list members is, connected or not. Comparisons move a text for each pair, to where the other's text is.
 """
 
 from __future__ import annotations
@@ -109,19 +109,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def shingle_join(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per input row: id_col, n_shingles, n_links (distinct other sets linked in the comparisons made, not all there
-    may be within a component), component_id (the smallest identifier among the rows that links connect, itself included).
+def shingle_join(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """A row per input row: id_col, n_shingles, n_links (distinct other sets that link with its set), component_id (the
+    smallest identifier among the rows that links connect, itself included). Counting compares all candidate pairs, as many
+    as the square of a group of near copies; without count_links there is no n_links, and a group costs its size.
 
     Two rows link when 100 * intersection >= percent * union of their sets of `width`-word shingles. A text with fewer words
     is one shingle; null or without words, its set is empty and it links with nothing. A null identifier takes part, but is
     never a component_id unless the component has no other. Repeated rows link with each other. Other columns are ignored.
     Sets are compared by 64-bit hashes of their shingles, nodes are named by 64 bits of their set's digest.
     """
-    sets, named = groups(docs, width, percent, id_col, text_col)
+    sets, named = groups(docs, width, percent, id_col, text_col, count_links)
+    n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
     node = named.select("nid", "component_id", "n_links", F.lit(True).alias("some"))
     return sets.join(node, (sets["nid"] == node["nid"]) & (sets["n"] > 0), "left").select(
-        F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("some"), F.col("component_id")).otherwise(F.col("i")).alias("component_id")
+        F.col("i").alias(id_col), F.col("n").alias("n_shingles"), *n_links, F.when(F.col("some"), F.col("component_id")).otherwise(F.col("i")).alias("component_id")
     )
 
 
@@ -138,9 +140,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     return stay.select(*docs.columns).unionByName(docs.where(~has_words))
 
 
-def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, count_links: bool = False) -> tuple[DataFrame, DataFrame]:
     """The rows (i, k: hash of the text, n: size of the set, nid: its node) and the nodes (nid, i, k of their first row,
-    component, component_id, n_links)."""
+    component, component_id, n_links: of the links found, which are all with count_links)."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
     n_bytes = src.agg(F.sum(F.octet_length("x"))).first()[0] or 0
@@ -285,7 +287,8 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     size = lambda c: nodes.select(F.col("nid").alias(c), F.col("n").alias(f"n{c}"))
     star = star.join(size("u"), "u").join(size("v"), "v")
     likely = (100 + percent) * (F.col("c") + F.greatest("nu", "nv") * percent / 100) >= percent * (F.col("nu") + F.col("nv"))
-    star = cut_lineage(star.where(likely | (F.least("nu", "nv") <= 2 * MOST_LIGHT)).select("u", "v"))
+    star = star.where(likely | (F.least("nu", "nv") <= 2 * MOST_LIGHT)).select("u", "v")
+    star = star if count_links else cut_lineage(star)
 
     # 5. The texts of all nodes that are in some list, once.
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,25 +312,28 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     texts = written(texts, "texts")
     release(spark)
 
-    links = cut_lineage(compare(star, texts, width, percent))
-    every = [links]
-    labels = components(links, "u", "v")
+    every, labels = [], None
+    if not count_links:
+        links = cut_lineage(compare(star, texts, width, percent))
+        every = [links]
+        labels = components(links, "u", "v")
 
     release(spark)
-    # 6. All pairs of list members that are not connected so far.
+    # 6. All pairs of list members that are not connected so far; to count links, all pairs.
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in b.column(0).to_pylist():
                 h, nid, *rest = unpack(part)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(nid), *(pa.array(x.astype(np.int64)) for x in rest)], names=["h", "nid", "n", "pos", "rare"])
 
-    each = lists.mapInArrow(entries, "h long, nid long, n long, pos long, rare long").join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    each = lists.mapInArrow(entries, "h long, nid long, n long, pos long, rare long")
+    each = each.withColumn("label", F.col("nid")) if count_links else each.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     n_blocks = max(16, n_bytes // (16 << 20))
     part = each.select("h", "nid", "n", "pos", "rare", "label").repartition("h").sortWithinPartitions("h").mapInArrow(lambda x: unconnected(x, percent, n_blocks), "r long, part binary")
     pairs = cut_lineage(part.repartition("r").sortWithinPartitions("r").mapInArrow(lambda x: candidates(x, percent), "u long, v long, c long"))
     release(spark)
     # If there are many, comparing the likeliest partner of each node first connects most of what there is to connect.
-    while pairs.count() > 4 * nodes.count():
+    while not count_links and pairs.count() > 4 * nodes.count():
         best = cut_lineage(pairs.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")))
         found = cut_lineage(compare(best, texts, width, percent))
         if not found.isEmpty():

@@ -63,7 +63,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.shingle_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.shingle_join(table(spark, sf_dir, "documents"), count_links=False).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,29 @@ def brute_components(rows, percent=75):
     return sets, list(members.values())
 
 
+def test_links_within_components_are_counted(spark):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(300)]
+    rows = []
+    for size in (60, 9, 200):
+        base = rng.choices(vocab, k=size)
+        for _ in range(30):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(size)] = "edited" + str(rng.randrange(5))
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + k, t) for k, (_, t) in enumerate(rows[:3])] + [(900, None), (901, "two words"), (None, rows[7][1])]
+    sets, _ = brute_components(rows_ := [(d, t or "") for d, t in rows])
+    distinct = set(sets)
+    links = lambda a: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) and bool(a & b) for b in distinct)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.shingle_join(df)
+    assert Counter((r.doc_id, r.n_links) for r in got.collect()) == Counter((d, links(s)) for (d, _), s in zip(rows_, sets, strict=True))
+    assert max(map(links, distinct)) > 10
+    plain = ngram_join.shingle_join(df, count_links=False)
+    assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, got.drop("n_links").collect()))
+
+
 def test_join(docs, odd, empty, rows):
     sets, groups = brute_components(rows)
     want = Counter()
