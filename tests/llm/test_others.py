@@ -338,6 +338,15 @@ def test_pages(spark):
     assert H.extract_text(df.limit(0)).count() == 0
 
 
+def test_words_and_links_decide_without_markers():
+    tree, long = H.trained(), " ".join(["word"] * 200)
+    links = "<ul>" + "<li><a href=x>More here</a></li>" * 4 + "</ul>"
+    assert H.extract(f"<h1>Two words</h1><p>{long}</p>{links}", tree) == f"Two words\n\n{long}"
+    assert H.extract(f"<h1>Head</h1><div class='post-meta'>By X</div><p>{long}</p>{links}", tree) == f"Head\n\nBy X\n\n{long}"
+    assert H.extract(f"<article><p>{long}</p></article><p>{long[:300]}</p>", tree) == long
+    assert all(H.decide(tree, (words, own, 2, before, 3, after, 0, 0)) for words in (25, 90, 300) for own in (0, 0.2) for before in (0, 0.5, 1) for after in (0, 0.5, 1))
+
+
 def test_tree_fits_its_table():
     tree = H.trained()
     for line in H.LABELLED.strip().splitlines():
