@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -292,6 +292,11 @@ def greedy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BYTES = "translate({0}, '" + "".join(map(chr, range(0xE0, 0x100))) + "', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*')"
 
 
+def swapped(word: Column) -> Column:
+    """A word with its first two letters swapped."""
+    return F.concat(F.substring(word, 2, 1), F.substring(word, 1, 1), F.substr(word, F.lit(3)))
+
+
 @query(
     rf"""WITH m AS (SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zà-ÿ]+')) AS word FROM documents) WHERE NOT regexp_matches(word, '[0-9÷]') GROUP BY word HAVING count(*) >= 20),
 q AS (SELECT DISTINCT substr(word, 2, 1) || left(word, 1) || substr(word, 3) AS word FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zà-ÿ]+')) AS word FROM benchmark) WHERE length(word) >= 5 AND NOT regexp_matches(word, '[0-9]')),
@@ -302,7 +307,7 @@ SELECT word, corrected FROM (SELECT *, row_number() OVER (PARTITION BY word ORDE
 def typo_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     manual = Q.term_frequency(docs(spark, sf_dir)).where("freq >= 20")
     word = query_tokens(spark, sf_dir).select(F.explode("tokens").alias("word")).where(F.length("word") >= 5)
-    said = word.select(F.concat(F.substring("word", 2, 1), F.substring("word", 1, 1), F.substring("word", 3, 1000)).alias("word")).distinct()
+    said = word.select(swapped(F.col("word")).alias("word")).distinct()
     return Q.corrections(said, manual, spark.createDataFrame([], "word string, freq double"))
 
 

@@ -210,6 +210,14 @@ def test_fuzzy_blocks_lose_nothing(spark):
         assert all(any(x != y and x in Q.K.FUNCTION_WORDS for x, y in zip(g.split(), t.split(), strict=True)) for g, t in left.items())
 
 
+def test_swapped_words_stay_whole(spark):
+    from lectern.plans import catalog
+
+    words = ["ab" + "c" * 1500, "abc", "ab"]
+    got = spark.createDataFrame([(w,) for w in words], "word string").select(catalog.swapped(F.col("word")).alias("s")).collect()
+    assert [r.s for r in got] == ["ba" + w[2:] for w in words]
+
+
 def test_models_and_terms_of_any_length(spark):
     q = spark.createDataFrame([(1, "the a b c d e f g h printer", "the a b c d e f g h printer".split()), (2, "", [])], "query_id int, text string, tokens array<string>")
     m = spark.createDataFrame([("A-B C/D E.F G H", 0), ("Printers", 1)], "model string, pos int")
