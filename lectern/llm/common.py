@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import string
 import tempfile
 import uuid
@@ -18,15 +19,24 @@ MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new one of our own only where the session names none."""
+    """The folder that driver and executors share, from the session's spark.checkpoint.dir. Where none is set, a temporary one in
+    local mode, as in tests; on a cluster, whose executors couldn't see it, an error."""
     sc = spark.sparkContext
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def fresh(*names: str) -> list[str]:
+    """Column names that no input has."""
+    return [f"_{x}_{uuid.uuid4().hex}" for x in names]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there; survives lost executors."""
     shared_dir(df.sparkSession)

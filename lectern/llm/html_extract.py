@@ -387,6 +387,11 @@ LABELLED = """
 40  0.0 20  0.0 30  0.0  1 1 0
 60  0.1 90  0.0 45  0.0  1 1 0
 4   1.0 3   1.0 5   1.0  1 1 0
+120 0.0 0   0.0 90  0.0  2 0 1
+150 0.1 3   0.0 120 0.0  2 0 1
+100 0.0 90  0.0 0   0.0  2 0 1
+180 0.0 110 0.1 2   1.0  2 0 1
+90  0.0 0   0.0 2   1.0  2 0 0
 """
 
 

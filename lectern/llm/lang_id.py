@@ -153,14 +153,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([t.encode() for _, t in rows], [x for x, _ in rows], seed) if rows else None
 
 
-def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", passing: tuple[str, ...] = ()) -> DataFrame:
-    """A row per input row: id_col, the `passing` columns (the text itself may be one), lang_pred and score, the mean over the
-    text's windows (by bytes) of the network's probability for the predicted language. Text that is null or has no letter:
+def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", passing: tuple[str, ...] = (), pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """A row per input row: id_col, the `passing` columns (the text itself may be one; one named like the next two gives way to
+    it), pred_col and score_col, the mean over the text's windows (by bytes) of the network's probability for the predicted language. Text that is null or has no letter:
     `und` with score 0; so is every text if there was nothing to learn from. Repeated rows and null identifiers are
     predicted like any other."""
-    names = list(dict.fromkeys((id_col, *passing)))
+    names = [c for c in dict.fromkeys((id_col, *passing)) if c not in (pred_col, score_col)]
     src = docs.select(*dict.fromkeys((*names, text_col)))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*names).schema) + ", lang_pred string, score double"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*names).schema) + f", `{pred_col}` string, `{score_col}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                 k = int(mean.argmax())
                 preds.append(net.labels[k])
                 scores.append(min(1.0, float(mean[k])))
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*names, pred_col, score_col])
 
     return src.mapInArrow(run, ddl)
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the order's hash that name a bucket.
@@ -102,21 +102,37 @@ def cuts(rows: DataFrame, percent: int, max_epochs: int, seed: int) -> DataFrame
     return last.unionByName(whole).groupBy(*LEAF).agg(F.max("last").alias("last")).select(*LEAF, F.col("last.epoch").alias("cut_epoch"), F.col("last.key").alias("cut_key"), F.col("last.id").alias("cut_id"))
 
 
+def _taken(docs: DataFrame, percent: int, max_epochs: int, seed: int, id_col: str, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, list[str]]:
+    """docs, a row for each time a document is taken, and the names of the added columns: epoch, domain, tokens."""
+    rows = prepared(docs, id_col, text_col, lang_col, source_col)
+    epoch, domain, tokens, p_domain, p_lang, p_source, p_epoch, p_key, p_id = fresh("epoch", "domain", "tokens", *LEAF, "cut_epoch", "cut_key", "cut_id")
+    plan = cuts(rows, percent, max_epochs, seed).toDF(p_domain, p_lang, p_source, p_epoch, p_key, p_id)
+    plan = cut_lineage(plan)
+    if plan.count() <= MOST_BROADCAST_LEAVES:
+        plan = F.broadcast(plan)
+    out = docs.withColumns({domain: domain_of(F.col(source_col)), tokens: F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")}).where(F.col(tokens) > 0)
+    out = out.join(plan, (F.col(domain) == F.col(p_domain)) & (F.coalesce(F.col(lang_col), F.lit("")) == F.col(p_lang)) & (F.coalesce(F.col(source_col), F.lit("")) == F.col(p_source)))
+    here = F.struct(F.col(p_epoch), order_key(seed, F.col(p_epoch), F.col(id_col)), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))) <= F.struct(p_epoch, p_key, p_id)
+    times = F.col(p_epoch) + F.when(here, 1).otherwise(0)
+    out = out.withColumn(epoch, F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
+    return out, [epoch, domain, tokens]
+
+
+ADDED = ("mix_epoch", "mix_domain", "mix_tokens")
+
+
 def mix(docs: DataFrame, percent: int = 80, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """docs, all columns, a row for each time a document is taken, with added columns mix_epoch (from 0), mix_domain and
-    mix_tokens (words, as runs of other characters than space and tab to carriage return).
+    mix_tokens (words, as runs of other characters than space and tab to carriage return). Columns of docs with these
+    names give way to them; take() leaves them as they are.
 
     The budget is `percent` of all tokens. Null language or source: a leaf of its own, named ''. Documents without words are
     never taken. Repeated rows, and rows without identifier, stand at one place of the order and are taken together.
     """
-    rows = prepared(docs, id_col, text_col, lang_col, source_col)
-    plan = cuts(rows, percent, max_epochs, seed).select(*[F.col(c).alias(f"_{c}") for c in (*LEAF, "cut_epoch", "cut_key", "cut_id")])
-    plan = cut_lineage(plan)
-    if plan.count() <= MOST_BROADCAST_LEAVES:
-        plan = F.broadcast(plan)
-    out = docs.withColumns({"mix_domain": domain_of(F.col(source_col)), "mix_tokens": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")}).where("mix_tokens > 0")
-    out = out.join(plan, (F.col("mix_domain") == F.col("_domain")) & (F.coalesce(F.col(lang_col), F.lit("")) == F.col("_lang")) & (F.coalesce(F.col(source_col), F.lit("")) == F.col("_source")))
-    here = F.struct(F.col("_cut_epoch"), order_key(seed, F.col("_cut_epoch"), F.col(id_col)), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))) <= F.struct("_cut_epoch", "_cut_key", "_cut_id")
-    times = F.col("_cut_epoch") + F.when(here, 1).otherwise(0)
-    out = out.withColumn("mix_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
-    return out.select(*docs.columns, "mix_epoch", "mix_domain", "mix_tokens")
+    out, own = _taken(docs, percent, max_epochs, seed, id_col, text_col, lang_col, source_col)
+    return out.select(*[c for c in docs.columns if c not in ADDED], *[F.col(c).alias(name) for c, name in zip(own, ADDED, strict=True)])
+
+
+def take(docs: DataFrame, percent: int = 80, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """docs as mix() takes them, a row for each time, with its own columns only."""
+    return _taken(docs, percent, max_epochs, seed, id_col, text_col, lang_col, source_col)[0].select(*docs.columns)

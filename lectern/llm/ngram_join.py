@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import count_min
-from .common import WORDS, as_bytes, batched, cut_lineage, discard, mix64, release, signed, slices, sorted_distinct, window_hashes, written
+from .common import WORDS, as_bytes, batched, cut_lineage, discard, fresh, mix64, release, signed, slices, sorted_distinct, window_hashes, written
 from .substring_dedup import pack, unpack
 
 SEED = 0x243F6A8885A308D3
@@ -132,11 +132,12 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     one only if there is no other), of several such rows any one of those with the least hash of their text. Rows without
     words all stay."""
     _, named = groups(docs, width, percent, id_col, text_col)
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("i").isNull(), "i", "k")).alias("s")).select(F.coalesce("s.i", F.lit(NO_ID)).alias("_d"), F.col("s.k").alias("_k"))
-    keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_k": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    d, k, nth = fresh("d", "k", "n")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("i").isNull(), "i", "k")).alias("s")).select(F.coalesce("s.i", F.lit(NO_ID)).alias(d), F.col("s.k").alias(k))
+    keyed = docs.withColumns({d: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), k: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    stay = keyed.where(has_words).join(first, ["_d", "_k"], "left_semi")
-    stay = stay.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_k").orderBy(F.lit(1)))).where("_n = 1")
+    stay = keyed.where(has_words).join(first, [d, k], "left_semi")
+    stay = stay.withColumn(nth, F.row_number().over(Window.partitionBy(d, k).orderBy(F.lit(1)))).where(F.col(nth) == 1)
     return stay.select(*docs.columns).unionByName(docs.where(~has_words))
 
 

@@ -10,8 +10,8 @@ index (recipes in order: segment, pos, doc_id, ahead, n_tokens, root, digests, l
 n_docs, root).
 
 Words recur, so encodings of white-space-separated words are kept in a bounded cache; that gives the ids of encoding the
-whole text because no pre-token, added token or normalisation step of such a vocabulary reaches across ASCII white space
-(tested against the library). Only digests travel for joins when reading back; the checksum of a document is put together
+whole text where no pre-token, added token or normalisation step of the vocabulary reaches across ASCII white space, which is
+read from its configuration (tested against the library); other vocabularies encode whole texts. Only digests travel for joins when reading back; the checksum of a document is put together
 from those of its chunks, since CRC-32 is linear.
 """
 
@@ -49,13 +49,17 @@ def _byte_symbols() -> dict[int, str]:
 class Encoder(dict):
     """Ids of a text as the tokenizers library gives them; a bounded cache from words (bytes) to packed ids.
 
-    A word of Latin letters with at most one common mark after it is one or two pre-tokens, which go straight to the
-    library's model; any other word goes through the library as a whole.
+    In vocabularies built like word_bpe_49k.json (see `lowers`) no token reaches across ASCII white space, so words are encoded one
+    by one: a word of Latin letters with at most one common mark after it is one or two pre-tokens, which go straight to the
+    library's model; any other word goes through the library as a whole. With any other vocabulary each text goes through
+    the library whole.
     """
 
     MOST = 800_000
     #: Letters up to U+024F that lower and normalise one by one, then a mark.
     PLAIN = re.compile("([a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)")
+    #: Fixed value: the pre-tokens of such a vocabulary, which leave white space out.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     SYMBOLS = _byte_symbols()
 
     def __init__(self, path: str):
@@ -71,8 +75,11 @@ class Encoder(dict):
         self.special = [t["content"].encode() for t in config["added_tokens"]]
         names = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
         splits = [x["type"] for x in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        # What PLAIN relies on; other vocabularies go through the library word by word.
+        # What encoding by words and PLAIN rely on.
         self.lowers = names == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"] and config["model"]["type"] == "BPE" and not config["post_processor"]
+        if self.lowers:
+            split, as_bytes_ = config["pre_tokenizer"]["pretokenizers"]
+            self.lowers = split["pattern"].get("Regex") == self.SPLIT and split["behavior"] == "Removed" and split["invert"] and not as_bytes_["add_prefix_space"] and not as_bytes_["use_regex"]
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -89,7 +96,7 @@ class Encoder(dict):
         if len(self) >= self.MOST:
             self.clear()
         text = word.decode("utf-8", "replace")
-        m = self.PLAIN.fullmatch(text) if self.lowers else None
+        m = self.PLAIN.fullmatch(text)
         if m is None:
             out = array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         elif m[2]:
@@ -101,10 +108,12 @@ class Encoder(dict):
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of `width` bytes each, for each text."""
+        if not self.lowers:
+            return [array(self.kind, self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes() for t in texts]
         get, out = self.__getitem__, []
         for t in texts:
-            # A-Z is lowered ahead of the cache if the vocabulary lowers all the same, but not where a special token may be spelled out.
-            if self.lowers and not any(x in t.lower() for x in self.special):
+            # A-Z is lowered ahead of the cache as the vocabulary lowers all the same, but not where a special token may be spelled out.
+            if not any(x in t.lower() for x in self.special):
                 t = t.lower()
             out.append(b"".join(map(get, t.split())))
         return out
