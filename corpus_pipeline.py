@@ -18,9 +18,9 @@ LEAST_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose text has no letter or whose best language is no better than a guess; the label in lang stays as it is."""
-    columns = docs.columns
-    out = lang_id.predict(docs, lang_id.fit(docs), passing=tuple(columns))
-    return out.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    columns, (pred, score) = docs.columns, common.fresh("pred", "score")
+    out = lang_id.predict(docs, lang_id.fit(docs), passing=tuple(columns), pred_col=pred, score_col=score)
+    return out.where((F.col(pred) != lang_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*columns)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken to the target weights; one may be taken in two epochs."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.take(docs)
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
