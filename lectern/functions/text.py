@@ -140,3 +140,15 @@ def compose(pending: Column, text: Column) -> Column:
     """The query to ask: the pending question goes ahead of a reply to it."""
     said = F.trim(text)
     return F.when(pending.isNotNull() & (pending != "") & is_reply(said), F.concat(F.regexp_replace(pending, r"[ ?]+$", ""), F.lit(" — "), said)).otherwise(said)
+
+
+def provenance(doc_id: Column, version: Column, page: Column, section: Column) -> Column:
+    """Where a citation comes from, in one line: document, version, page, section; what is null or empty is left out."""
+    some = lambda c, ahead: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(ahead), c)).otherwise("")
+    return F.concat(doc_id, some(version, " "), F.lit(" · p."), page.cast("string"), some(section, " · "))
+
+
+def box_label(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """A rectangle in whole points, halves to the even one."""
+    whole = lambda c: F.bround(c).cast("long").cast("string")
+    return F.concat(F.lit("bbox ("), whole(x0), F.lit(", "), whole(y0), F.lit(") – ("), whole(x1), F.lit(", "), whole(y1), F.lit(") pt"))

@@ -83,10 +83,10 @@ def thresholds(scores: DataFrame, answerable: str, near: str, largest_gap: Colum
 def resampled_gaps(scores: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
     """draw, n_below, largest_gap over seeded halves of scores (id, score): how far the rest falls below each half's least score.
 
-    The scores are a calibration set of a few dozen rows; draws are spread over tasks."""
-    spark = scores.sparkSession
+    The scores are a calibration set of a few dozen rows, each of which stands in every draw; what is broadcast are the draws,
+    whose number is a parameter."""
     n = scores.count()
-    each = spark.range(draws).select(F.col("id").cast("int").alias("draw")).repartition("draw").join(F.broadcast(scores.limit(n)))
+    each = scores.join(F.broadcast(scores.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw"))))
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("draw").cast("string"), F.col("id").cast("string")).cast("binary"))
     each = each.withColumn("_k", F.row_number().over(Window.partitionBy("draw").orderBy(key, "id"))).withColumn("_in", F.col("_k") <= n // 2)
     least = F.min(F.when(F.col("_in"), F.col("score"))).over(Window.partitionBy("draw"))
@@ -102,7 +102,7 @@ def sweep(pairs: DataFrame, limits: list[float]) -> DataFrame:
 
 def typos(words: DataFrame) -> DataFrame:
     """word, kind, typo: a letter dropped, two swapped, one replaced by `e`, at a place from a hash of the word; words of 5 letters or more."""
-    at = F.pmod(F.crc32(F.col("word").cast("binary")), F.length("word") - 1).cast("int") + 1
+    at = F.pmod(F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long"), F.length("word") - 1).cast("int") + 1
     w, n = F.col("word"), F.length("word")
     part = lambda a, k: F.substring(w, a, k)
     forms = F.array(
