@@ -12,11 +12,27 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..settings import SETTINGS
+from ..sources.scratch import shared_dir
 from .evaluate import nearest_rank
 
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
 
+def numbered(df: DataFrame, by: str, order: str, name: str) -> DataFrame:
+    """df (by, order and few other columns) with each row's number within `by`, from 1, as int.
+
+    A hot `by` is not one task's: rows are dealt by range over both columns and numbered where they are; what is added up over tasks
+    is a row for each task and value of `by`."""
+    dealt = df.repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33))
+    shared_dir(df.sparkSession)
+    dealt = dealt.checkpoint()  # the same deal in both uses
+    starts = dealt.groupBy("_task", by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).select("_task", F.col(by).alias("_by"), "_first", "_ahead")
+    out = dealt.join(starts.withColumnRenamed("_task", "_t"), (F.col("_task") == F.col("_t")) & F.col(by).eqNullSafe(F.col("_by")))
+    return out.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_ahead") + 1).cast("int").alias(name))
+
+
 def lines_of(pages: DataFrame) -> DataFrame:
     """doc_id, page, pos (from 0), line of pages (doc_id, page, text)."""
     return pages.select("doc_id", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
@@ -176,3 +192,14 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
     sized = chunks.select(F.length("text").alias("size"), F.col("section_title").isNotNull().alias("titled"), F.lit(0).alias("_all"))
     rest = sized.agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("greatest"), F.round(F.avg(F.col("titled").cast("int")), 3).alias("titled_share"))
     return rest.join(F.broadcast(nearest_rank(sized, ["_all"], "size", {"median": 0.5}).drop("_all")), how="left")
+
+
+def semantic_breaks(sentences: DataFrame, percent: float = 95.0) -> DataFrame:
+    """doc_id, pos, distance, breaks: for each of a document's sentences (doc_id, pos, embedding) but its first, the cosine distance
+    to the one before, and whether a chunk begins there: at distances above the document's percentile (linear interpolation)."""
+    line = Window.partitionBy("doc_id").orderBy("pos")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+    both = sentences.withColumn("_b", F.lag("embedding").over(line)).where("_b is not null")
+    far = both.select("doc_id", "pos", F.round(1 - dot("embedding", "_b") / F.sqrt(dot("embedding", "embedding") * dot("_b", "_b")), 6).alias("distance"))
+    limit = far.groupBy("doc_id").agg(F.percentile("distance", F.lit(percent / 100)).alias("_limit"))
+    return far.join(limit, "doc_id").select("doc_id", "pos", "distance", (F.col("distance") > F.col("_limit")).alias("breaks"))
