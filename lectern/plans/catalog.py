@@ -21,6 +21,7 @@ from ..operators import followup as FU
 from ..operators import ingest as I
 from ..operators import query as Q
 from ..operators import retrieval as R
+from ..sources import corpus as SC
 from ..sources import store as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,8 +162,9 @@ def ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # documents as pages: a source is a manual, its texts are the pages in order of doc_id.
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs(spark, sf_dir).select(F.col("source").alias("doc_id"), n.alias("page"), "text")
+    place = I.numbered(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", "page").select(F.col("doc_id").alias("_d"), "page")
+    d = docs(spark, sf_dir)
+    return d.join(place, d["doc_id"] == place["_d"]).select(F.col("source").alias("doc_id"), "page", "text")
 
 
 _PAGES = """pages_ AS (SELECT source AS doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page, coalesce(text, '') AS text FROM documents),
@@ -274,16 +276,44 @@ def fuzzy_vocabulary(windows: DataFrame) -> DataFrame:
     return windows.select(F.concat(F.substring("gram", 1, 1), "gram").alias("term")).distinct()
 
 
-@query()
+def _lcs(pairs: str, a: str, b: str) -> str:
+    """SQL of lcs_(a, b, lcs): the longest common subsequence of each pair of strings, a row of the dynamic programme a step."""
+    return f"""lp AS (SELECT DISTINCT {a} AS a, {b} AS b FROM {pairs}),
+lr AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0) AS r, string_split(b, '') AS y FROM lp UNION ALL
+  SELECT a, b, i + 1, list_concat([0], list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k + 1], CASE WHEN y[k] = substr(a, i + 1, 1) THEN r[k] + 1 ELSE 0 END))))), y FROM lr WHERE i < length(a)),
+lcs_ AS (SELECT a, b, r[length(b) + 1] AS lcs FROM lr WHERE i = length(a))"""
+
+
+_FUNCTION_WORDS = "['" + "', '".join(w.replace("'", "''") for w in sorted(K.FUNCTION_WORDS)) + "']"
+
+
+def _fuzzy(threshold: float) -> str:
+    """SQL of win(query_id, start, n, gram) and best(gram, term, ratio). Lengths and DuckDB's distance over bytes, of which a letter
+    of these texts has two at most, leave out pairs that can't reach the threshold."""
+    most = f"{(1 - threshold / 100):.4f} * (length(gram) + length(term)) + 0.000001"
+    return f"""{_TOKENS}, win AS (SELECT query_id, CAST(start AS INTEGER) AS start, n, array_to_string(tokens[start + 1 : start + n], ' ') AS gram FROM (SELECT query_id, tokens, n, unnest(range(len(tokens) - n + 1)) AS start FROM tk, (VALUES (2), (3)) z(n) WHERE len(tokens) >= n)),
+voc AS (SELECT DISTINCT left(gram, 1) || gram AS term, n FROM win), dw AS (SELECT DISTINCT gram, n FROM win WHERE length(gram) >= {K.LEAST_WINDOW_CHARS}),
+fp AS (SELECT gram, term, n FROM dw JOIN voc USING (n) WHERE 200.0 * least(length(gram), length(term)) >= {threshold} * (length(gram) + length(term)) AND levenshtein(gram, term) <= 2 * ({most})),
+{_lcs("fp", "gram", "term")},
+fr AS (SELECT gram, term, n, 200.0 * lcs / (length(gram) + length(term)) AS ratio FROM fp JOIN lcs_ ON gram = a AND term = b),
+best AS (SELECT gram, term, CAST(ratio AS DOUBLE) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY gram ORDER BY ratio DESC, term) AS k FROM fr WHERE ratio >= {threshold}) WHERE k = 1
+  AND len(list_filter(list_zip(string_split(gram, ' '), string_split(term, ' ')), lambda x: x[1] <> x[2] AND list_contains({_FUNCTION_WORDS}, x[1]))) = 0)"""
+
+
+@query(f"WITH RECURSIVE {_fuzzy(88.0)} SELECT gram, term, round(ratio, 6) AS ratio FROM best")
 def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold over a DP row isn't practical in SQL at this size; tests compare with a plain implementation."""
     windows = Q.ngrams(query_tokens(spark, sf_dir), K.WINDOW_WORDS)
     return Q.best_matches(windows, fuzzy_vocabulary(windows)).withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_fuzzy(80.0)}, cand AS (SELECT query_id, start, n, term, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, start, term) AS k FROM win JOIN best USING (gram)),
+gr AS (SELECT query_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT query_id FROM cand) UNION ALL
+  SELECT g.query_id, c.k, CASE WHEN list_has_any(used, range(start, start + n)) THEN used ELSE list_concat(used, range(start, start + n)) END, CASE WHEN list_has_any(used, range(start, start + n)) THEN taken ELSE list_append(taken, c.k) END FROM gr g JOIN cand c ON g.query_id = c.query_id AND c.k = g.k + 1),
+last AS (SELECT query_id, arg_max(taken, k) AS taken FROM gr GROUP BY query_id)
+SELECT c.query_id, start, n, term FROM cand c JOIN last l ON c.query_id = l.query_id AND list_contains(taken, c.k)"""
+)
 def greedy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sequential choice; tests compare with a plain implementation."""
     windows = Q.ngrams(query_tokens(spark, sf_dir), K.WINDOW_WORDS)
     return Q.greedy(windows.join(Q.best_matches(windows, fuzzy_vocabulary(windows), 80.0), "gram").select("query_id", "start", "n", "term"))
 
@@ -297,18 +327,43 @@ def swapped(word: Column) -> Column:
     return F.concat(F.substring(word, 2, 1), F.substring(word, 1, 1), F.substr(word, F.lit(3)))
 
 
+# The conversations' words stand in for a language's lexicon, with frequencies on the Zipf scale.
+_LANGUAGE = r"""lw AS (SELECT word, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zà-ÿ]+')) AS word FROM conversations) WHERE NOT regexp_matches(word, '[0-9÷]') GROUP BY word),
+lz AS (SELECT word, round(log10(c * 1000000000.0 / (SELECT sum(c) FROM lw)), 2) AS zipf FROM lw),
+lang AS (SELECT word, zipf AS freq FROM lz WHERE regexp_full_match(word, '\p{L}+') AND zipf >= 1.0 ORDER BY zipf DESC, word LIMIT 300000)"""
+
+
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Q.term_frequency(table(spark, sf_dir, "conversations"))
+    total = w.agg(F.sum("freq").alias("total"))
+    return SC.language_words(w.join(F.broadcast(total)).select("word", F.round(F.log10(F.col("freq") * 1e9 / F.col("total")), 2).alias("zipf")))
+
+
+@query(f"WITH {_LANGUAGE} SELECT * FROM lang")
+def language_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(spark, sf_dir)
+
+
+_MANUAL = r"m AS (SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zà-ÿ]+')) AS word FROM documents) WHERE NOT regexp_matches(word, '[0-9÷]') GROUP BY word)"
+
+
+def _corrections(words: str) -> str:
+    """SQL of fixes(word, corrected) for words(word)."""
+    return f"""uk AS (SELECT DISTINCT word, CASE WHEN length(word) <= {K.SHORT_WORD_CHARS} THEN {K.EDITS_SHORT} ELSE {K.EDITS_LONG} END AS lim FROM {words} WHERE length(word) >= {K.LEAST_CORRECTED_CHARS} AND NOT regexp_matches(word, '[0-9]') AND word NOT IN (SELECT word FROM m) AND word NOT IN (SELECT word FROM lang)),
+vo AS (SELECT word AS hit, CAST(freq AS DOUBLE) AS freq, 0 AS list FROM m UNION ALL SELECT word, freq, 1 FROM lang),
+co AS (SELECT uk.word, hit, freq, list, lim, damerau_levenshtein({_BYTES.format('uk.word')}, {_BYTES.format('hit')}) AS d FROM uk JOIN vo ON abs(length(uk.word) - length(hit)) <= lim AND length(hit) >= {K.LEAST_CORRECTED_CHARS - K.EDITS_LONG}),
+cb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word, list ORDER BY d, freq DESC, hit) AS k FROM co WHERE d <= lim) WHERE k = 1),
+fixes AS (SELECT word, hit AS corrected FROM (SELECT word, hit, row_number() OVER (PARTITION BY word ORDER BY d, list) AS k FROM cb) WHERE k = 1)"""
+
+
 @query(
-    rf"""WITH m AS (SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zà-ÿ]+')) AS word FROM documents) WHERE NOT regexp_matches(word, '[0-9÷]') GROUP BY word HAVING count(*) >= 20),
-q AS (SELECT DISTINCT substr(word, 2, 1) || left(word, 1) || substr(word, 3) AS word FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zà-ÿ]+')) AS word FROM benchmark) WHERE length(word) >= 5 AND NOT regexp_matches(word, '[0-9]')),
-u AS (SELECT q.word, CASE WHEN length(q.word) <= 6 THEN 1 ELSE 2 END AS lim FROM q LEFT JOIN m USING (word) WHERE m.word IS NULL),
-c AS (SELECT u.word, m.word AS corrected, freq, damerau_levenshtein({_BYTES.format('u.word')}, {_BYTES.format('m.word')}) AS d, lim FROM u JOIN m ON abs(length(u.word) - length(m.word)) <= lim AND length(m.word) >= 3)
-SELECT word, corrected FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d, freq DESC, corrected) AS n FROM c WHERE d <= lim) WHERE n = 1"""
+    rf"""WITH {_MANUAL}, {_LANGUAGE}, q AS (SELECT DISTINCT substr(word, 2, 1) || left(word, 1) || substr(word, 3) AS word FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zà-ÿ]+')) AS word FROM benchmark) WHERE length(word) >= 5),
+{_corrections("q")} SELECT * FROM fixes"""
 )
 def typo_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manual = Q.term_frequency(docs(spark, sf_dir)).where("freq >= 20")
     word = query_tokens(spark, sf_dir).select(F.explode("tokens").alias("word")).where(F.length("word") >= 5)
     said = word.select(swapped(F.col("word")).alias("word")).distinct()
-    return Q.corrections(said, manual, spark.createDataFrame([], "word string, freq double"))
+    return Q.corrections(said, Q.term_frequency(docs(spark, sf_dir)), language(spark, sf_dir))
 
 
 @query(
@@ -466,13 +521,13 @@ def threshold_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT item_id AS id, CAST(length(coalesce(text, '')) AS DOUBLE) AS score FROM benchmark), d AS (SELECT unnest(range(200)) AS draw), n AS (SELECT count(*) // 2 AS half FROM s),
+    """WITH s AS (SELECT item_id AS id, CAST(length(coalesce(text, '')) AS DOUBLE) AS score FROM benchmark), d AS (SELECT unnest(range(2000)) AS draw), n AS (SELECT count(*) // 2 AS half FROM s),
 x AS (SELECT draw, id, score, row_number() OVER (PARTITION BY draw ORDER BY md5('0-' || draw || '-' || id), id) <= half AS inn FROM s, d, n),
 y AS (SELECT *, min(CASE WHEN inn THEN score END) OVER (PARTITION BY draw) - score AS gap FROM x)
 SELECT CAST(draw AS INTEGER) AS draw, count(*) AS n_below, round(max(gap), 6) AS largest_gap FROM y WHERE NOT inn AND gap > 0 GROUP BY draw"""
 )
 def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.resampled_gaps(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.length(F.coalesce("text", F.lit(""))).cast("double").alias("score")), 200)
+    return E.resampled_gaps(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.length(F.coalesce("text", F.lit(""))).cast("double").alias("score")))
 
 
 @query(
@@ -545,21 +600,29 @@ def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.col(c).cast("long").alias(c) for c in ("n", "least", "greatest", "median")], "titled_share")
 
 
-@query(
-    """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM benchmark), x AS (SELECT word, ratio, l.lim FROM (SELECT word, 100.0 * (1 - 1.0 / length(word)) AS ratio FROM w) , (VALUES (60.0), (75.0), (88.0), (95.0)) l(lim))
-SELECT CAST(lim AS DOUBLE) AS "limit", CASE WHEN length(word) > 6 THEN 'long' ELSE 'short' END AS kind, count(*) AS n, count(*) FILTER (WHERE ratio >= lim) AS matched FROM x GROUP BY ALL"""
-)
-def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
-    pairs = w.select(F.when(F.length("word") > 6, "long").otherwise("short").alias("kind"), (100.0 * (1 - 1.0 / F.length("word"))).alias("ratio"), F.lit(False).alias("promotes"))
-    return E.sweep(pairs, [60.0, 75.0, 88.0, 95.0])
+def typo_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.typos(query_tokens(spark, sf_dir).select(F.explode("tokens").alias("word")).distinct())
 
 
-@query()
+_TYPO_SQL = f"""{_TOKENS}, tw AS (SELECT DISTINCT unnest(tokens) AS word FROM tk), tl AS (SELECT word, CAST(('0x' || left(md5(word), 8)) AS BIGINT) % (length(word) - 1) + 1 AS k FROM tw WHERE length(word) >= 5),
+ty AS (SELECT * FROM (SELECT word, 'drop' AS kind, left(word, k - 1) || substr(word, k + 1) AS typo FROM tl UNION ALL SELECT word, 'swap', left(word, k - 1) || substr(word, k + 1, 1) || substr(word, k, 1) || substr(word, k + 2) FROM tl
+  UNION ALL SELECT word, 'replace', left(word, k - 1) || 'e' || substr(word, k + 1) FROM tl) WHERE typo <> word),
+{_lcs("ty", "word", "typo")}, tr AS (SELECT word, kind, typo, 200.0 * lcs / (length(word) + length(typo)) AS ratio FROM ty JOIN lcs_ ON word = a AND typo = b)"""
+
+
+@query(f"WITH RECURSIVE {_TYPO_SQL} SELECT word, kind, typo, round(CAST(ratio AS DOUBLE), 6) AS ratio FROM tr")
 def typo_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic typos of the queries' words with their similarity to the word; tests compare with a plain implementation."""
-    w = query_tokens(spark, sf_dir).select(F.explode("tokens").alias("word")).distinct()
-    return E.typos(w).withColumn("ratio", F.round(fuzzy.ratio(F.col("word"), F.col("typo")), 6))
+    """Synthetic typos of the queries' words with their similarity to the word."""
+    return typo_words(spark, sf_dir).withColumn("ratio", F.round(fuzzy.ratio(F.col("word"), F.col("typo")), 6))
+
+
+@query(
+    f"""WITH RECURSIVE {_TYPO_SQL} SELECT CAST(lim AS DOUBLE) AS "limit", kind, count(*) AS n, count(*) FILTER (WHERE ratio >= lim AND NOT list_contains({_FUNCTION_WORDS}, typo)) AS matched FROM tr, (SELECT unnest(range(70, 100, 2)) AS lim) GROUP BY ALL"""
+)
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many typos are matched to their words at 15 thresholds, less those that would rewrite a function word."""
+    pairs = typo_words(spark, sf_dir).withColumn("ratio", fuzzy.ratio(F.col("word"), F.col("typo"))).withColumn("promotes", Q.promotes_function_word(F.col("typo"), F.col("word")))
+    return E.sweep(pairs, [float(x) for x in range(70, 100, 2)])
 
 
 @query()
@@ -577,7 +640,10 @@ def normalised_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of query normalisation over the benchmark items; its parts have SQL of their own."""
     d = docs(spark, sf_dir)
     out = Q.normalise(
-        table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")), Q.synonyms(spark), Q.term_frequency(d), spark.createDataFrame([], "word string, freq double"),
+        table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")), Q.synonyms(spark), Q.term_frequency(d), language(spark, sf_dir),
         Q.indexed_codes(d), Q.indexed_models(d.select(F.col("source").alias("model"), F.col("doc_id").alias("pos"))),
     )
     return out.select("query_id", "corrected", F.size("corrections").alias("n_corrections"), F.array_join("matched_terms", ",").alias("matched_terms"), F.array_join("error_codes", ",").alias("error_codes"), "expanded", "firmware", "model")
+
+
+from . import plumbing  # noqa: E402,F401  more queries of the same catalogue
