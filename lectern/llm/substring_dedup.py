@@ -4,7 +4,8 @@ First pass: a count-min sketch of all windows, built in partitions and merged (c
 estimated repeated are grouped exactly, by 96 bits of hash, to find the smallest identifier of a document in which each
 starts. Before anything is shuffled, each task settles its own windows: of the documents that hold a window, all but the one
 with the smallest identifier are known to lose it, so a window that a third of all documents share costs each task one entry.
-Entries travel as compressed arrays, a row for each task's share of a hash range; ranges grow in number with the input.
+Entries travel as compressed arrays, a row for each task's share of a hash range; ranges grow in number with the input, and each
+has a task of its own, so what a task reads stays the same.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def remove_repeated(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
 
         return batched(rows(), out)
 
-    parts = src.mapInArrow(settle, "key long, kind int, part binary").repartition("key", "kind").sortWithinPartitions("kind", "key")
+    parts = src.mapInArrow(settle, "key long, kind int, part binary").repartitionById(n_ranges, F.pmod("key", F.lit(n_ranges)).cast("int")).sortWithinPartitions("kind", "key")
     lost = parts.mapInArrow(group, "d long, k long, starts binary").groupBy("d", "k").agg(F.collect_list("starts").alias("lists"))
     with_lost = src.withColumn("d", F.coalesce("i", F.lit(int(NULL_ID)))).join(lost, ["d", "k"], "left").select("i", "x", "lists")
     out = with_lost.mapInArrow(keep, "i long, n_words long, n_removed long, kept_text string")
