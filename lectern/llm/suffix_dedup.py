@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, mix64, release, slices, written
+from .common import as_bytes, batched, discard, mix64, release, slices, written
 from .substring_dedup import pack, unpack
 from .suffix_sort import suffix_array
 
@@ -411,6 +411,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
     met_again = fetched.repartition("h").sortWithinPartitions("h").select("h", "d", "k", "lo", "at", "whole", "bytes")
     lost = met_again.mapInArrow(sort, "d long, k long, part binary").unionByName(met.where("kind = 1").select("part").mapInArrow(known, "d long, k long, part binary"))
     lost = written(lost, "repeated")
+    discard(met)
     release(spark)
     out = src.join(lists(lost), ["d", "k"], "left").select("i", "x", "parts").mapInArrow(keep, "i long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.col("i").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
