@@ -31,6 +31,8 @@ SEED = 0x243F6A8885A308D3
 MOST_LIGHT = 12
 HOT = 48
 PIECE = 1 << 19
+#: Members of a list whose pairs one task tests at a time; longer lists are tested block against block.
+LIST_BLOCK = 2048
 NO_ID = -(1 << 63)
 
 
@@ -242,7 +244,7 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
             size = np.diff(first, append=len(h))
             keep = np.repeat(size > 1, size)
             if keep.any():
-                yield pack(h[keep], nid[keep], n[keep].astype(np.uint32), pos[keep].astype(np.uint32), rare[keep].astype(np.uint32))
+                yield pack(h[keep], nid[keep], n[keep].astype(np.uint32), pos[keep].astype(np.uint32), rare[keep].astype(np.uint32), np.repeat(size, size)[keep].astype(np.uint32))
 
         def rows() -> Iterator[tuple]:
             last, held = None, []
@@ -258,7 +260,7 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
 
         return batched(rows(), pa.schema([("part", pa.binary())]))
 
-    posted = src.select("x").mapInArrow(post, "r long, part binary").repartition("r").sortWithinPartitions("r")
+    posted = src.select("x").mapInArrow(post, "r long, part binary").repartitionById(n_ranges, F.col("r").cast("int")).sortWithinPartitions("r")
     lists = written(posted.mapInArrow(shared, "part binary"), "lists")
 
     release(spark)
@@ -270,7 +272,7 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for part in b.column(0).to_pylist():
-                    h, nid, n, _, rare = unpack(part)
+                    h, nid, n, _, rare, _ = unpack(part)
                     about = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64)
                     order = np.lexsort((nid, rare, about, h))
                     h, nid, about, n = h[order], nid[order], about[order], n[order]
@@ -322,16 +324,24 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     release(spark)
     # 6. All pairs of list members that are not connected so far; to count links, all pairs.
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """List members with the pair of blocks (p <= q) that they are tested in, and their own block: a member of a list of n blocks
+        is in n such pairs, so that every two members meet in one place."""
         for b in batches:
             for part in b.column(0).to_pylist():
-                h, nid, *rest = unpack(part)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(nid), *(pa.array(x.astype(np.int64)) for x in rest)], names=["h", "nid", "n", "pos", "rare"])
-
-    each = lists.mapInArrow(entries, "h long, nid long, n long, pos long, rare long")
+                h, nid, n, pos, rare, size = unpack(part)
+                blocks = -(-size.astype(np.int64) // LIST_BLOCK)
+                block = (mix64(nid.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+                first = np.cumsum(blocks) - blocks
+                at = np.repeat(np.arange(len(h)), blocks)
+                other = np.arange(len(at)) - first[at]
+                p, q = np.minimum(block[at], other), np.maximum(block[at], other)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)[at]), *(pa.array(x.astype(np.int64)[at]) for x in (nid, n, pos, rare)), pa.array(p), pa.array(q), pa.array(block[at])], names=["h", "nid", "n", "pos", "rare", "p", "q", "block"])
+
+    each = lists.mapInArrow(entries, "h long, nid long, n long, pos long, rare long, p long, q long, block long")
     each = each.withColumn("label", F.col("nid")) if count_links else each.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     n_blocks = max(16, n_bytes // (16 << 20))
-    part = each.select("h", "nid", "n", "pos", "rare", "label").repartition("h").sortWithinPartitions("h").mapInArrow(lambda x: unconnected(x, percent, n_blocks), "r long, part binary")
-    pairs = cut_lineage(part.repartition("r").sortWithinPartitions("r").mapInArrow(lambda x: candidates(x, percent), "u long, v long, c long"))
+    part = each.select("h", "p", "q", "nid", "n", "pos", "rare", "label", "block").repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(lambda x: unconnected(x, percent, n_blocks), "r long, part binary")
+    pairs = cut_lineage(part.repartitionById(n_blocks, F.col("r").cast("int")).sortWithinPartitions("r").mapInArrow(lambda x: candidates(x, percent), "u long, v long, c long"))
     release(spark)
     # If there are many, comparing the likeliest partner of each node first connects most of what there is to connect.
     while not count_links and pairs.count() > 4 * nodes.count():
@@ -386,8 +396,8 @@ def counted(x: np.ndarray) -> np.ndarray:
 
 
 def unconnected(batches: Iterator[pa.RecordBatch], percent: int, n_blocks: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Of sorted list entries (h, nid, n, pos, rare, label), the pairs of members (u above v) whose labels differ and whose sizes allow a
-    link, counted up within the task in bounded pieces: for each block of pairs, compressed columns as in counted()."""
+    """Of sorted list entries (h, p, q, nid, n, pos, rare, label, block), the pairs of members (u above v), of the two blocks p and q if
+    these differ, whose labels differ and whose sizes allow a link, counted up within the task in bounded pieces: for each block of pairs, compressed columns as in counted()."""
 
     def flush(held: list[np.ndarray]) -> Iterator[tuple]:
         x = counted(np.concatenate(held, axis=1))
@@ -399,13 +409,16 @@ def unconnected(batches: Iterator[pa.RecordBatch], percent: int, n_blocks: int,
             if len(at):
                 yield r, pack(*x[:2, at], *x[2:, at].astype(np.uint32))
 
-    def of_list(nid, n, pos, rare, label) -> Iterator[np.ndarray]:
+    def of_list(p, q, nid, n, pos, rare, label, block) -> Iterator[np.ndarray]:
         order = np.argsort(nid)
-        nid, n, pos, rare, label = nid[order], n[order], pos[order], rare[order], label[order]
+        nid, n, pos, rare, label, block = nid[order], n[order], pos[order], rare[order], label[order], block[order]
+        two = p[0] != q[0]
         step = max(1, most // len(nid))
         for a in range(1, len(nid), step):
             b = min(a + step, len(nid))
             fits = (label[a:b, None] != label[None, :b]) & (np.arange(a, b)[:, None] > np.arange(b)[None])
+            if two:
+                fits &= block[a:b, None] != block[None, :b]
             small, large = np.minimum(n[a:b, None], n[None, :b]), np.maximum(n[a:b, None], n[None, :b])
             u, v = np.nonzero(fits & (100 * small >= percent * large))
             if len(u):
@@ -415,13 +428,13 @@ def unconnected(batches: Iterator[pa.RecordBatch], percent: int, n_blocks: int,
     def lists() -> Iterator[list[np.ndarray]]:
         rest = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(6)]
+            cols = [batch.column(k).to_numpy() for k in range(9)]
             if rest is not None:
                 cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            h = cols[0]
+            h, p, q = cols[:3]
             if not len(h):
                 continue
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
             for a, b in zip(first, first[1:], strict=False):  # the last list may go on in the next batch
                 yield [c[a:b] for c in cols[1:]]
             rest = [c[first[-1] :] for c in cols]
@@ -478,10 +491,12 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, salts: int = 16) -> DataFrame:
-    """The pairs (u, v) whose texts are similar. Each u's text is sent to v's; a v that many are compared with is in `salts` places."""
+def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, at_once: int = 256) -> DataFrame:
+    """The pairs (u, v) whose texts are similar. Each u's text is sent to v's; a v that many are compared with is in as many places as
+    leave about `at_once` of them to each."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    salted = pairs.select("u", "v", F.pmod(F.xxhash64("u"), F.lit(salts)).alias("salt"))
+    many = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > at_once).select("v", F.ceil(F.col("n") / at_once).alias("places"))
+    salted = pairs.join(many, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("places", F.lit(1))).alias("salt"))
     asks = salted.join(texts.withColumnRenamed("nid", "u"), "u").select("v", "salt", "u", "x")
     asked = salted.select("v", "salt").distinct().join(texts.withColumnRenamed("nid", "v"), "v").select("v", "salt", F.lit(None).cast("long").alias("u"), "x")
 
