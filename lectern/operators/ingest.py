@@ -164,6 +164,14 @@ def split_bodies(segments: DataFrame, size: int = SETTINGS.chunk_size, overlap:
     return short.unionByName(long).select("*", F.posexplode("_p").alias("piece", "text")).drop("_p")
 
 
+def attach_figures(pieces: DataFrame, figures: DataFrame) -> DataFrame:
+    """pieces (doc_id, title) with section (the title, its white space as single spaces) and image_ids: all figures (doc_id, section,
+    image_id, pos) of the document that stand under such a title, in order."""
+    images = figures.groupBy("doc_id", "section").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "image_id"))), lambda x: x["image_id"]).alias("image_ids"))
+    out = pieces.withColumn("section", T.title_key(F.col("title"))).join(images, ["doc_id", "section"], "left")
+    return out.withColumn("image_ids", F.coalesce("image_ids", F.array().cast("array<string>")))
+
+
 def chunk(pages: DataFrame, figures: DataFrame, manuals: DataFrame) -> DataFrame:
     """Structural chunks of pages (doc_id, page, text): headers, titles carried forward, size splits, tiny pieces and pages of
     contents dropped, numbered in document order; figures (doc_id, section, image_id, pos) by their section's title; version,
@@ -171,12 +179,10 @@ def chunk(pages: DataFrame, figures: DataFrame, manuals: DataFrame) -> DataFrame
     segs = carry_titles(headers(pages))
     pieces = split_bodies(segs).where((F.length(F.trim("text")) >= SETTINGS.least_chunk_chars) & ~T.looks_like_contents(F.col("text")))
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "seg", "piece"))
-    out = pieces.withColumn("n", n).withColumn("section", T.title_key(F.col("title")))
-    images = figures.groupBy("doc_id", "section").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "image_id"))), lambda x: x["image_id"]).alias("image_ids"))
-    out = out.join(images, ["doc_id", "section"], "left").join(manuals.select("doc_id", "version", "model", "firmware", "source_path"), "doc_id", "left")
+    out = attach_figures(pieces.withColumn("n", n), figures).join(manuals.select("doc_id", "version", "model", "firmware", "source_path"), "doc_id", "left")
     return out.select(
         T.chunk_id(F.col("doc_id").cast("string"), F.col("version"), F.col("n")).alias("chunk_id"), "doc_id", F.col("page").alias("page_start"), F.col("page").alias("page_end"), F.col("title").alias("section_title"), "text",
-        F.coalesce("image_ids", F.array().cast("array<string>")).alias("image_ids"), "version", "model", "firmware", "source_path", "is_continuation",
+        "image_ids", "version", "model", "firmware", "source_path", "is_continuation",
     )
 
 

@@ -287,12 +287,15 @@ lcs_ AS (SELECT a, b, r[length(b) + 1] AS lcs FROM lr WHERE i = length(a))"""
 _FUNCTION_WORDS = "['" + "', '".join(w.replace("'", "''") for w in sorted(K.FUNCTION_WORDS)) + "']"
 
 
-def _fuzzy(threshold: float) -> str:
+_OWN_TERMS = "voc AS (SELECT DISTINCT left(gram, 1) || gram AS term, n FROM win)"
+
+
+def _fuzzy(threshold: float, tokens: str = _TOKENS, vocabulary: str = _OWN_TERMS, source: str = "tk") -> str:
     """SQL of win(query_id, start, n, gram) and best(gram, term, ratio). Lengths and DuckDB's distance over bytes, of which a letter
     of these texts has two at most, leave out pairs that can't reach the threshold."""
     most = f"{(1 - threshold / 100):.4f} * (length(gram) + length(term)) + 0.000001"
-    return f"""{_TOKENS}, win AS (SELECT query_id, CAST(start AS INTEGER) AS start, n, array_to_string(tokens[start + 1 : start + n], ' ') AS gram FROM (SELECT query_id, tokens, n, unnest(range(len(tokens) - n + 1)) AS start FROM tk, (VALUES (2), (3)) z(n) WHERE len(tokens) >= n)),
-voc AS (SELECT DISTINCT left(gram, 1) || gram AS term, n FROM win), dw AS (SELECT DISTINCT gram, n FROM win WHERE length(gram) >= {K.LEAST_WINDOW_CHARS}),
+    return f"""{tokens}, win AS (SELECT query_id, CAST(start AS INTEGER) AS start, n, array_to_string(tokens[start + 1 : start + n], ' ') AS gram FROM (SELECT query_id, tokens, n, unnest(range(len(tokens) - n + 1)) AS start FROM {source}, (VALUES (2), (3)) z(n) WHERE len(tokens) >= n)),
+{vocabulary}, dw AS (SELECT DISTINCT gram, n FROM win WHERE length(gram) >= {K.LEAST_WINDOW_CHARS}),
 fp AS (SELECT gram, term, n FROM dw JOIN voc USING (n) WHERE 200.0 * least(length(gram), length(term)) >= {threshold} * (length(gram) + length(term)) AND levenshtein(gram, term) <= 2 * ({most})),
 {_lcs("fp", "gram", "term")},
 fr AS (SELECT gram, term, n, 200.0 * lcs / (length(gram) + length(term)) AS ratio FROM fp JOIN lcs_ ON gram = a AND term = b),
@@ -300,19 +303,21 @@ best AS (SELECT gram, term, CAST(ratio AS DOUBLE) AS ratio FROM (SELECT *, row_n
   AND len(list_filter(list_zip(string_split(gram, ' '), string_split(term, ' ')), lambda x: x[1] <> x[2] AND list_contains({_FUNCTION_WORDS}, x[1]))) = 0)"""
 
 
+#: SQL of greedy_(query_id, start, n, term): the windows that are taken.
+_GREEDY = """cand AS (SELECT query_id, start, n, term, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, start, term) AS k FROM win JOIN best USING (gram)),
+gr AS (SELECT query_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT query_id FROM cand) UNION ALL
+  SELECT g.query_id, c.k, CASE WHEN list_has_any(used, range(start, start + n)) THEN used ELSE list_concat(used, range(start, start + n)) END, CASE WHEN list_has_any(used, range(start, start + n)) THEN taken ELSE list_append(taken, c.k) END FROM gr g JOIN cand c ON g.query_id = c.query_id AND c.k = g.k + 1),
+last AS (SELECT query_id, arg_max(taken, k) AS taken FROM gr GROUP BY query_id),
+greedy_ AS (SELECT c.query_id, start, n, term FROM cand c JOIN last l ON c.query_id = l.query_id AND list_contains(taken, c.k))"""
+
+
 @query(f"WITH RECURSIVE {_fuzzy(88.0)} SELECT gram, term, round(ratio, 6) AS ratio FROM best")
 def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = Q.ngrams(query_tokens(spark, sf_dir), K.WINDOW_WORDS)
     return Q.best_matches(windows, fuzzy_vocabulary(windows)).withColumn("ratio", F.round("ratio", 6))
 
 
-@query(
-    f"""WITH RECURSIVE {_fuzzy(80.0)}, cand AS (SELECT query_id, start, n, term, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, start, term) AS k FROM win JOIN best USING (gram)),
-gr AS (SELECT query_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT query_id FROM cand) UNION ALL
-  SELECT g.query_id, c.k, CASE WHEN list_has_any(used, range(start, start + n)) THEN used ELSE list_concat(used, range(start, start + n)) END, CASE WHEN list_has_any(used, range(start, start + n)) THEN taken ELSE list_append(taken, c.k) END FROM gr g JOIN cand c ON g.query_id = c.query_id AND c.k = g.k + 1),
-last AS (SELECT query_id, arg_max(taken, k) AS taken FROM gr GROUP BY query_id)
-SELECT c.query_id, start, n, term FROM cand c JOIN last l ON c.query_id = l.query_id AND list_contains(taken, c.k)"""
-)
+@query(f"WITH RECURSIVE {_fuzzy(80.0)}, {_GREEDY} SELECT * FROM greedy_")
 def greedy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = Q.ngrams(query_tokens(spark, sf_dir), K.WINDOW_WORDS)
     return Q.greedy(windows.join(Q.best_matches(windows, fuzzy_vocabulary(windows), 80.0), "gram").select("query_id", "start", "n", "term"))
@@ -348,10 +353,11 @@ _MANUAL = r"m AS (SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extra
 
 
 def _corrections(words: str) -> str:
-    """SQL of fixes(word, corrected) for words(word)."""
-    return f"""uk AS (SELECT DISTINCT word, CASE WHEN length(word) <= {K.SHORT_WORD_CHARS} THEN {K.EDITS_SHORT} ELSE {K.EDITS_LONG} END AS lim FROM {words} WHERE length(word) >= {K.LEAST_CORRECTED_CHARS} AND NOT regexp_matches(word, '[0-9]') AND word NOT IN (SELECT word FROM m) AND word NOT IN (SELECT word FROM lang)),
-vo AS (SELECT word AS hit, CAST(freq AS DOUBLE) AS freq, 0 AS list FROM m UNION ALL SELECT word, freq, 1 FROM lang),
-co AS (SELECT uk.word, hit, freq, list, lim, damerau_levenshtein({_BYTES.format('uk.word')}, {_BYTES.format('hit')}) AS d FROM uk JOIN vo ON abs(length(uk.word) - length(hit)) <= lim AND length(hit) >= {K.LEAST_CORRECTED_CHARS - K.EDITS_LONG}),
+    """SQL of fixes(word, corrected) for words(word). Which letters two words have differs by two for each edit at most."""
+    letters = "list_reduce(list_transform(string_split(word, ''), lambda x: CAST(1 AS BIGINT) << CAST(unicode(x) % 61 AS BIGINT)), lambda a, b: a | b)"
+    return f"""uk AS (SELECT DISTINCT word, {letters} AS has, CASE WHEN length(word) <= {K.SHORT_WORD_CHARS} THEN {K.EDITS_SHORT} ELSE {K.EDITS_LONG} END AS lim FROM {words} WHERE length(word) >= {K.LEAST_CORRECTED_CHARS} AND NOT regexp_matches(word, '[0-9]') AND word NOT IN (SELECT word FROM m) AND word NOT IN (SELECT word FROM lang)),
+vo AS (SELECT word AS hit, {letters} AS own, CAST(freq AS DOUBLE) AS freq, 0 AS list FROM m UNION ALL SELECT word, {letters}, freq, 1 FROM lang),
+co AS (SELECT uk.word, hit, freq, list, lim, damerau_levenshtein({_BYTES.format('uk.word')}, {_BYTES.format('hit')}) AS d FROM uk JOIN vo ON abs(length(uk.word) - length(hit)) <= lim AND length(hit) >= {K.LEAST_CORRECTED_CHARS - K.EDITS_LONG} AND bit_count(xor(has, own)) <= 2 * lim),
 cb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word, list ORDER BY d, freq DESC, hit) AS k FROM co WHERE d <= lim) WHERE k = 1),
 fixes AS (SELECT word, hit AS corrected FROM (SELECT word, hit, row_number() OVER (PARTITION BY word ORDER BY d, list) AS k FROM cb) WHERE k = 1)"""
 
@@ -635,15 +641,74 @@ def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.chunk(p, figures, m).withColumn("image_ids", F.array_join("image_ids", ","))
 
 
-@query()
+# The benchmark items as users' queries: the fifth word mistyped, a code, a version and a model said at the end. Their families are
+# an item's first two words, and its next two with the first letter doubled; codes come from part, models from documents.
+_SAID = r"""ut AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zà-ÿ]+') AS w FROM benchmark),
+us AS (SELECT item_id AS query_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 5 THEN substr(x, 2, 1) || left(x, 1) || substr(x, 3) ELSE x END), ' ') || ' codice errore ' || CASE WHEN item_id % 2 = 0 THEN 'A ' ELSE '' END || (60 + item_id % 40) || ', versione ' || (item_id % 5) || '.2 SRC-' || (item_id % 4) AS text FROM ut),
+fam AS (SELECT item_id AS family, array_to_string(w[1:2], ' ') AS term, 0 AS place FROM ut WHERE len(w) >= 4 UNION ALL SELECT item_id, left(w[3], 1) || array_to_string(w[3:4], ' '), 1 FROM ut WHERE len(w) >= 4),
+codes AS (SELECT DISTINCT chr(CAST(65 + p_partkey % 3 AS INTEGER)) || (60 + p_size % 40) AS code FROM part)"""
+
+
+def said(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """query_id, text; family, canonical, term, place; code."""
+    w, i = query_tokens(spark, sf_dir), F.col("query_id")
+    words = F.transform("tokens", lambda x, k: F.when(k == 4, swapped(x)).otherwise(x))
+    end = F.concat(F.lit(" codice errore "), F.when(i % 2 == 0, "A ").otherwise(""), (60 + i % 40).cast("string"), F.lit(", versione "), (i % 5).cast("string"), F.lit(".2 SRC-"), (i % 4).cast("string"))
+    pair = lambda k: F.array_join(F.slice("tokens", k, 2), " ")
+    terms = F.array(F.struct(pair(1).alias("term"), F.lit(0).alias("place")), F.struct(F.concat(F.substring(pair(3), 1, 1), pair(3)).alias("term"), F.lit(1).alias("place")))
+    families = w.where(F.size("tokens") >= 4).select(i.cast("int").alias("family"), pair(1).alias("canonical"), F.inline(terms))
+    codes = table(spark, sf_dir, "part").select(F.concat(F.char(65 + F.col("p_partkey") % 3), (60 + F.col("p_size") % 40).cast("string")).alias("code")).distinct()
+    return w.select("query_id", F.concat(F.array_join(words, " "), end).alias("text")), families, codes
+
+
+_DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_NOW = r"tk AS (SELECT query_id, regexp_extract_all(lower(corrected), '[0-9a-zà-ÿ]+') AS tokens FROM fixed)"
+_FAMILY_TERMS = "voc AS (SELECT DISTINCT term, len(string_split(term, ' ')) AS n FROM fam)"
+
+
+@query(
+    rf"""WITH RECURSIVE {_MANUAL}, {_LANGUAGE}, {_SAID}, st AS (SELECT query_id, text, regexp_extract_all(lower(text), '[0-9a-zà-ÿ]+') AS tokens FROM us), sw AS (SELECT DISTINCT unnest(tokens) AS word FROM st),
+{_corrections("sw")},
+ea AS (SELECT query_id, pos, x.word, CASE WHEN regexp_matches(x.word, '[0-9]') THEN x.word ELSE coalesce(corrected, x.word) END AS after FROM (SELECT query_id, unnest(tokens) AS word, unnest(range(len(tokens))) AS pos FROM st) x LEFT JOIN fixes USING (word)),
+ec AS (SELECT query_id, count(*) FILTER (WHERE word <> after) AS n_corrections, string_agg(after, ' ' ORDER BY pos) AS joined FROM ea GROUP BY query_id),
+fixed AS (SELECT st.query_id, text, coalesce(n_corrections, 0) AS n_corrections, CASE WHEN n_corrections > 0 THEN joined ELSE text END AS corrected FROM st LEFT JOIN ec USING (query_id)),
+{_fuzzy(88.0, _NOW, _FAMILY_TERMS)}, {_GREEDY},
+ex AS (SELECT DISTINCT query_id, term FROM tk, (SELECT DISTINCT term FROM fam) WHERE contains(' ' || array_to_string(tokens, ' ') || ' ', ' ' || term || ' ')),
+ma AS (SELECT query_id, 0 AS kind, 0 AS n, 0 AS start, term FROM ex UNION ALL SELECT query_id, 1, -n, start, term FROM greedy_),
+ml AS (SELECT query_id, list(term ORDER BY kind, n, start, term) AS l FROM ma GROUP BY query_id), mt AS (SELECT query_id, {_DISTINCT.format("l")} AS matched FROM ml),
+ow AS (SELECT term, min(family) AS family FROM fam GROUP BY term), mf AS (SELECT DISTINCT query_id, family FROM ma JOIN ow USING (term)),
+mo AS (SELECT query_id, list(term ORDER BY family, place, term) AS more FROM mf JOIN fam USING (family) GROUP BY query_id),
+ep AS (SELECT query_id, upper(unnest(regexp_extract_all(text, '{K.ERROR_CODE}', 1)) || unnest(regexp_extract_all(text, '{K.ERROR_CODE}', 2))) AS code FROM us),
+en AS (SELECT query_id, upper(coalesce(unnest(regexp_extract_all(text, '{K.ERROR_CODE_IN_CONTEXT}', 1)), '')) AS letter, unnest(regexp_extract_all(text, '{K.ERROR_CODE_IN_CONTEXT}', 2)) AS digits FROM us),
+eo AS (SELECT * FROM ep UNION SELECT query_id, letter || digits FROM en WHERE letter <> '' UNION SELECT query_id, code FROM en JOIN codes ON substr(code, 2) = digits WHERE letter = ''),
+el AS (SELECT query_id, list_sort(list(DISTINCT code)) AS found FROM eo WHERE code IN (SELECT code FROM codes) OR NOT EXISTS (SELECT 1 FROM codes) GROUP BY query_id),
+md AS (SELECT compact, min_by(model, pos) AS model FROM (SELECT array_to_string(regexp_extract_all(lower(source), '[0-9a-zà-ÿ]+'), '') AS compact, source AS model, doc_id AS pos FROM documents WHERE source IS NOT NULL) WHERE compact <> '' GROUP BY compact),
+ru AS (SELECT query_id, start, n, array_to_string(tokens[start : start + n - 1], '') AS compact FROM (SELECT query_id, tokens, start, unnest(range(1, least(longest, len(tokens) - start + 1) + 1)) AS n FROM (SELECT query_id, tokens, unnest(range(1, len(tokens) + 1)) AS start FROM st), (SELECT max(length(compact)) AS longest FROM md))),
+me AS (SELECT query_id, model FROM (SELECT query_id, model, row_number() OVER (PARTITION BY query_id ORDER BY start, n, compact) AS k FROM ru JOIN md USING (compact)) WHERE k = 1),
+ja AS (SELECT f.*, coalesce(matched, []) AS matched, list_concat([corrected], coalesce(more, []), coalesce(found, [])) AS parts, coalesce(found, []) AS found, model FROM fixed f LEFT JOIN mt USING (query_id) LEFT JOIN mo USING (query_id) LEFT JOIN el USING (query_id) LEFT JOIN me USING (query_id))
+SELECT query_id, corrected, n_corrections, array_to_string(matched, ',') AS matched_terms, array_to_string(found, ',') AS error_codes, array_to_string({_DISTINCT.format("parts")}, ' | ') AS expanded, nullif(regexp_extract(text, '{K.FIRMWARE}', 1), '') AS firmware, model FROM ja"""
+)
 def normalised_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole of query normalisation over the benchmark items; its parts have SQL of their own."""
+    """The whole of query normalisation."""
     d = docs(spark, sf_dir)
-    out = Q.normalise(
-        table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")), Q.synonyms(spark), Q.term_frequency(d), language(spark, sf_dir),
-        Q.indexed_codes(d), Q.indexed_models(d.select(F.col("source").alias("model"), F.col("doc_id").alias("pos"))),
-    )
-    return out.select("query_id", "corrected", F.size("corrections").alias("n_corrections"), F.array_join("matched_terms", ",").alias("matched_terms"), F.array_join("error_codes", ",").alias("error_codes"), "expanded", "firmware", "model")
+    queries, families, codes = said(spark, sf_dir)
+    out = Q.normalise(queries, families, Q.term_frequency(d), language(spark, sf_dir), codes, Q.indexed_models(d.select(F.col("source").alias("model"), F.col("doc_id").alias("pos"))))
+    return out.select("query_id", "corrected", F.size("corrections").cast("long").alias("n_corrections"), F.array_join("matched_terms", ",").alias("matched_terms"), F.array_join("error_codes", ",").alias("error_codes"), "expanded", "firmware", "model")
+
+
+# The pages' headed parts, with figures for every third of them.
+@query(
+    rf"""WITH {_PAGES}, e AS (SELECT *, regexp_full_match(line, '[A-ZÀ-Ý]\S* .{{3,60}}[.]') AS head FROM lines_ WHERE length(line) > 0),
+t AS (SELECT doc_id, page, pos, trim(regexp_replace(trim(line), '\s+', ' ', 'g')) AS section FROM e WHERE head), f AS (SELECT doc_id, section, 'i' || page || '-' || pos AS image_id, page * 1000 + pos AS at_ FROM t WHERE (page + pos) % 3 = 0),
+g AS (SELECT doc_id, section, string_agg(image_id, ',' ORDER BY at_, image_id) AS image_ids FROM f GROUP BY ALL)
+SELECT t.doc_id, page, pos, t.section, coalesce(image_ids, '') AS image_ids FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.section = g.section"""
+)
+def section_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures by the title of their section, wherever in the document it stands."""
+    lines = I.lines_of(pages(spark, sf_dir)).where(F.col("line").rlike(r"^(?:[A-ZÀ-Ý]\S* .{3,60}[.])$"))
+    titled_ = lines.select("doc_id", "page", "pos", F.trim("line").alias("title"))
+    some = titled_.where("(page + pos) % 3 = 0").select("doc_id", T.title_key(F.col("title")).alias("section"), F.concat(F.lit("i"), F.col("page").cast("string"), F.lit("-"), F.col("pos").cast("string")).alias("image_id"), (F.col("page") * 1000 + F.col("pos")).alias("pos"))
+    return I.attach_figures(titled_, some).select("doc_id", "page", "pos", "section", F.array_join("image_ids", ",").alias("image_ids"))
 
 
 from . import plumbing  # noqa: E402,F401  more queries of the same catalogue

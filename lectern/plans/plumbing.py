@@ -13,6 +13,7 @@ from ..operators import retrieval as R
 from ..sources import corpus as SC
 from ..sources import scratch
 from ..sources import store as S
+from ..streaming import sessions as ST
 from . import catalog as C
 from .catalog import docs, query, table
 
@@ -50,7 +51,7 @@ def ingestion_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages that a list names."""
     wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page"))
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.length("text").alias("n")).join(wanted, "page", "left_semi").select("doc_id", "page", "n")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.length("text").cast("long").alias("n")).join(wanted, "page", "left_semi").select("doc_id", "page", "n")
 
 
 # documents as chunks with all that the corpus stores of them.
@@ -272,3 +273,50 @@ def answered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = RQ.answer(items, near, lexical, chunks, step, logits(spark, sf_dir, near.select("query_id", "chunk_id").unionByName(lexical.select("query_id", "chunk_id"))), gate=near.where(F.col("chunk_id") != F.col("query_id") * 100))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return out.select("query_id", "route", "relevance", text("retrieved"), text("candidate_models"), "n_steps", text("citations"))
+
+
+@query("SELECT to_json({'query_id': item_id, 'corrected': lower(coalesce(text, '')), 'n': length(coalesce(text, ''))})::VARCHAR AS shown FROM benchmark")
+def understanding_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown of a query's understanding: all of it but the expanded text."""
+    t = F.coalesce("text", F.lit(""))
+    whole = F.struct(F.col("item_id").alias("query_id"), F.lower(t).alias("corrected"), F.concat(t, F.lit(" | more")).alias("expanded"), F.length(t).alias("n"))
+    return table(spark, sf_dir, "benchmark").select(F.to_json(whole.dropFields("expanded")).alias("shown"))
+
+
+def streamed(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
+    """All that a stream gives for the files that are there now."""
+    path, state = scratch.scratch_path(spark, name), scratch.scratch_path(spark, f"{name}-state")
+    out.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
+
+
+@query(
+    f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session, turn, coalesce(text, '') AS text, role = 'assistant' OR length(coalesce(text, '')) < 60 AS asks FROM conversations),
+p AS (SELECT *, CASE WHEN lag(asks) OVER (PARTITION BY session ORDER BY turn) THEN lag(text) OVER (PARTITION BY session ORDER BY turn) END AS pending, list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '') AS w FROM t)
+SELECT session, turn, pending, CASE WHEN pending <> '' AND len(w) > 0 AND NOT contains(trim(text), '?') AND len(w) <= 6 AND regexp_replace(lower(w[1]), '^[,;:]+|[,;:]+$', '', 'g') NOT IN ('{C._ASK}')
+  THEN regexp_replace(pending, '[ ?]+$', '') || ' — ' || trim(text) ELSE trim(text) END AS query FROM p"""
+)
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with a slot of state each, as a stream over files of turns."""
+    path, text = scratch.scratch_path(spark, "turns"), F.coalesce("text", F.lit(""))
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").cast("long").alias("turn"), text.alias("text"), (F.coalesce(F.col("role") == "assistant", F.lit(False)) | (F.length(text) < 60)).alias("asks"))
+    t.write.parquet(path)
+    out = ST.pending_questions(spark.readStream.schema(ST.TURNS).option("maxFilesPerTrigger", 100_000).parquet(path))
+    return streamed(spark, out.select("session", "turn", "pending", "query"), "sessions")
+
+
+_DAY = "CAST(86400000000 AS BIGINT)"
+
+
+@query(
+    f"""WITH l AS (SELECT epoch_us(ts) AS us, user_id % 5 = 0 AS fb, user_id % 7 = 0 AS ot, CAST(floor(value * 40) AS INTEGER) AS lat FROM events), w AS (SELECT us // {_DAY} AS day, * FROM l), m AS (SELECT max(us) - {_DAY} AS mark FROM l)
+SELECT CAST(day * 86400 AS BIGINT) AS start, count(*) AS n, count(*) FILTER (WHERE fb) AS n_fallback, count(*) FILTER (WHERE ot) AS n_off_topic, round(avg(lat), 6) AS latency_ms FROM w, m GROUP BY day, mark HAVING (day + 1) * {_DAY} <= mark"""
+)
+def audit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of each day of the growing log; a day is told when no row of it can come late any more."""
+    path, user = scratch.scratch_path(spark, "log"), F.col("user_id")
+    at = F.date_format(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    rows = table(spark, sf_dir, "events").select(at.alias("timestamp"), (user % 5 == 0).alias("fallback"), (user % 7 == 0).alias("off_topic"), F.floor(F.col("value") * 40).cast("int").alias("latency_ms"))
+    S.append_log(rows, path)
+    out = ST.windowed_rates(ST.audit_stream(spark, path), "1 day", "1 day")
+    return streamed(spark, out.select(F.unix_seconds("window.start").alias("start"), "n", "n_fallback", "n_off_topic", F.round("latency_ms", 6).alias("latency_ms")), "rates")
