@@ -149,7 +149,7 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
     n_bytes = src.agg(F.sum(F.octet_length("x"))).first()[0] or 0
-    n_ranges = max(16, n_bytes // (10 << 20))
+    n_ranges, n_blocks = max(16, n_bytes // (10 << 20)), max(16, n_bytes // (16 << 20))
 
     # 1. One pass for the sets' digests and for the count-min sketch of all shingles, whose cells are few for each item: only
     # counts far above the mean matter, to put frequent shingles last in the order.
@@ -317,7 +317,7 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
 
     every, labels = [], None
     if not count_links:
-        links = cut_lineage(compare(star, texts, width, percent))
+        links = cut_lineage(compare(star, texts, width, percent, tasks=n_blocks))
         every = [links]
         labels = components(links, "u", "v")
 
@@ -339,14 +339,13 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
 
     each = lists.mapInArrow(entries, "h long, nid long, n long, pos long, rare long, p long, q long, block long")
     each = each.withColumn("label", F.col("nid")) if count_links else each.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    n_blocks = max(16, n_bytes // (16 << 20))
-    part = each.select("h", "p", "q", "nid", "n", "pos", "rare", "label", "block").repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(lambda x: unconnected(x, percent, n_blocks), "r long, part binary")
+    part = each.select("h", "p", "q", "nid", "n", "pos", "rare", "label", "block").repartition(n_blocks, "h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(lambda x: unconnected(x, percent, n_blocks), "r long, part binary")
     pairs = cut_lineage(part.repartitionById(n_blocks, F.col("r").cast("int")).sortWithinPartitions("r").mapInArrow(lambda x: candidates(x, percent), "u long, v long, c long"))
     release(spark)
     # If there are many, comparing the likeliest partner of each node first connects most of what there is to connect.
     while not count_links and pairs.count() > 4 * nodes.count():
         best = cut_lineage(pairs.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")))
-        found = cut_lineage(compare(best, texts, width, percent))
+        found = cut_lineage(compare(best, texts, width, percent, tasks=n_blocks))
         if not found.isEmpty():
             every.append(found)
             to = components(union(every), "u", "v")
@@ -355,7 +354,7 @@ def groups(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
         pairs = cut_lineage(pairs.select("u", "v", "c").join(best, ["u", "v"], "left_anti"))
         if found.isEmpty():
             break
-    every.append(cut_lineage(compare(pairs, texts, width, percent)))
+    every.append(cut_lineage(compare(pairs, texts, width, percent, tasks=n_blocks)))
     discard(texts)
     discard(lists)
     release(spark)
@@ -491,7 +490,7 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, at_once: int = 256) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, at_once: int = 256, tasks: int = 16) -> DataFrame:
     """The pairs (u, v) whose texts are similar. Each u's text is sent to v's; a v that many are compared with is in as many places as
     leave about `at_once` of them to each."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -513,5 +512,5 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int, at_onc
 
         return batched(rows(), schema)
 
-    dealt = asks.unionByName(asked).repartition("v", "salt").sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first())
+    dealt = asks.unionByName(asked).repartition(tasks, "v", "salt").sortWithinPartitions("v", "salt", F.col("u").asc_nulls_first())
     return dealt.select("v", "u", "x").mapInArrow(run, "u long, v long")

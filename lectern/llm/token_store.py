@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,6 +59,8 @@ class Encoder(dict):
     MOST = 800_000
     #: Letters up to U+024F that lower and normalise one by one, then a mark.
     PLAIN = re.compile("([a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)")
+    #: Visible ASCII, less what special tokens and contractions begin with, and its pre-tokens.
+    PRINTABLE, PIECES = re.compile(rb"[!-&(-;=-~]+"), re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
     #: Fixed value: the pre-tokens of such a vocabulary, which leave white space out.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     SYMBOLS = _byte_symbols()
@@ -95,6 +98,13 @@ class Encoder(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.MOST:
             self.clear()
+        if word.isalpha():  # ASCII letters alone
+            out = self[word] = array(self.kind, [t.id for t in self.model.tokenize(word.decode().lower())]).tobytes()
+            return out
+        if self.PRINTABLE.fullmatch(word):
+            parts = self.PIECES.findall(word)
+            out = self[word] = b"".join([self[x] for x in parts]) if len(parts) > 1 else self._model(word.decode())
+            return out
         text = word.decode("utf-8", "replace")
         m = self.PLAIN.fullmatch(text)
         if m is None:
@@ -119,27 +129,48 @@ class Encoder(dict):
         return out
 
 
-def cuts(ids: np.ndarray, window: int = 8, mean: int = 512, least: int = 128, most: int = 4096) -> list[int]:
-    """Where the chunks of an id stream end. A boundary depends on the last `window` ids alone, but for `least` and `most`."""
-    n = len(ids)
-    if n <= least:
-        return [n] if n else []
-    x = mix64(ids.astype(np.uint64) + np.uint64(1))
-    h = np.zeros(n - window + 1, np.uint64)
+_MIXED_IDS = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
+def _marks(ids: np.ndarray, window: int, mean: int) -> np.ndarray:
+    """The ends of those runs of `window` ids whose hash says so, one in `mean`."""
+    if len(ids) < window:
+        return np.empty(0, np.int64)
+    x = _MIXED_IDS.take(ids) if ids.itemsize == 2 else mix64(ids.astype(np.uint64) + np.uint64(1))
+    h = np.zeros(len(ids) - window + 1, np.uint64)
     for j in range(window):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + x[j : j + len(h)]
-    found = np.flatnonzero(mix64(h) < np.uint64((1 << 64) // mean)) + window
-    out, last = [], 0
-    for c in [*found.tolist(), n]:
-        while c - last > most:
-            last += most
-            out.append(last)
-        if c - last >= least or c == n > last:
-            out.append(c)
-            last = c
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += x[j : j + len(h)]
+    return np.flatnonzero(mix64(h) < np.uint64((1 << 64) // mean)) + window
+
+
+def cuts_of(streams: list[np.ndarray], window: int = 8, mean: int = 512, least: int = 128, most: int = 4096) -> list[list[int]]:
+    """Where the chunks of each id stream end. A boundary depends on the last `window` ids alone, but for `least` and `most`."""
+    if not streams:
+        return []
+    found = _marks(np.concatenate(streams), window, mean)
+    ends = np.cumsum([len(x) for x in streams])
+    starts = ends - [len(x) for x in streams]
+    lo, hi = np.searchsorted(found, starts + window), np.searchsorted(found, ends, side="right")
+    out = []
+    for s, e, a, b in zip(starts.tolist(), ends.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        own, last, n = [], 0, e - s
+        for c in [*(found[a:b] - s).tolist(), n]:
+            while c - last > most:
+                last += most
+                own.append(last)
+            if c - last >= least or c == n > last:
+                own.append(c)
+                last = c
+        out.append(own)
     return out
 
 
+def cuts(ids: np.ndarray, window: int = 8, mean: int = 512, least: int = 128, most: int = 4096) -> list[int]:
+    """cuts_of a single stream."""
+    return cuts_of([ids], window, mean, least, most)[0]
+
+
 def digest(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=DIGEST).digest()
 
@@ -201,10 +232,11 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
 
         def rows() -> Iterator[tuple]:
             for batch in slices(batches):
-                for doc, stream in zip(batch.column(0).to_pylist(), encoder.encode([t or b"" for t in as_bytes(batch.column(1))]), strict=True):
-                    stream += end
-                    ids, last, keys, lens = np.frombuffer(stream, kind), 0, [], []
-                    for c in cuts(ids):
+                streams = [x + end for x in encoder.encode([t or b"" for t in as_bytes(batch.column(1))])]
+                arrays = [np.frombuffer(x, kind) for x in streams]
+                for doc, stream, ids, own in zip(batch.column(0).to_pylist(), streams, arrays, cuts_of(arrays), strict=True):
+                    last, keys, lens = 0, [], []
+                    for c in own:
                         payload = stream[last * encoder.width : c * encoder.width]
                         keys.append(key := digest(payload))
                         lens.append(c - last)
@@ -219,19 +251,20 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
         return batched(rows(), STORE)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            last, held = None, None
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if row[0] == "chunk":
-                        if row[1] == last:
-                            if row[4] != held:
-                                raise ValueError("two chunks with one digest")
-                            continue
-                        last, held = row[1], row[4]
-                    yield row
-
-        return batched(rows(), STORE)
+        """Rows sorted by kind and key, less repeated chunks; whole columns are compared with themselves one row on."""
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            n = whole.num_rows - 1
+            kind, key, payload = (whole.column(k) for k in (0, 1, 4))
+            again = pc.and_(pc.equal(kind.slice(1), "chunk"), pc.and_(pc.equal(kind.slice(0, n), "chunk"), pc.equal(key.slice(1), key.slice(0, n))))
+            if pc.any(pc.and_(again, pc.not_equal(payload.slice(1), payload.slice(0, n)))).as_py():
+                raise ValueError("two chunks with one digest")
+            # The first row was passed on with the batch before, or is the first of all.
+            yield whole.slice(1).filter(pc.invert(again)) if last is not None else whole.filter(pa.concat_arrays([pa.array([True]), pc.invert(again)]))
+            last = batch.slice(batch.num_rows - 1)
 
     pieces = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(cut, STORE_DDL)
     stored = pieces.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(once, STORE_DDL)
