@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import string
@@ -110,6 +111,30 @@ def batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 8192, most_byt
             out, size = [], 0
     if out:
         yield rows_to_batch(out, schema)
+    del out
+    trim()
+
+
+#: glibc's way to return freed memory; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Return freed memory at a task's end: Spark keeps idle Python workers beside those of the next stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+#: The cache in use in this worker.
+_HELD: list[dict] = [{}]
+
+
+def hold(cache: dict) -> None:
+    """Of several operators' caches a worker holds one: the one before is emptied when another is used."""
+    if _HELD[0] is not cache:
+        _HELD[0].clear()
+        _HELD[0] = cache
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -133,6 +158,7 @@ class WordHashes(dict):
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        hold(self)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, mix64, new_path, slices
+from .common import as_bytes, batched, hold, mix64, new_path, slices
 
 END_ID = 1
 DIGEST = 16
@@ -88,6 +88,7 @@ class Encoder(dict):
     def of(cls, path: str) -> Encoder:
         if path not in _ENCODERS:
             _ENCODERS[path] = cls(path)
+        hold(_ENCODERS[path])
         return _ENCODERS[path]
 
     def _model(self, piece: str) -> bytes:
