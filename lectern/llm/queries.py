@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, lang_id, mixing, ngram_join, substring_dedup, suffix_dedup, token_store
+from . import chat_format, decontaminate, exact_dedup, html_extract, lang_id, mixing, ngram_join, prefix_trie, simhash, substring_dedup, suffix_dedup, token_store
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 
@@ -70,6 +70,14 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lang_id": op2_lang_id,
@@ -81,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_ngram_join": op9_ngram_join,
     "op10_html_extract": op10_html_extract,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_simhash": op12_simhash,
 }
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -150,6 +160,26 @@ l AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS p FROM s JOIN m USING
 x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
 y AS (SELECT x.doc_id, count(l.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE l.p IS NULL) AS kept FROM x LEFT JOIN l ON x.doc_id = l.doc_id AND x.p = l.p GROUP BY x.doc_id)
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN y ON w.doc_id = y.doc_id
+""",
+    "op11_prefix_trie": """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT c, list_reduce(flatten(list_concat([[4294967295]], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, d: xor(xor(a, greatest(d, 0)) >> 1, 3988292384 * (xor(a, greatest(d, 0)) & 1))) AS crc FROM (SELECT DISTINCT c FROM t)),
+h AS (SELECT c, xor(crc, 4294967295) % 9 AS h, c - c % 5 AS base FROM b),
+n AS (SELECT h.*, least(h.h, (SELECT count(*) FROM t WHERE t.c = h.base)) AS taken FROM h),
+u AS (SELECT n.c, t.pos, r, x FROM n JOIN t ON t.c = n.base AND t.pos <= n.h UNION ALL SELECT n.c, t.pos - n.h + n.taken, r, x FROM n JOIN t ON t.c = n.c AND t.pos > n.h),
+l AS (SELECT n.c, coalesce(list(sha256(length(r) || ':' || r || x) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS k, coalesce(list(strlen(x) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS s
+      FROM n LEFT JOIN u ON u.c = n.c GROUP BY n.c),
+p AS (SELECT c, k, s, unnest(range(0, len(k) + 1)) AS depth FROM l),
+g AS (SELECT depth, array_to_string(k[1 : depth], '') AS id, c, len(k) = depth AS ends, CASE WHEN depth > 0 THEN s[depth] ELSE 0 END AS bytes FROM p),
+v AS (SELECT depth, id, min(c) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '') AS ends FROM g GROUP BY depth, id),
+q AS (SELECT substr(id, 1, 64 * (depth - 1)) AS id, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN q USING (id)),
+a AS (SELECT substr(id, 1, 64 * up) AS id, n_children = 0 AS leaf, (n_convs - 1) * bytes AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM w)),
+z AS (SELECT id, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved_tokens FROM a GROUP BY id)
+SELECT w.conv_id, w.depth, e.conv_id AS parent_conv_id, w.n_convs, w.n_children, z.n_leaves, CAST(z.saved_tokens AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN z USING (id) LEFT JOIN v e ON w.depth > 0 AND e.id = substr(w.id, 1, 64 * (w.depth - 1))
 """,
     "op9_ngram_join": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
