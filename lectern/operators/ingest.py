@@ -33,6 +33,31 @@ def numbered(df: DataFrame, by: str, order: str, name: str) -> DataFrame:
     return out.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_ahead") + 1).cast("int").alias(name))
 
 
+def last_known(df: DataFrame, by: str, order: list[str], value: str, name: str, own: bool = True) -> DataFrame:
+    """df with the last `value` that isn't null at or (own=False: only) ahead of each row, within `by`, in the order of `order`.
+
+    A hot `by` is not one task's: rows are dealt by range and looked back on where they are; what is carried over tasks is a row for each
+    task and value of `by`. df should have few columns."""
+    dealt = df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33))
+    shared_dir(df.sparkSession)
+    dealt = dealt.checkpoint()  # the same deal in both uses
+    ends = dealt.groupBy("_task", by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_end"))
+    ahead = Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.withColumn("_ahead", F.last("_end", ignorenulls=True).over(ahead)).select(F.col("_task").alias("_t"), F.col(by).alias("_by"), "_ahead")
+    here = Window.partitionBy("_task", by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    out = dealt.withColumn("_here", F.last(value, ignorenulls=True).over(here)).join(starts, (F.col("_task") == F.col("_t")) & F.col(by).eqNullSafe(F.col("_by")))
+    return out.select(*df.columns, F.coalesce("_here", "_ahead").alias(name))
+
+
+def numbered_pages(pages: DataFrame, order: str) -> DataFrame:
+    """doc_id, page (from 1, by `order` within the document), text of pages (doc_id, order, text). Texts stay where they are until their
+    numbers are known. Pages of equal order in one document are numbered in any order, and those without are not pages."""
+    n = numbered(pages.where(F.col(order).isNotNull()).select("doc_id", order), "doc_id", order, "page")
+    spread = lambda df: df.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", order).orderBy("page" if "page" in df.columns else "text")))
+    out = spread(pages.where(F.col(order).isNotNull())).alias("a").join(spread(n).alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col(f"a.{order}") == F.col(f"b.{order}")) & (F.col("a._nth") == F.col("b._nth")))
+    return out.select("a.doc_id", "b.page", "a.text")
+
+
 def lines_of(pages: DataFrame) -> DataFrame:
     """doc_id, page, pos (from 0), line of pages (doc_id, page, text)."""
     return pages.select("doc_id", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
@@ -82,11 +107,12 @@ def headers(pages: DataFrame, pattern: str = K.SECTION_HEADER) -> DataFrame:
 
 
 def carry_titles(segments: DataFrame) -> DataFrame:
-    """segments without pages of contents; a page's first segment without title takes the last title before it in its document
-    (is_continuation)."""
+    """segments (doc_id, page, seg, title, body; one for each page and seg) without pages of contents; a page's first segment without
+    title takes the last title before it in its document (is_continuation)."""
     out = segments.where(~T.looks_like_contents(F.col("body")))
-    before = Window.partitionBy("doc_id").orderBy("page", "seg").rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("_last", F.last("title", ignorenulls=True).over(before))
+    last = last_known(out.select("doc_id", "page", "seg", "title"), "doc_id", ["page", "seg"], "title", "_last", own=False)
+    last = last.where((F.col("seg") == 0) & F.col("title").isNull() & F.col("_last").isNotNull()).select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), "_last")
+    out = out.join(last, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("page") == F.col("_p")) & (F.col("seg") == 0), "left").drop("_d", "_p")
     goes_on = (F.col("seg") == 0) & F.col("title").isNull() & F.col("_last").isNotNull()
     return out.withColumn("is_continuation", goes_on).withColumn("title", F.when(goes_on, F.col("_last")).otherwise(F.col("title"))).drop("_last")
 
@@ -113,9 +139,8 @@ def figures_by_section(titles: DataFrame, figures: DataFrame) -> DataFrame:
     them on the page, or else the last of the pages before; figures without any are left out."""
     t = titles.select("doc_id", "page", "y", F.lit(0).alias("kind"), "pos", "title", F.lit(None).cast("string").alias("image_id"))
     f = figures.select("doc_id", "page", "y", F.lit(1).alias("kind"), "pos", F.lit(None).cast("string").alias("title"), "image_id")
-    order = Window.partitionBy("doc_id").orderBy("page", "y", "kind", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    out = t.unionByName(f).withColumn("title", F.last("title", ignorenulls=True).over(order))
-    return out.where((F.col("kind") == 1) & F.col("title").isNotNull()).select("doc_id", "page", "image_id", "pos", T.title_key(F.col("title")).alias("section"))
+    out = last_known(t.unionByName(f), "doc_id", ["page", "y", "kind", "pos"], "title", "last")
+    return out.where((F.col("kind") == 1) & F.col("last").isNotNull()).select("doc_id", "page", "image_id", "pos", T.title_key(F.col("last")).alias("section"))
 
 
 def split_text(text: str, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap, separators: tuple[str, ...] = SEPARATORS) -> list[str]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers as A
 from ..operators import ingest as I
+from ..operators import lexical_index as LI
 from ..operators import requests as RQ
 from ..operators import retrieval as R
 from ..sources import corpus as SC
@@ -195,6 +196,16 @@ def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {C._BM25} SELECT query_id, chunk_id, score, rank FROM bm25")
+def stored_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical lists from the stored index, to which the documents came in two batches; some of the first came with other texts and were replaced."""
+    path = scratch.scratch_path(spark, "lexical")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    LI.add(d.where("chunk_id % 3 != 0").withColumn("text", F.when(F.col("chunk_id") % 5 == 0, F.concat(F.lit("former "), "text")).otherwise(F.col("text"))), path, 0)
+    LI.add(d.where("chunk_id % 3 = 0 or chunk_id % 5 = 0"), path, 1)
+    return LI.search(spark, path, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
 @query("SELECT doc_id, 'passage: ' || coalesce(text, '') AS passage, 'query: ' || coalesce(lang, '') AS query, coalesce(lang, '') AS plain FROM documents")
 def model_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.coalesce("lang", F.lit(""))
