@@ -3,12 +3,13 @@
 For each conversation the renderer is called on successive prefixes of its turns; the part by which one output exceeds
 the one before is the span of the new turn. An output that doesn't begin with the one before shows a template that
 rewrites history. Rendering every prefix from the first turn would cost the square of the turns, so after `context`
-turns the prefix begins anew a few turns back, behind the system turns that open the conversation, and the last turn's
-span has to come out the same from both beginnings; a template for which it doesn't, such as one that numbers turns, is
-reported like one that rewrites history. So that no rewriting further back goes unseen, the whole conversation is rendered
-as well whenever its turns have doubled and at its end, and has to be what the spans add up to: linear time in all. Such
-rewriting is reported at the turn where the whole was rendered; what a template changes and restores between two of these
-lengths is not seen.
+turns the prefix begins anew a few turns back, behind the system turns that open the conversation, if the last turn's
+span comes out the same from both beginnings. If it doesn't, the whole conversation is rendered: if it still is what the spans
+add up to, the template only depends on all turns, as one that numbers them does, and whole prefixes are rendered from
+there on (at a cost of the square of the turns); otherwise it rewrites history. So that no rewriting further back goes unseen,
+the whole conversation is rendered as well whenever its turns have doubled and at its end, and has to be what the spans add
+up to: linear time in all. Such rewriting is reported at the turn where the whole was rendered; what a template changes and
+restores between two of these lengths is not seen.
 
 Turns stream through in (conversation, turn) order: memory holds one conversation.
 """
@@ -16,6 +17,7 @@ Turns stream through in (conversation, turn) order: memory holds one conversatio
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -82,6 +84,10 @@ def parse_inst(piece: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass")).digest()
+
+
 def spans(messages: Iterator[Message], render: Callable[[list[Message]], str], context: int = 16) -> Iterator[tuple[str, bool]]:
     """The text that each turn adds to the output, and whether the template rewrote what it had put out before."""
     turns = iter(messages)
@@ -91,7 +97,8 @@ def spans(messages: Iterator[Message], render: Callable[[list[Message]], str], c
     before = render([])
     anchored = before  # what stands ahead of the first turn belongs to its span
     first, far, whole, rewrote = True, False, True, False
-    restart, check = 2 * context, 2 * context
+    restart: float = 2 * context
+    check = 2 * context
     said = hashlib.blake2b()
     message = next(turns, None)
     while message is not None:
@@ -106,8 +113,13 @@ def spans(messages: Iterator[Message], render: Callable[[list[Message]], str], c
             except Exception:
                 restart = len(held) + context
             else:
-                far = not (before.startswith(last_before) and b.startswith(a) and before[len(last_before) :] == b[len(a) :])
-                held, before, whole, restart = short, b, False, max(2 * context, len(short) + context)
+                same = before.startswith(last_before) and b.startswith(a) and before[len(last_before) :] == b[len(a) :]
+                if same or rewrote:
+                    far, held, before, whole, restart = not same, short, b, False, max(2 * context, len(short) + context)
+                elif _digest(full := render(every)) == said.digest():
+                    lead, held, before, whole, restart = [], list(every), full, True, math.inf
+                else:
+                    far = True
         (held if held or message[0] != "system" or len(lead) >= context else lead).append(message)
         if not rewrote:
             every.append(message)
@@ -121,7 +133,7 @@ def spans(messages: Iterator[Message], render: Callable[[list[Message]], str], c
             # Held against the whole output at doubling lengths and at the end, which costs a constant number of turns each.
             if not rewrites and not whole and (following is None or len(every) >= check):
                 full = render(every)
-                if hashlib.blake2b(full.encode("utf-8", "surrogatepass")).digest() != said.digest():
+                if _digest(full) != said.digest():
                     piece, rewrites = full, True
             if len(every) >= check:
                 check *= 2
