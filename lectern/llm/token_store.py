@@ -2,8 +2,11 @@
 
 Each document's id stream is cut into chunks where a rolling hash over the last ids says so, so that equal passages
 give equal chunks wherever they stand. A chunk is stored once under the digest of its bytes. A document is a recipe: the
-digests and lengths of its chunks, with a Merkle root over them; recipes are written in ascending document order in
-segments, each with a manifest of a Merkle root over its recipes and the number of ids ahead of it.
+digests and lengths of its chunks, with a Merkle root over the digests; recipes are written in ascending document order in
+segments. The manifest has the root of a Merkle tree for each segment, whose leaves are (identifier, number of ids, recipe root) of its
+documents in order, with their number and the ids in and ahead of the segment; a last row, of segment -1, has the same for
+the whole store, over its segments. Readers build all of it again from the recipes and compare, so a recipe that is lost, changed,
+doubled or in another's place is found, as is a manifest row.
 
 Layout under the store's folder (Parquet): store/kind=chunk (key, payload), store/kind=doc (recipes as dealt),
 index (recipes in order: segment, pos, doc_id, ahead, n_tokens, root, digests, lens) and manifest (segment, start, n_tokens,
@@ -29,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batched, hold, mix64, new_path, slices
@@ -184,6 +187,36 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+class Tree:
+    """The root that merkle() gives for leaves that come one by one; holds one node for each bit of their number."""
+
+    def __init__(self) -> None:
+        self.nodes: list[tuple[int, bytes]] = []
+
+    @staticmethod
+    def inner(left: bytes, right: bytes) -> bytes:
+        return hashlib.blake2b(left + right, digest_size=DIGEST, person=b"inner").digest()
+
+    def add(self, leaf: bytes) -> None:
+        level = 0
+        while self.nodes and self.nodes[-1][0] == level:
+            leaf, level = self.inner(self.nodes.pop()[1], leaf), level + 1
+        self.nodes.append((level, leaf))
+
+    def root(self) -> bytes:
+        if not self.nodes:
+            return digest(b"")
+        out = self.nodes[-1][1]
+        for _, left in self.nodes[-2::-1]:
+            out = self.inner(left, out)
+        return out
+
+
+def leaf(name: int | None, n: int, root: bytes, kind: bytes = b"doc") -> bytes:
+    """What stands for a document, or a segment, in the tree above it."""
+    return hashlib.blake2b(f"{name} {n} ".encode() + root, digest_size=DIGEST, person=kind).digest()
+
+
 # CRC-32 as arithmetic over GF(2): bit-reflected polynomials, lowest power in the highest bit.
 _POLY = np.uint32(0xEDB88320)
 
@@ -222,7 +255,8 @@ def crc_whole(shares_xor: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> str:
     """Write the store of all rows and return its folder. Null text is empty (the end id alone); a null identifier sorts
-    first; repeated rows are documents of their own and share their chunks. An empty table gives an empty store."""
+    first; repeated rows are documents of their own and share their chunks. Other columns are ignored. Texts of any length are
+    encoded whole. An empty table gives an empty store."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
 
@@ -300,28 +334,68 @@ def _write_index(spark: SparkSession, folder: str) -> None:
     dealt.mapInArrow(order, INDEX_DDL).write.option("compression", "zstd").parquet(f"{folder}/index")
     index = spark.read.schema(INDEX_DDL).parquet(f"{folder}/index")
 
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[int, list] = {}
-        for b in batches:
-            for s, n, root in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = state.setdefault(s, [0, 0, hashlib.blake2b(digest_size=DIGEST)])
-                x[0], x[1] = x[0] + n, x[1] + 1
-                x[2].update(root)
-        yield from batched(((s, x[0], x[1], x[2].digest()) for s, x in state.items()), pa.schema([("segment", pa.int32()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("root", pa.binary())]))
+    rows = _manifest_rows(sorted(tuple(r) for r in _segments(index).collect()))  # a row for each task that wrote
+    spark.createDataFrame(rows, MANIFEST_DDL).coalesce(1).write.parquet(f"{folder}/manifest")
 
-    # A segment is one partition's sorted file; its rows are few hundred bytes each.
-    sums = index.select("segment", "pos", "n_tokens", "root").repartition("segment").sortWithinPartitions("segment", "pos").select("segment", "n_tokens", "root").mapInArrow(roots, "segment int, n_tokens long, n_docs long, root binary")
-    line = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    sums.withColumn("start", F.coalesce(F.sum("n_tokens").over(line), F.lit(0))).coalesce(1).write.parquet(f"{folder}/manifest")
+
+MANIFEST_DDL = "segment int, start long, n_tokens long, n_docs long, root binary"
+
+
+def _segments(index: DataFrame) -> DataFrame:
+    """segment, n_tokens, n_docs, root of each segment, from its recipes; rows out of place, lost, doubled or shifted among them raise."""
+    schema = pa.schema([("segment", pa.int32()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("root", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            segment, tree, n_docs, n_tokens = None, Tree(), 0, 0
+            for b in batches:
+                for s, pos, doc, ahead, n, root in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if s != segment:
+                        if segment is not None:
+                            yield segment, n_tokens, n_docs, tree.root()
+                        segment, tree, n_docs, n_tokens = s, Tree(), 0, 0
+                    if pos != n_docs or ahead != n_tokens:
+                        raise ValueError(f"the index is damaged: segment {s} at {pos}, document {doc}")
+                    tree.add(leaf(doc, n, root))
+                    n_docs, n_tokens = n_docs + 1, n_tokens + n
+            if segment is not None:
+                yield segment, n_tokens, n_docs, tree.root()
+
+        return batched(rows(), schema)
+
+    # A segment is one task's sorted file; its rows here are some 60 bytes each.
+    dealt = index.select("segment", "pos", "doc_id", "ahead", "n_tokens", "root").repartition("segment").sortWithinPartitions("segment", "pos")
+    return dealt.mapInArrow(run, "segment int, n_tokens long, n_docs long, root binary")
+
+
+def _manifest_rows(segments: list[tuple]) -> list[tuple]:
+    """The manifest of segments (segment, n_tokens, n_docs, root) in order."""
+    start, n_docs, tree, out = 0, 0, Tree(), []
+    for s, n, docs, root in segments:
+        out.append((s, start, n, docs, bytearray(root)))
+        tree.add(leaf(s, n, bytes(root), b"segment"))
+        start, n_docs = start + n, n_docs + docs
+    return [*out, (-1, 0, start, n_docs, bytearray(tree.root()))]
+
+
+def _verified(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The index, and where each segment starts (segment, s0), once the manifest is what the index gives."""
+    index = spark.read.schema(INDEX_DDL).parquet(f"{folder}/index")
+    said = spark.read.schema(MANIFEST_DDL).parquet(f"{folder}/manifest")
+    rows = _manifest_rows(sorted(tuple(r) for r in _segments(index).collect()))
+    plain = lambda rows: sorted((*r[:4], bytes(r[4])) for r in rows)
+    if plain(said.collect()) != plain(rows):
+        raise ValueError("the index or its manifest is damaged")
+    return index, spark.createDataFrame([r[:2] for r in rows], "segment int, s0 long")
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """What the store's files hold, a row per document: doc_id, start (ids ahead of it), n_tokens, ids_crc32, root.
 
-    Every chunk is checked against its digest, every recipe against its root; a damaged store raises."""
+    The manifest is checked against the recipes here; every recipe against its root, and every chunk against its digest, as rows are
+    read. A damaged store raises."""
     stored = spark.read.schema(STORE_READ).parquet(f"{folder}/store")
-    manifest = spark.read.schema("segment int, n_tokens long, n_docs long, root binary, start long").parquet(f"{folder}/manifest")
-    index = spark.read.schema(INDEX_DDL).parquet(f"{folder}/index")
+    index, starts = _verified(spark, folder)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.binary()), ("c_n", pa.int64()), ("crc", pa.int64())])
@@ -368,7 +442,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
     chunks = stored.where(F.col("kind") == "chunk").select("key", "n", "payload").mapInArrow(verify, "key binary, c_n long, crc long")
     # One row for each segment, as many as the index has partitions.
-    placed = index.join(F.broadcast(manifest.select("segment", F.col("start").alias("s0"))), "segment").select("doc_id", (F.col("s0") + F.col("ahead")).alias("start"), "n_tokens", "root", "digests", "lens")
+    placed = index.join(F.broadcast(starts), "segment").select("doc_id", (F.col("s0") + F.col("ahead")).alias("start"), "n_tokens", "root", "digests", "lens")
     asked = placed.mapInArrow(steps, "doc_id long, start long, n_tokens long, root binary, key binary, n long, after long")
     found = asked.join(chunks, "key", "left").mapInArrow(shares, "doc_id long, start long, n_tokens long, root binary, share long")
     # start differs between documents, since each has one id at least.
@@ -377,10 +451,11 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """The ids themselves, a row per document: doc_id, start, ids. For readers that want them back; moves all chunks."""
+    """The ids themselves, a row per document: doc_id, start, ids. For readers that want them back; moves all chunks. The manifest is
+    checked."""
     stored = spark.read.schema(STORE_READ).parquet(f"{folder}/store").where(F.col("kind") == "chunk").select("key", "payload", F.col("n").alias("c_n"))
-    manifest = spark.read.schema("segment int, n_tokens long, n_docs long, root binary, start long").parquet(f"{folder}/manifest")
-    index = spark.read.schema(INDEX_DDL).parquet(f"{folder}/index").join(F.broadcast(manifest.select("segment", F.col("start").alias("s0"))), "segment")
+    index, starts = _verified(spark, folder)
+    index = index.join(F.broadcast(starts), "segment")
     each = index.select("doc_id", (F.col("s0") + F.col("ahead")).alias("start"), F.expr(f"transform(sequence(0, cast(length(digests) / {DIGEST} as int) - 1), k -> struct(k, substring(digests, k * {DIGEST} + 1, {DIGEST}) as key))").alias("e"))
     each = each.select("doc_id", "start", F.inline("e")).join(stored, "key")
 

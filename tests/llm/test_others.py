@@ -104,11 +104,25 @@ def test_templates_that_rewrite():
     drops = lambda m: "".join(f"<{r}>{x}" if k == len(m) - 1 or r == "user" else f"<{r}>" for k, (r, x) in enumerate(m))
     assert any(r for _, r in C.spans(iter(turns[:4]), drops, 4))
     counts = lambda m: "".join(f"{k}:{x}\n" for k, (_, x) in enumerate(m))
-    assert any(r for _, r in C.spans(iter(turns), counts, 4))
+    for n in range(1, 61):  # it only appends
+        got = list(C.spans(iter(turns[:n]), counts, 4))
+        assert "".join(p for p, _ in got) == counts(turns[:n]) and len(got) == n and not any(r for _, r in got)
     header = lambda m: "HEAD " + C.render_inst(m)
     assert next(C.spans(iter(turns), header, 4))[0].startswith("HEAD <s>")
 
 
+def test_templates_that_count_are_judged_alike_at_any_length():
+    turns = [("system", "s"), *[(("user", "assistant")[k % 2], f"t{k}") for k in range(200)]]
+    numbered = lambda m: "".join(f"[{k}]<{r}>{x}" for k, (r, x) in enumerate(m))
+    of_all = lambda m: f"{len(m)} turns: " + numbered(m)
+    window = lambda m: "".join(f"[{k}]{x if k > len(m) - 50 else ''}" for k, (_, x) in enumerate(m))
+    for n in (2, 10, 31, 32, 33, 34, 40, 64, 65, 100, 201):
+        got = list(C.spans(iter(turns[:n]), numbered))
+        assert "".join(p for p, _ in got) == numbered(turns[:n]) and not any(r for _, r in got), n
+        assert any(r for _, r in C.spans(iter(turns[:n]), of_all)), n
+        assert any(r for _, r in C.spans(iter(turns[:n]), window)) == (n > 50), n
+
+
 def test_templates_that_rewrite_far_back():
     turns = [(("user", "assistant")[k % 2], f"t{k}") for k in range(200)]
     last = lambda m: "".join(f"<{r}>{x}" for r, x in m[-40:])
@@ -288,6 +302,54 @@ def test_damage_is_found(spark, docs, tmp_path):
         token_store.read_store(spark, f"{folder}-2").collect()
 
 
+def test_damage_of_index_and_manifest_is_found(spark, docs, tmp_path):
+    """Rows of either that are lost, doubled, exchanged or shifted; recipes that are changed."""
+    folder = token_store.write_store(docs.repartition(5), queries.vocabulary(), str(tmp_path / "s"))
+    assert token_store.read_store(spark, folder).count() == docs.count()
+    parts = {x: spark.read.parquet(f"{folder}/{x}").collect() for x in ("index", "manifest")}
+    schemas = {"index": token_store.INDEX_DDL, "manifest": token_store.MANIFEST_DDL}
+    at = {x: max(range(len(rows)), key=lambda k: len(rows[k])) for x, rows in parts.items()}
+    last = max(range(len(parts["index"])), key=lambda k: (parts["index"][k].segment, parts["index"][k].pos))
+    other = next(k for k, r in enumerate(parts["index"]) if k != at["index"] and r.n_tokens != parts["index"][at["index"]].n_tokens and r.doc_id is not None)
+
+    def shift(rows, k, **by):
+        return [{**r.asDict(), **({c: r[c] + n for c, n in by.items()} if j == k else {})} for j, r in enumerate(rows)]
+
+    def exchange(rows, a, b, column):
+        out = [r.asDict() for r in rows]
+        out[a][column], out[b][column] = out[b][column], out[a][column]
+        return out
+
+    whole = {x: [r.asDict() for r in rows] for x, rows in parts.items()}
+    of_last = whole["index"][last]["segment"]
+    cases = [("index", shift(parts["index"], other, **{c: 1})) for c in ("ahead", "n_tokens", "doc_id", "pos")]
+    cases += [("index", [r for k, r in enumerate(whole["index"]) if k != j]) for j in (at["index"], last)]
+    cases += [("index", [*whole["index"], whole["index"][last]]), ("index", exchange(parts["index"], at["index"], other, "doc_id")), ("index", exchange(parts["index"], at["index"], other, "root"))]
+    cases += [("manifest", whole["manifest"][1:]), ("manifest", [*whole["manifest"], whole["manifest"][0]]), ("manifest", shift(parts["manifest"], 0, start=1)), ("manifest", shift(parts["manifest"], 0, n_docs=1))]
+    for n, (part, rows) in enumerate(cases):
+        bad = f"{folder}-{n}"
+        spark.read.parquet(f"{folder}/store").write.partitionBy("kind").parquet(f"{bad}/store")
+        for x in parts:
+            spark.createDataFrame([tuple(r[c.split()[0]] for c in schemas[x].split(", ")) for r in (rows if x == part else whole[x])], schemas[x]).write.parquet(f"{bad}/{x}")
+        with pytest.raises(Exception, match="damaged"):
+            token_store.read_store(spark, bad).collect()
+    # A segment that is gone from both: the store's own root tells.
+    bad = f"{folder}-both"
+    spark.read.parquet(f"{folder}/store").write.partitionBy("kind").parquet(f"{bad}/store")
+    for x in parts:
+        spark.read.parquet(f"{folder}/{x}").where(F.col("segment") != of_last).write.parquet(f"{bad}/{x}")
+    with pytest.raises(Exception, match="damaged"):
+        token_store.read_store(spark, bad)
+
+
+@pytest.mark.parametrize("n", range(19))
+def test_tree_that_grows(n):
+    leaves, tree = [token_store.digest(bytes([k])) for k in range(n)], token_store.Tree()
+    for x in leaves:
+        tree.add(x)
+    assert tree.root() == token_store.merkle(leaves)
+
+
 def test_encoder_and_cuts():
     from tokenizers import Tokenizer
 
