@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
 import string
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,21 +14,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
+from ..sources.scratch import scratch_path as new_path
+from ..sources.scratch import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session's spark.checkpoint.dir. Where none is set, a temporary one in
-    local mode, as in tests; on a cluster, whose executors couldn't see it, an error."""
-    sc = spark.sparkContext
-    own = sc._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def fresh(*names: str) -> list[str]:
@@ -74,10 +61,6 @@ def sorted_distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

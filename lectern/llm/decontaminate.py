@@ -176,7 +176,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     item is one window, at its whole length.
 
     Null or empty texts hold and are nothing; an item under five words is found only where it is a whole document. Null
-    identifiers are carried on; repeated rows of either table give rows of their own. Other columns are ignored. A
+    identifiers are carried on; a text of any length is searched as a whole, in one task; repeated rows of either table give rows of their own. Other columns are ignored. A
     benchmark beyond `block_bytes` is searched for in blocks, one pass over the documents each.
     """
     schema = pa.schema([("d", pa.int64()), ("i", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64())])

@@ -58,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of a group the row with the
     smallest identifier stays (keep="max": the largest); a null identifier stays only if the group has no other.
-    Repeated rows, identifier included, are members like any other: one row of the group stays.
+    Texts of any length are compared as wholes; a task holds two at a time. Repeated rows, identifier included, are members like any other: one row of the group stays.
     Returns a row per input row: id_col, keep_id (null only if all identifiers of the group are), group_size, kept,
     text_sha256 (hex, of the normalised text). Other columns of the input are ignored. An empty table gives no rows.
     """

@@ -3,8 +3,9 @@
 A page is cut into a flat list of text blocks at block-level tags, in one pass forward. Elements that are menus, headers, footers,
 sidebars or forms by HTML itself (or are hidden, or hold reader comments) go with what is in them. Each other block is described
 by its word count and link density, those of its neighbours, what class names hint at, and whether it stands in a main element;
-a decision tree, grown from the small labelled table below, tells which blocks are the article. Nothing is dropped or capped
-otherwise.
+a decision tree, grown from the small labelled table below, tells which blocks are the article. Successive blocks of links within
+a main element, such as a bibliography's, are described by their mean and by what stands before and after all of them, and are
+kept or dropped together. Nothing is dropped or capped otherwise.
 """
 
 from __future__ import annotations
@@ -56,6 +57,11 @@ class Block:
     def link_density(self) -> float:
         return self.link_words / self.words if self.words else 0.0
 
+    @property
+    def is_plain_link(self) -> bool:
+        """Mostly links, in a main element, with nothing else that speaks against it."""
+        return self.main and self.hint == PLAIN and 2 * self.link_words >= self.words > 0
+
 
 def _says(tag: str, attrs: str, inside_main: bool) -> tuple[int, bool]:
     """What an element says of its text, and whether it is main content."""
@@ -342,9 +348,9 @@ LABELLED = """
 1   1.0 1   1.0 1   1.0  0 2 0
 3   1.0 2   1.0 4   1.0  0 2 0
 4   1.0 4   1.0 3   1.0  0 2 0
-2   1.0 90  0.0 3   1.0  0 2 0
+2   1.0 90  0.0 3   1.0  0 2 1
 3   1.0 2   1.0 0   0.0  0 2 0
-2   1.0 40  0.0 2   1.0  0 2 0
+2   1.0 40  0.0 2   1.0  0 2 1
 1   1.0 2   1.0 0   0.0  0 2 0
 12  1.0 9   1.0 14  1.0  0 2 1
 10  0.9 12  1.0 11  0.9  0 2 1
@@ -392,6 +398,31 @@ LABELLED = """
 100 0.0 90  0.0 0   0.0  2 0 1
 180 0.0 110 0.1 2   1.0  2 0 1
 90  0.0 0   0.0 2   1.0  2 0 0
+3   1.0 1   0.0 0   0.0  0 2 1
+2   1.0 55  0.0 0   0.0  0 2 1
+4   1.0 2   0.0 30  0.0  0 2 1
+2   1.0 1   0.0 4   1.0  0 2 1
+5   1.0 70  0.0 3   1.0  0 2 1
+2   1.0 0   0.0 0   0.0  0 2 1
+3   1.0 80  0.0 25  0.0  0 2 1
+1   1.0 6   0.0 5   1.0  0 2 1
+2   1.0 0   0.0 30  0.0  0 2 0
+1   1.0 0   0.0 2   0.0  0 2 0
+3   1.0 3   1.0 2   0.0  0 2 0
+3   1.0 2   1.0 60  0.0  0 2 0
+2   1.0 0   0.0 5   0.0  0 2 0
+1   1.0 4   1.0 8   0.0  0 2 0
+1   0.0 0   0.0 200 0.0  0 2 1
+2   0.0 0   0.0 40  0.0  0 2 1
+1   0.0 0   0.0 2   0.0  0 2 1
+2   0.0 0   0.0 60  0.1  0 2 1
+1   0.0 0   0.0 3   1.0  0 2 1
+2   1.0 200 0.0 1   1.0  2 2 0
+1   1.0 2   1.0 0   0.0  2 2 0
+2   1.0 150 0.0 0   0.0  2 2 0
+3   0.0 180 0.0 90  0.0  2 2 0
+4   1.0 130 0.0 40  0.0  2 2 0
+5   0.0 150 0.0 2   1.0  2 1 0
 """
 
 
@@ -445,21 +476,30 @@ def extract(page: str | None, tree) -> str:
     # A marker that holds less running text than stands outside of furniture and markers, as one of a byline, marks no article.
     text = [sum(b.words - b.link_words for b in found if b.hint < HINTED and b.main == side) for side in (False, True)]
     has_main = any(b.main for b in found) and text[True] >= text[False]
-    kept = []
-    for k, b in enumerate(found):
+    kept: list[str] = []
+    k = 0
+    while k < len(found):
+        b, end = found[k], k + 1
+        if has_main and b.is_plain_link:  # a list of links within the article stays or goes as one
+            while end < len(found) and found[end].is_plain_link:
+                end += 1
+        run, words = found[k:end], sum(x.words for x in found[k:end])
+        before, after = found[k - 1] if k else None, found[end] if end < len(found) else None
+        k = end
         if b.hint == CERTAIN:
             continue
-        before, after = found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None
-        row = (b.words, b.link_density, before.words if before else 0, before.link_density if before else 0.0, after.words if after else 0, after.link_density if after else 0.0, b.hint, (2 if b.main else 1) if has_main else 0)
+        density = sum(x.link_words for x in run) / words if words else 0.0
+        row = (words / len(run), density, before.words if before else 0, before.link_density if before else 0.0, after.words if after else 0, after.link_density if after else 0.0, b.hint, (2 if b.main else 1) if has_main else 0)
         if decide(tree, row):
-            kept.append(b.text)
+            kept += [x.text for x in run]
     return "\n\n".join(kept)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row per input row: id_col, url_col, text (empty if the page has none or is null or empty), n_chars (code points).
 
-    Repeated rows and null identifiers are extracted like any other; other columns are ignored."""
+    Repeated rows and null identifiers are extracted like any other; other columns are ignored. A page of any length is read as a
+    whole, in linear time."""
     tree = trained()
     schema = pa.schema([("i", pa.int64()), ("u", pa.string()), ("text", pa.string()), ("n", pa.int64())])
 

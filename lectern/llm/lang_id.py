@@ -156,8 +156,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", passing: tuple[str, ...] = (), pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """A row per input row: id_col, the `passing` columns (the text itself may be one; one named like the next two gives way to
     it), pred_col and score_col, the mean over the text's windows (by bytes) of the network's probability for the predicted language. Text that is null or has no letter:
-    `und` with score 0; so is every text if there was nothing to learn from. Repeated rows and null identifiers are
-    predicted like any other."""
+    `und` with score 0; so is every text if there was nothing to learn from. Texts of any length are read in all their windows, whose
+    number alone grows with the text. Repeated rows and null identifiers are predicted like any other."""
     names = [c for c in dict.fromkeys((id_col, *passing)) if c not in (pred_col, score_col)]
     src = docs.select(*dict.fromkeys((*names, text_col)))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*names).schema) + f", `{pred_col}` string, `{score_col}` double"

@@ -127,7 +127,7 @@ def mix(docs: DataFrame, percent: int = 80, max_epochs: int = 2, seed: int = 17,
     names give way to them; take() leaves them as they are.
 
     The budget is `percent` of all tokens. Null language or source: a leaf of its own, named ''. Documents without words are
-    never taken. Repeated rows, and rows without identifier, stand at one place of the order and are taken together.
+    never taken. A text of any length counts by all its words, and is taken whole or not at all. Repeated rows, and rows without identifier, stand at one place of the order and are taken together.
     """
     out, own = _taken(docs, percent, max_epochs, seed, id_col, text_col, lang_col, source_col)
     return out.select(*[c for c in docs.columns if c not in ADDED], *[F.col(c).alias(name) for c, name in zip(own, ADDED, strict=True)])

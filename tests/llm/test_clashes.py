@@ -124,6 +124,24 @@ def test_doubtful_names():
     assert H.extract(f"<div id='wrapper-with-sidebar'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", tree).count(LONG) == 3  # words and links overrule a class name
 
 
+def test_lists_of_links_stay_or_go_as_one():
+    tree, text = H.trained(), LONG
+    links = lambda *said: "<ul>" + "".join(f"<li><a href=x>{x}</a></li>" for x in said) + "</ul>"
+    refs = ("first reference", "second reference", "third one of them", "fourth")
+    for n in (1, 2, 3, 4):
+        body = f"<article><h1>Title</h1><p>{text}</p><h2>References</h2>{links(*refs[:n])}</article>"
+        want = "\n\n".join(["Title", text, "References", *refs[:n]])
+        for page in (body, body + "<footer><a>terms of use</a></footer>", "<nav><a>home</a> <a>news</a></nav>" + body + f"<aside>{links('buy', 'now')}</aside>"):
+            assert H.extract(page, tree) == want
+        assert H.extract(f"<article><h1>T</h1><p>{text}</p>{links(*refs[:n])}<p>{text}</p></article>", tree) == "\n\n".join(["T", text, *refs[:n], text])
+    assert H.extract(f"<article><p>{text}</p><p><a>Read this</a></p><p><a>And that</a></p><p><a>And more</a></p></article>", tree) == "\n\n".join([text, "Read this", "And that", "And more"])
+    # A menu at the head of a main element, lists of adverts and of related pages, and lists outside of it go as ever.
+    assert H.extract(f"<main>{links('home', 'our news', 'contact')}<h1>Title words here</h1><p>{text}</p></main>", tree) == f"Title words here\n\n{text}"
+    assert H.extract(f"<article><p>{text}</p><div class=ads>{links('buy this', 'now')}</div><div class=related-posts>{links('one two', 'three')}</div></article>{links('a b', 'c d')}", tree) == text
+    # No main element: words and links of block and neighbours alone.
+    assert H.extract(f"{links('home', 'news', 'contact us')}<h1>Two words</h1><p>{text}</p><p>{text}</p>{links('terms', 'privacy', 'help')}", tree) == f"Two words\n\n{text}\n\n{text}"
+
+
 def test_words_and_links_count():
     """Held out, words and links add to what markup tells, and markup to them."""
     whole, counts, markup = H.held_out_accuracy(), H.held_out_accuracy(tuple(range(6))), H.held_out_accuracy((6, 7))

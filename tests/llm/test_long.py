@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import chat_format as C
 from lectern.llm import decontaminate as D
-from lectern.llm import ngram_join, substring_dedup, suffix_dedup
+from lectern.llm import exact_dedup, html_extract, lang_id, mixing, ngram_join, queries, substring_dedup, suffix_dedup
 
 rng = random.Random(9)
 VOCAB = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) for _ in range(4000)]
@@ -106,3 +106,46 @@ def test_long_lists_block_by_block(docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "LIST_BLOCK", 2)
     assert Counter(tuple(r) for r in ngram_join.shingle_join(docs).collect()) == want
     assert Counter(tuple(r) for r in ngram_join.shingle_join(docs, count_links=False).collect()) == components
+
+
+def test_long_texts_of_the_other_operators(spark):
+    long, other = TEXTS[0], TEXTS[2]
+    docs = spark.createDataFrame([(0, long, "en", "s1"), (1, long.upper(), "en", "s1"), (2, long + "!", "en", "s1"), (3, "Ein kurzer Satz", "de", "s2")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, keep="max").collect()}
+    assert got == {0: (1, 2, False), 1: (1, 2, True), 2: (2, 1, True), 3: (3, 1, True)}
+    tokens = {(r.doc_id, r.mix_tokens) for r in mixing.mix(docs, percent=100, max_epochs=1).collect()}
+    assert {d: n for d, n in tokens} == {0: len(long.split()), 1: len(long.split()), 2: len(long.split()), 3: 3}
+    net = lang_id.train([x.encode() for x in (long[:3000], "Über allen Gipfeln ist Ruh " * 50)] * 3, ["en", "de"] * 3, 1)
+    predicted = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.predict(docs, net).collect()}
+    windows = np.concatenate([lang_id.to_windows(long.encode())])
+    assert len(windows) > 8000 and predicted[0][0] == "en" and 0 <= predicted[0][1] <= 1
+    items = spark.createDataFrame([(7, PASSAGE), (8, "not in any of them at all here")], "item_id long, text string")
+    leaks = D.find_leaks(docs.where("doc_id < 3"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in leaks} == {(0, 7), (1, 7), (2, 7)}
+    page = f"<nav><a>home</a></nav><article><p>{long}</p><p>{other}</p></article>"
+    out = html_extract.extract_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
+    assert out.text == f"{long}\n\n{other}" and out.n_chars == len(out.text)
+
+
+def test_languages_of_all_documents_by_brute_force(spark):
+    """The query over a whole table against a plain forward pass, position by position, over every window of every text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = lang_id.fit(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op2_lang_id(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        if not any(map(str.isalpha, r.text or "")):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        total, at, last = np.zeros(len(net.labels)), 0, False
+        while not last:
+            last = at + lang_id.WINDOW >= len(data)
+            x = net.embedding[np.frombuffer(data[at : at + lang_id.WINDOW].ljust(lang_id.WINDOW, b"\0"), np.uint8)]
+            tops = [np.max([np.einsum("we,wef->f", x[k : k + w], f) for k in range(lang_id.WINDOW - w + 1)], axis=0) for w, f in zip(lang_id.WIDTHS, net.filters, strict=True)]
+            z = np.maximum(np.concatenate(tops) + net.bias, 0) @ net.out + net.out_bias
+            p = np.exp(z - z.max())
+            total += p / p.sum() * (len(data) - at if last else lang_id.STRIDE)
+            at += lang_id.STRIDE
+        p = total / len(data)
+        assert got[r.doc_id][0] == net.labels[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-4
+        assert abs(got[r.doc_id][1] - p.max()) < 1e-3
