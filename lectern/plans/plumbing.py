@@ -11,6 +11,7 @@ from ..operators import ingest as I
 from ..operators import lexical_index as LI
 from ..operators import requests as RQ
 from ..operators import retrieval as R
+from ..operators import vector_index as V
 from ..sources import corpus as SC
 from ..sources import scratch
 from ..sources import store as S
@@ -206,6 +207,28 @@ def stored_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LI.search(spark, path, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
+def indexed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense lists from the stored index, to which the vectors came in two batches; the second one replaced a document of the first."""
+    path, e = scratch.scratch_path(spark, "vectors"), table(spark, sf_dir, "embeddings")
+    v = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"), F.lit("v1").alias("version"), "embedding")
+    V.fit(v, path)
+    V.add(v.where("doc_id % 2 = 0 or doc_id = 1"), path, 0)
+    V.add(v.where("doc_id % 2 = 1"), path, 1)
+    return V.search(spark, path, e.where("vec_id % 100 = 0").select(F.expr("vec_id div 100").alias("query_id"), "embedding"))
+
+
+@query()
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed_lists(spark, sf_dir)
+
+
+@query("SELECT count(*) AS n_queries, true AS nine_tenths_found FROM embeddings WHERE vec_id % 100 = 0")
+def vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds nine tenths of what exact search does, over all queries."""
+    found = V.recall(indexed_lists(spark, sf_dir), C.dense_lists(spark, sf_dir))
+    return found.agg(F.count(F.lit(1)).alias("n_queries"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("nine_tenths_found"))
+
+
 @query("SELECT doc_id, 'passage: ' || coalesce(text, '') AS passage, 'query: ' || coalesce(lang, '') AS query, coalesce(lang, '') AS plain FROM documents")
 def model_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.coalesce("lang", F.lit(""))
