@@ -9,6 +9,7 @@ from .. import constants as K
 from ..functions import fuzzy
 from ..functions import text as T
 from ..settings import SETTINGS
+from ..sources.scratch import shared_dir
 
 
 def synonyms(spark: SparkSession) -> DataFrame:
@@ -98,22 +99,51 @@ def letter_signature(text: Column) -> Column:
     return out
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def most_edits(size: Column, other: Column, threshold: float) -> Column:
+    """Insertions and deletions that a ratio of `threshold` leaves two texts of these lengths; as odd or even as their difference is."""
+    d = F.floor((1 - threshold / 100) * (size + other) + 1e-9).cast("int")
+    return d - F.pmod(d - F.abs(size - other), F.lit(2))
+
+
 def best_matches(windows: DataFrame, vocabulary: DataFrame, threshold: float = SETTINGS.fuzzy_threshold) -> DataFrame:
     """The best vocabulary term for each distinct window (gram, n), at a ratio of `threshold` or more: gram, term, ratio.
 
-    Terms have as many words as the window and one of the lengths that the ratio allows (the join's key), and signatures that
-    differ by no more than the ratio does; no pair at the threshold is lost. Ties go to the term that comes first. A window
-    whose best term would promote a function word has none."""
-    v = vocabulary.select("term", F.size(F.split("term", " ")).alias("n"), F.length("term").alias("size")).distinct().withColumn("v", letter_signature(F.col("term")))
+    Terms have as many words as the window. A ratio leaves two texts of given lengths e insertions and deletions, so of e + 1 segments
+    of the term one stands in the window as it is, no further from its place than the edits ahead of it and behind it allow: pairs
+    meet by equality of segments, some four letters at the usual threshold. No pair at the threshold is lost. Letters are counted
+    before the ratio is taken. Ties go to the term that comes first. A window whose best term would promote a function word has none."""
+    v = vocabulary.select("term", F.size(F.split("term", " ")).alias("n"), F.length("term").alias("size")).distinct().where("size > 0")
+    v = v.withColumns({"v": letter_signature(F.col("term")), "places": F.when(F.col("size") <= fuzzy.MOST_BITS, fuzzy.letter_places(F.col("term")))})
     w = windows.select("gram", "n").where(F.length("gram") >= K.LEAST_WINDOW_CHARS).distinct().withColumn("w", letter_signature(F.col("gram")))
-    least = threshold / (200.0 - threshold)
-    sizes = F.sequence(F.floor(F.length("gram") * least).cast("int"), F.ceil(F.length("gram") / least).cast("int")) if threshold > 0 else None
-    lo, hi = F.least(F.length("gram"), F.length("term")), F.length("gram") + F.length("term")
-    most = (1 - threshold / 100) * hi + 1e-9
+    letters, size = F.col("letters"), F.col("size")
+    # Lengths that can meet, with the edits they have: as many rows as there are pairs of lengths.
+    shapes = w.select("n", F.length("gram").alias("letters")).distinct().join(v.select("n", "size").distinct(), "n")
+    shapes = shapes.where(200.0 * F.least(letters, size) >= threshold * (letters + size)).withColumn("e", most_edits(letters, size, threshold)).where("e >= 0")
+    shapes = cut_lineage(shapes)
+    segment = lambda k: F.floor(k * size / (F.col("e") + 1)).cast("int")  # noqa: E731  where the k-th one begins
+    # With more edits than letters all segments may be gone, and one that is empty stands for the term.
+    each = F.explode(F.sequence(F.lit(0), F.when(F.col("e") < size, F.col("e")).otherwise(0)))
+    place = lambda df: df.withColumn("k", each).withColumns({"at": segment(F.col("k")), "long": segment(F.col("k") + 1) - segment(F.col("k"))})
+    of_term = place(v.select("term", "n", "size").join(F.broadcast(shapes.select("n", "size", "e").distinct()), ["n", "size"]))
+    of_term = of_term.select("term", "n", "size", "e", "k", F.substring("term", F.col("at") + 1, F.col("long")).alias("part"))
+    of_window = place(w.select("gram", "n", F.length("gram").alias("letters")).join(F.broadcast(shapes), ["n", "letters"]))
+    from_, to = F.greatest(-F.col("k"), letters - size - (F.col("e") - F.col("k"))), F.least(F.col("k"), letters - size + (F.col("e") - F.col("k")))
+    from_, to = F.greatest(from_, -F.col("at")), F.least(to, letters - F.col("at") - F.col("long"))
+    no_shift = F.col("long") == 0
+    of_window = of_window.withColumns({"from": F.when(no_shift, 0).otherwise(from_), "to": F.when(no_shift, 0).otherwise(to)}).where("`from` <= `to`")
+    of_window = of_window.select("gram", "n", "size", "e", "k", "at", "long", F.explode(F.sequence("from", "to")).alias("by"))
+    of_window = of_window.select("gram", "n", "size", "e", "k", F.substring("gram", F.col("at") + F.col("by") + 1, F.col("long")).alias("part"))
+    met = of_window.join(of_term, ["n", "size", "e", "k", "part"]).select("gram", "term", "n", "e").distinct()
+    both = met.join(w, ["gram", "n"]).join(v, ["term", "n"])
     # Edits with replacements are no more than insertions and deletions, which the ratio counts.
-    near = (F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= most) & (F.levenshtein("gram", "term") <= most)
-    both = w.join(v, "n") if sizes is None else w.withColumn("size", F.explode(sizes)).join(v, ["n", "size"])
-    pairs = both.where((200.0 * lo >= threshold * hi) & near).withColumn("ratio", fuzzy.ratio(F.col("gram"), F.col("term"))).where(F.col("ratio") >= threshold)
+    near = (F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= F.col("e")) & (F.levenshtein("gram", "term") <= F.col("e"))
+    lcs = F.when(F.col("places").isNotNull(), fuzzy.lcs_by_bits(F.col("gram"), F.col("term"), F.col("places"))).otherwise(fuzzy.lcs_length(F.col("gram"), F.col("term")))
+    pairs = both.where(near).withColumn("ratio", 200.0 * lcs / (F.length("gram") + F.length("term"))).where(F.col("ratio") >= threshold)
     best = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("gram").orderBy(F.desc("ratio"), "term"))).where("_k = 1")
     return best.where(~promotes_function_word(F.col("gram"), F.col("term"))).select("gram", "term", "ratio")
 
@@ -139,29 +169,53 @@ def expansion(terms: DataFrame, families: DataFrame) -> DataFrame:
     return terms.join(own, "term").select("query_id", "family").distinct().join(families.select("family", F.col("term").alias("expanded"), "place"), "family").select("query_id", F.col("expanded").alias("term"), "family", "place")
 
 
+#: Words of more letters meet by segments, shorter ones by forms with letters deleted.
+MOST_DELETED_FROM = 20
+#: Two edits break four segments at most, as each swap has a letter in two.
+SEGMENTS = 5
+
+
 def corrections(tokens: DataFrame, manual: DataFrame, language: DataFrame) -> DataFrame:
     """word, corrected for the distinct words (word) that no vocabulary (word, freq) has: the nearest word of the manual within
     1 edit (up to 6 letters) or 2, by frequency, or one of the language that is strictly nearer. Words under 5 letters or with
     a digit stay as they are and don't appear, nor do words with nothing near.
 
-    Candidates are blocked by deletion neighbourhoods: words within e edits share a form with at most e letters deleted, so this
-    is an equality join; the exact distance, with swaps as one edit, is computed on what that finds."""
+    Candidates are found by equality joins that lose none: words of up to MOST_DELETED_FROM letters share a form with at most two
+    letters deleted, longer ones one of their five segments. Vocabulary words whose length no asked word is near to take no part.
+    The exact distance, with swaps as one edit, is computed on what that finds. All in the JVM."""
     unknown = tokens.select("word").distinct().where((F.length("word") >= K.LEAST_CORRECTED_CHARS) & ~T.has_digit(F.col("word")))
     unknown = unknown.join(manual.select("word"), "word", "left_anti").join(language.select("word"), "word", "left_anti")
     limit = F.when(F.length("word") <= K.SHORT_WORD_CHARS, K.EDITS_SHORT).otherwise(K.EDITS_LONG)
     vocab = manual.select(F.col("word").alias("to"), F.col("freq").cast("double").alias("freq"), F.lit(0).alias("list")).unionByName(language.select(F.col("word").alias("to"), F.col("freq").cast("double").alias("freq"), F.lit(1).alias("list")))
-    vocab = vocab.where(F.length("to") >= K.LEAST_CORRECTED_CHARS - K.EDITS_LONG)
-    a = unknown.withColumn("limit", limit).withColumn("form", F.explode(deletions(F.col("word"), K.EDITS_LONG)))
-    b = vocab.withColumn("form", F.explode(deletions(F.col("to"), K.EDITS_LONG)))
-    pairs = a.join(b, "form").select("word", "limit", "to", "freq", "list").distinct().where(F.abs(F.length("word") - F.length("to")) <= F.col("limit"))
-    near = pairs.where(F.levenshtein("word", "to") <= 2 * F.col("limit")).withColumn("d", fuzzy.damerau("word", "to")).where(F.col("d") <= F.col("limit"))
+    asked = unknown.select("word", limit.alias("limit"), F.length("word").alias("size"))
+    lengths = asked.select("size").distinct()  # as many rows as there are lengths of words
+    fits = vocab.withColumn("to_size", F.length("to")).join(F.broadcast(lengths.select(F.explode(F.sequence(F.col("size") - K.EDITS_LONG, F.col("size") + K.EDITS_LONG)).alias("to_size")).distinct()), "to_size")
+    short = asked.where(F.col("size") <= MOST_DELETED_FROM).withColumn("form", F.explode(deletions(F.col("word"), K.EDITS_LONG)))
+    forms = fits.where(F.col("to_size") <= MOST_DELETED_FROM + K.EDITS_LONG).withColumn("form", F.explode(deletions(F.col("to"), K.EDITS_LONG)))
+    pairs = short.join(forms, "form").select("word", "limit", "to", "freq", "list").unionByName(segment_pairs(asked.where(F.col("size") > MOST_DELETED_FROM), fits))
+    pairs = pairs.distinct().where(F.abs(F.length("word") - F.length("to")) <= F.col("limit"))
+    # A swap is two of the edits counted here, which stop at the fourth; counting them takes the square of a long word's letters.
+    near = pairs.where((F.length("word") > 3 * MOST_DELETED_FROM) | (F.levenshtein("word", "to", 2 * K.EDITS_LONG) >= 0)).withColumn("d", fuzzy.near_distance(F.col("word"), F.col("to"))).where(F.col("d") <= F.col("limit"))
     best = near.withColumn("_k", F.row_number().over(Window.partitionBy("word", "list").orderBy("d", F.desc("freq"), "to"))).where("_k = 1")
     # A word of the language wins only if strictly nearer.
     return best.withColumn("_k", F.row_number().over(Window.partitionBy("word").orderBy("d", "list"))).where("_k = 1").select("word", F.col("to").alias("corrected"))
 
 
+def segment_pairs(asked: DataFrame, vocab: DataFrame) -> DataFrame:
+    """word, limit, to, freq, list: words (word, limit, size) with those (to, to_size, freq, list) that have one of their segments at
+    its place or up to two letters from it."""
+    begin = lambda k: F.floor(k * F.col("size") / SEGMENTS).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))
+    cut = asked.select("word", "limit", "size", each.alias("k")).select("word", "limit", "size", "k", F.xxhash64(F.substring("word", begin(F.col("k")) + 1, begin(F.col("k") + 1) - begin(F.col("k")))).alias("part"))
+    sizes = asked.select("size").distinct()
+    at = vocab.select("to", "freq", "list", "to_size", F.explode(F.sequence(F.col("to_size") - K.EDITS_LONG, F.col("to_size") + K.EDITS_LONG)).alias("size")).join(F.broadcast(sizes), "size")
+    at = at.select("to", "freq", "list", "size", each.alias("k")).select("*", F.explode(F.sequence(F.lit(-K.EDITS_LONG), F.lit(K.EDITS_LONG))).alias("by")).where(begin(F.col("k")) + F.col("by") >= 0)
+    at = at.select("to", "freq", "list", "size", "k", F.xxhash64(F.substring("to", begin(F.col("k")) + F.col("by") + 1, begin(F.col("k") + 1) - begin(F.col("k")))).alias("part"))
+    return cut.join(at, ["size", "k", "part"]).select("word", "limit", "to", "freq", "list")
+
+
 def deletions(word: Column, edits: int) -> Column:
-    """A word and all its forms with up to `edits` letters deleted."""
+    """A word and all its forms with up to `edits` letters deleted; as many as a power of its length, so for words of bounded length."""
     one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
     out = F.array(word)
     for _ in range(edits):
