@@ -187,31 +187,43 @@ def corrections(tokens: DataFrame, manual: DataFrame, language: DataFrame) -> Da
     unknown = unknown.join(manual.select("word"), "word", "left_anti").join(language.select("word"), "word", "left_anti")
     limit = F.when(F.length("word") <= K.SHORT_WORD_CHARS, K.EDITS_SHORT).otherwise(K.EDITS_LONG)
     vocab = manual.select(F.col("word").alias("to"), F.col("freq").cast("double").alias("freq"), F.lit(0).alias("list")).unionByName(language.select(F.col("word").alias("to"), F.col("freq").cast("double").alias("freq"), F.lit(1).alias("list")))
-    asked = unknown.select("word", limit.alias("limit"), F.length("word").alias("size"))
+    asked = unknown.select("word", limit.alias("limit"), F.length("word").alias("size"), letter_signature(F.col("word")).alias("ws"))
     lengths = asked.select("size").distinct()  # as many rows as there are lengths of words
     fits = vocab.withColumn("to_size", F.length("to")).join(F.broadcast(lengths.select(F.explode(F.sequence(F.col("size") - K.EDITS_LONG, F.col("size") + K.EDITS_LONG)).alias("to_size")).distinct()), "to_size")
+    fits = fits.withColumn("ts", letter_signature(F.col("to")))
     short = asked.where(F.col("size") <= MOST_DELETED_FROM).withColumn("form", F.explode(deletions(F.col("word"), K.EDITS_LONG)))
     forms = fits.where(F.col("to_size") <= MOST_DELETED_FROM + K.EDITS_LONG).withColumn("form", F.explode(deletions(F.col("to"), K.EDITS_LONG)))
-    pairs = short.join(forms, "form").select("word", "limit", "to", "freq", "list").unionByName(segment_pairs(asked.where(F.col("size") > MOST_DELETED_FROM), fits))
+    pairs = short.join(forms, "form").select("word", "limit", "ws", "to", "freq", "list", "ts").unionByName(segment_pairs(asked.where(F.col("size") > MOST_DELETED_FROM), fits))
     pairs = pairs.distinct().where(F.abs(F.length("word") - F.length("to")) <= F.col("limit"))
-    # A swap is two of the edits counted here, which stop at the fourth; counting them takes the square of a long word's letters.
-    near = pairs.where((F.length("word") > 3 * MOST_DELETED_FROM) | (F.levenshtein("word", "to", 2 * K.EDITS_LONG) >= 0)).withColumn("d", fuzzy.near_distance(F.col("word"), F.col("to"))).where(F.col("d") <= F.col("limit"))
+    # As a generator the distance is taken once, where a filter's and a column's would be taken twice.
+    near = pairs.withColumn("plain", F.when(F.length("word") <= 3 * MOST_DELETED_FROM, F.levenshtein("word", "to"))).where("plain is null or plain <= 2 * limit")
+    near = near.select("word", "to", "freq", "list", F.explode(F.filter(F.array(edits()), lambda d: d <= F.col("limit"))).alias("d"))
     best = near.withColumn("_k", F.row_number().over(Window.partitionBy("word", "list").orderBy("d", F.desc("freq"), "to"))).where("_k = 1")
     # A word of the language wins only if strictly nearer.
     return best.withColumn("_k", F.row_number().over(Window.partitionBy("word").orderBy("d", "list"))).where("_k = 1").select("word", F.col("to").alias("corrected"))
 
 
+def edits() -> Column:
+    """fuzzy.near_distance of (word, to), which most pairs are spared: it is told by plain edits (plain; a swap is two of them) where
+    there are few, and two edits that are three or four plain ones have a swap among them, which leaves letters (signatures ws, ts)
+    what they are. Counting plain edits takes the square of the letters, so of very long words they are null."""
+    differ, as_long = F.bit_count(F.col("ws").bitwiseXOR(F.col("ts"))), F.length("word") == F.length("to")
+    out = F.when(F.col("plain") <= 1, F.col("plain")).when((F.col("plain") == 2) & (~as_long | (differ > 0)), 2)
+    out = out.when((F.col("plain") > 4) | ((F.col("plain") == 4) & (~as_long | (differ > 0))) | ((F.col("plain") == 3) & (differ > 2)), fuzzy.FAR)
+    return out.otherwise(fuzzy.near_distance(F.col("word"), F.col("to")))
+
+
 def segment_pairs(asked: DataFrame, vocab: DataFrame) -> DataFrame:
-    """word, limit, to, freq, list: words (word, limit, size) with those (to, to_size, freq, list) that have one of their segments at
+    """word, limit, ws, to, freq, list, ts: words (word, limit, size, ws) with those (to, to_size, freq, list, ts) that have one of their segments at
     its place or up to two letters from it."""
     begin = lambda k: F.floor(k * F.col("size") / SEGMENTS).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))
-    cut = asked.select("word", "limit", "size", each.alias("k")).select("word", "limit", "size", "k", F.xxhash64(F.substring("word", begin(F.col("k")) + 1, begin(F.col("k") + 1) - begin(F.col("k")))).alias("part"))
+    cut = asked.select("word", "limit", "ws", "size", each.alias("k")).select("word", "limit", "ws", "size", "k", F.xxhash64(F.substring("word", begin(F.col("k")) + 1, begin(F.col("k") + 1) - begin(F.col("k")))).alias("part"))
     sizes = asked.select("size").distinct()
-    at = vocab.select("to", "freq", "list", "to_size", F.explode(F.sequence(F.col("to_size") - K.EDITS_LONG, F.col("to_size") + K.EDITS_LONG)).alias("size")).join(F.broadcast(sizes), "size")
-    at = at.select("to", "freq", "list", "size", each.alias("k")).select("*", F.explode(F.sequence(F.lit(-K.EDITS_LONG), F.lit(K.EDITS_LONG))).alias("by")).where(begin(F.col("k")) + F.col("by") >= 0)
-    at = at.select("to", "freq", "list", "size", "k", F.xxhash64(F.substring("to", begin(F.col("k")) + F.col("by") + 1, begin(F.col("k") + 1) - begin(F.col("k")))).alias("part"))
-    return cut.join(at, ["size", "k", "part"]).select("word", "limit", "to", "freq", "list")
+    at = vocab.select("to", "freq", "list", "ts", "to_size", F.explode(F.sequence(F.col("to_size") - K.EDITS_LONG, F.col("to_size") + K.EDITS_LONG)).alias("size")).join(F.broadcast(sizes), "size")
+    at = at.select("to", "freq", "list", "ts", "size", each.alias("k")).select("*", F.explode(F.sequence(F.lit(-K.EDITS_LONG), F.lit(K.EDITS_LONG))).alias("by")).where(begin(F.col("k")) + F.col("by") >= 0)
+    at = at.select("to", "freq", "list", "ts", "size", "k", F.xxhash64(F.substring("to", begin(F.col("k")) + F.col("by") + 1, begin(F.col("k") + 1) - begin(F.col("k")))).alias("part"))
+    return cut.join(at, ["size", "k", "part"]).select("word", "limit", "ws", "to", "freq", "list", "ts")
 
 
 def deletions(word: Column, edits: int) -> Column:
