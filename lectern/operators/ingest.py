@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..settings import SETTINGS
+from ..sources.corpus import flat_images
 from ..sources.scratch import shared_dir
 from .evaluate import nearest_rank
 
@@ -197,11 +198,11 @@ def attach_figures(pieces: DataFrame, figures: DataFrame) -> DataFrame:
     return out.withColumn("image_ids", F.coalesce("image_ids", F.array().cast("array<string>")))
 
 
-def chunk(pages: DataFrame, figures: DataFrame, manuals: DataFrame) -> DataFrame:
+def chunk(pages: DataFrame, figures: DataFrame, manuals: DataFrame, header: str = K.SECTION_HEADER) -> DataFrame:
     """Structural chunks of pages (doc_id, page, text): headers, titles carried forward, size splits, tiny pieces and pages of
     contents dropped, numbered in document order; figures (doc_id, section, image_id, pos) by their section's title; version,
     model, firmware and source_path from manuals (doc_id)."""
-    segs = carry_titles(headers(pages))
+    segs = carry_titles(headers(pages, header))
     pieces = split_bodies(segs).where((F.length(F.trim("text")) >= SETTINGS.least_chunk_chars) & ~T.looks_like_contents(F.col("text")))
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "seg", "piece"))
     out = attach_figures(pieces.withColumn("n", n), figures).join(manuals.select("doc_id", "version", "model", "firmware", "source_path"), "doc_id", "left")
@@ -211,6 +212,49 @@ def chunk(pages: DataFrame, figures: DataFrame, manuals: DataFrame) -> DataFrame
     )
 
 
+def page_lines(pages: DataFrame) -> DataFrame:
+    """doc_id, page, pos, y, text of the pages' printed lines (text_lines), trimmed, without empty ones."""
+    each = pages.select("doc_id", "page", F.posexplode("text_lines").alias("pos", "l")).select("doc_id", "page", "pos", "l.y", F.trim("l.text").alias("text"))
+    return each.where("text != ''")
+
+
+def in_reading_order(pages: DataFrame, printed: DataFrame, header: str = K.SECTION_HEADER, tolerance: float = SETTINGS.title_tolerance) -> DataFrame:
+    """pages (doc_id, page, text) with those lines ahead of all others that are printed (page_lines) more than `tolerance` above their
+    page's first title; pages without a title that is printed stay as they are."""
+    heads = headers(pages, header).where("title is not null").select("doc_id", "page", F.col("seg").alias("pos"), "title")
+    first = title_places(heads, printed).groupBy("doc_id", "page").agg(F.min("y").alias("_first"))
+    above = printed.join(first, ["doc_id", "page"]).where(F.col("y") < F.col("_first") - tolerance).select("doc_id", "page", "text")
+    ordered = reading_order(lines_of(pages), above).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return pages.select("doc_id", "page").join(ordered, ["doc_id", "page"])
+
+
+def section_figures(pages: DataFrame, printed: DataFrame, images: DataFrame, header: str = K.SECTION_HEADER) -> DataFrame:
+    """doc_id, section, image_id, pos (in document order): each image (doc_id, page, pos, image_id, y0) under the title that stands over
+    it, by where titles are printed."""
+    titles = headers(pages, header).where("title is not null").select("doc_id", "page", F.col("seg").alias("pos"), "title")
+    figures = images.select("doc_id", "page", F.col("y0").alias("y"), "pos", "image_id")
+    return figures_by_section(title_places(titles, printed), figures).select("doc_id", "section", "image_id", (F.col("page") * F.lit(1_000_000).cast("long") + F.col("pos")).alias("pos"))
+
+
+def ingest(pages: DataFrame, manuals: DataFrame, header: str = K.SECTION_HEADER) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From parsed pages (sources.corpus.PAGES; instead of text and its flags native, ocr_text and ocr_status) and manuals (doc_id,
+    version, model, firmware, source_path) all that the store keeps: chunks, images and the manuals' records.
+
+    OCR's text is merged, boilerplate goes, lines are put in reading order, figures go to the section over them. Lists of lines or images
+    that are null, or no column, are empty."""
+    if "native" in pages.columns:
+        pages = merge_ocr(pages)
+    for c, kind in (("text_lines", "array<struct<y:double,text:string>>"), ("images", "array<struct<image_id:string,x0:double,y0:double,x1:double,y1:double>>")):
+        pages = pages if c in pages.columns else pages.withColumn(c, F.lit(None).cast(kind))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in pages.columns else F.lit(False)
+    pages = pages.withColumns({c: flag(c) for c in ("ocr_used", "ocr_failed", "ocr_empty")})
+    printed, images = page_lines(pages), flat_images(pages)
+    text = in_reading_order(strip_lines(pages.select("doc_id", "page", "text"), boilerplate(pages.select("doc_id", "page", "text"))), printed, header)
+    chunks = chunk(text, section_figures(text, printed, images, header), manuals, header)
+    record = ingestion_record(chunks, pages).join(manuals, "doc_id").withColumn("ingested_at", T.utc_now())
+    return chunks, images.join(manuals.select("doc_id", "version"), "doc_id"), record
+
+
 def ingestion_record(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """Per document: chunks, pages, and pages by what OCR did."""
     c = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))

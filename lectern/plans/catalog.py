@@ -241,9 +241,13 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.term_frequency(docs(spark, sf_dir))
 
 
-@query(r"SELECT DISTINCT upper(replace(code, '-', '')) AS code FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '(?i)\b[A-Z]-?[0-9]{2,3}\b')) AS code FROM documents)")
+@query(r"""WITH t AS (SELECT text FROM documents UNION ALL SELECT p_name || ': errore ' || chr(CAST(65 + p_partkey % 3 AS INTEGER)) || CASE WHEN p_size % 2 = 0 THEN '-' ELSE '' END || (60 + p_size) || ', x' || p_size FROM part)
+SELECT DISTINCT upper(replace(code, '-', '')) AS code FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '(?i)\b[A-Z]-?[0-9]{2,3}\b')) AS code FROM t)""")
 def code_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.indexed_codes(docs(spark, sf_dir))
+    """Codes in documents and in what is said of parts."""
+    letter, size = F.char((F.lit(65) + F.col("p_partkey") % 3).cast("int")), F.col("p_size")
+    said = F.concat("p_name", F.lit(": errore "), letter, F.when(size % 2 == 0, "-").otherwise(""), (size + 60).cast("string"), F.lit(", x"), size.cast("string"))
+    return Q.indexed_codes(docs(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "part").select(said.alias("text"))))
 
 
 _VOCAB = "vocab AS (SELECT unnest(['the', 'of the', 'and', 'is the', 'que', 'de la', 'der die', 'und', 'la', 'in the of']) AS term)"
@@ -373,15 +377,16 @@ def typo_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TOKENS}, mo AS (SELECT compact, min_by(model, pos) AS model FROM (SELECT array_to_string(regexp_extract_all(lower(model), '[0-9a-zà-ÿ]+'), '') AS compact, model, pos FROM
-  (SELECT upper(left(text, 1)) || '-' || regexp_extract(text, '^[^ ]* [^ ,.]*') AS model, doc_id AS pos FROM documents WHERE text IS NOT NULL)) WHERE compact <> '' GROUP BY compact),
-ru AS (SELECT query_id, start, n, array_to_string(tokens[start : start + n - 1], '') AS compact FROM (SELECT query_id, tokens, start, unnest(range(1, least(6, len(tokens) - start + 1) + 1)) AS n FROM (SELECT query_id, tokens, unnest(range(1, len(tokens) + 1)) AS start FROM tk)))
+    f"""WITH {_TOKENS}, mo AS (SELECT array_to_string(tokens[3:4], '') AS compact, min_by(upper(array_to_string(tokens[3:4], '-')), query_id) AS model FROM tk WHERE len(tokens) >= 4 GROUP BY ALL),
+st AS (SELECT query_id, tokens, unnest(range(1, len(tokens) + 1)) AS start FROM tk), rn AS (SELECT query_id, tokens, start, unnest(range(1, len(tokens) - start + 2)) AS n FROM st),
+ru AS (SELECT query_id, start, n, array_to_string(tokens[start : start + n - 1], '') AS compact FROM rn)
 SELECT query_id, model FROM (SELECT query_id, model, row_number() OVER (PARTITION BY query_id ORDER BY start, n, compact) AS k FROM ru JOIN mo USING (compact)) WHERE k = 1"""
 )
 def compact_model_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = F.concat(F.upper(F.substring("text", 1, 1)), F.lit("-"), F.regexp_extract("text", "^[^ ]* [^ ,.]*", 0))
-    models = Q.indexed_models(table(spark, sf_dir, "documents").where("text is not null").select(model.alias("model"), F.col("doc_id").alias("pos")))
-    return Q.mentioned_model(query_tokens(spark, sf_dir), models)
+    """Each item's third and fourth word as the name of a model."""
+    q = query_tokens(spark, sf_dir)
+    names = q.where(F.size("tokens") >= 4).select(F.upper(F.array_join(F.slice("tokens", 3, 2), "-")).alias("model"), F.col("query_id").alias("pos"))
+    return Q.mentioned_model(q, Q.indexed_models(names))
 
 
 _TITLES = r"""ti AS (SELECT doc_id AS pos, text, regexp_replace(regexp_replace(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '(?i)^\s*(?:\d{1,2}(?:\.\d{1,2}){0,2}[.)]?|CAPITOLO\s+\d+|SEZIONE\s+\d+)\s*[-–:]?\s*', ''), '^[ .:\-–\t]+|[ .:\-–\t]+$', '', 'g'), '\s{2,}', ' ', 'g') AS title FROM documents),
@@ -633,12 +638,15 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as pages, chunked; the size split is a recursive rule outside SQL, tested against a plain implementation."""
+    """documents as pages, chunked, with figures for every third headed part; the size split is a recursive rule outside SQL, tested
+    against a plain implementation."""
     p = pages(spark, sf_dir)
     none = F.lit(None).cast("string")
     m = p.select("doc_id").distinct().select("doc_id", F.lit("v1.0").alias("version"), none.alias("model"), none.alias("firmware"), none.alias("source_path"))
-    figures = spark.createDataFrame([], "doc_id string, section string, image_id string, pos int")
-    return I.chunk(p, figures, m).withColumn("image_ids", F.array_join("image_ids", ","))
+    header = r"[A-ZÀ-Ý]\S* .{3,60}[.]"
+    heads = I.lines_of(p).where(F.col("line").rlike(f"^(?:{header})$") & ((F.col("page") + F.col("pos")) % 3 == 0))
+    figures = heads.select("doc_id", T.title_key(F.col("line")).alias("section"), F.concat_ws("-", F.lit("i"), "page", "pos").alias("image_id"), (F.col("page") * 1000 + F.col("pos")).alias("pos"))
+    return I.chunk(p, figures, m, header).withColumn("image_ids", F.array_join("image_ids", ","))
 
 
 # The benchmark items as users' queries: the fifth word mistyped, a code, a version and a model said at the end. Their families are

@@ -317,9 +317,10 @@ def understanding_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.to_json(whole.dropFields("expanded")).alias("shown"))
 
 
-def streamed(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
-    """All that a stream gives for the files that are there now."""
-    path, state = scratch.scratch_path(spark, name), scratch.scratch_path(spark, f"{name}-state")
+def streamed(spark: SparkSession, out: DataFrame, name: str, state: str | None = None) -> DataFrame:
+    """All that a stream gives for the files that are there now; with `state`, and what its earlier runs gave."""
+    path = f"{state}-{name}" if state else scratch.scratch_path(spark, name)
+    state = state or scratch.scratch_path(spark, f"{name}-state")
     out.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(path)
 
@@ -331,12 +332,22 @@ SELECT session, turn, pending, CASE WHEN pending <> '' AND len(w) > 0 AND NOT co
   THEN regexp_replace(pending, '[ ?]+$', '') || ' — ' || trim(text) ELSE trim(text) END AS query FROM p"""
 )
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions with a slot of state each, as a stream over files of turns."""
-    path, text = scratch.scratch_path(spark, "turns"), F.coalesce("text", F.lit(""))
+    """Sessions with a slot of state each, as a stream over files of turns that come in several batches; the stream is stopped half-way and
+    goes on from its checkpoint."""
+    path, state, text = scratch.scratch_path(spark, "turns"), scratch.scratch_path(spark, "turns-state"), F.coalesce("text", F.lit(""))
     t = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").cast("long").alias("turn"), text.alias("text"), (F.coalesce(F.col("role") == "assistant", F.lit(False)) | (F.length(text) < 60)).alias("asks"))
-    t.write.parquet(path)
-    out = ST.pending_questions(spark.readStream.schema(ST.TURNS).option("maxFilesPerTrigger", 100_000).parquet(path))
-    return streamed(spark, out.select("session", "turn", "pending", "query"), "sessions")
+    kept = spark.conf.get(ST.PROVIDER, None)
+    try:
+        for part in (F.col("turn") < 2, F.col("turn").between(2, 3), F.col("turn") > 3):
+            t.where(part).coalesce(1).write.mode("append").parquet(path)
+            turns = spark.readStream.schema(ST.TURNS).parquet(path)
+            out = streamed(spark, ST.pending_questions(turns).select("session", "turn", "pending", "query"), "sessions", state)
+    finally:
+        if kept is None:
+            spark.conf.unset(ST.PROVIDER)
+        else:
+            spark.conf.set(ST.PROVIDER, kept)
+    return out
 
 
 _DAY = "CAST(86400000000 AS BIGINT)"
@@ -354,3 +365,23 @@ def audit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     S.append_log(rows, path)
     out = ST.windowed_rates(ST.audit_stream(spark, path), "1 day", "1 day")
     return streamed(spark, out.select(F.unix_seconds("window.start").alias("start"), "n", "n_fallback", "n_off_topic", F.round("latency_ms", 6).alias("latency_ms")), "rates")
+
+
+@query(
+    f"""WITH l AS (SELECT epoch_us(ts) AS us, CAST(floor(value * 40) AS INTEGER) AS lat FROM events WHERE value IS NOT NULL), w AS (SELECT us // {_DAY} AS day, lat FROM l), m AS (SELECT max(us) - {_DAY} AS mark FROM l)
+SELECT CAST(day * 86400 AS BIGINT) AS start, count(*) AS n, true AS near FROM w, m GROUP BY day, mark HAVING (day + 1) * {_DAY} <= mark"""
+)
+def audit_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median and the 95th percentile of each day's latencies as a stream keeps them in sketches, and whether their ranks are within a
+    hundredth of what is asked for, against all of the day's values."""
+    path = scratch.scratch_path(spark, "latencies")
+    at = F.date_format(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    rows = table(spark, sf_dir, "events").select(at.alias("timestamp"), F.floor(F.col("value") * 40).cast("int").alias("latency_ms"))
+    S.append_log(rows, path)
+    shares = {"p50": 0.5, "p95": 0.95}
+    out = ST.windowed_percentiles(ST.audit_stream(spark, path), "latency_ms", shares, "1 day", "1 day")
+    told = streamed(spark, out.select(F.unix_seconds("window.start").alias("start"), "n", *shares), "percentiles")
+    values = rows.where("latency_ms is not null").select((F.floor(F.unix_seconds(F.to_timestamp("timestamp")) / 86400) * 86400).alias("start"), "latency_ms")
+    ranks = told.join(values, "start").groupBy("start", "n").agg(*[F.count_if(F.col("latency_ms") < F.col(c)).alias(f"{c}_lo") for c in shares], *[F.count_if(F.col("latency_ms") <= F.col(c)).alias(f"{c}_hi") for c in shares])
+    near = [(F.col(f"{c}_lo") <= (s + 0.01) * F.col("n")) & (F.col(f"{c}_hi") >= (s - 0.01) * F.col("n")) for c, s in shares.items()]
+    return ranks.select("start", "n", (near[0] & near[1]).alias("near"))

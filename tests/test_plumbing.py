@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern import __main__ as cli
-from lectern import logs
 from lectern.functions import text as T
 from lectern.operators import ingest as I
 from lectern.operators import requests as RQ
@@ -137,15 +136,6 @@ def test_crops(spark, tmp_path):
     assert open(f"{folder}/{got['m', 1].preview}").read() == "m 1 ['a', 'b']"
 
 
-def test_times_and_log(capsys):
-    assert logs.timing_line("x", 0.0123) == "[TIMING][--------] x: 12 ms"
-    rid, said = logs.new_request(), []
-    with pytest.raises(OSError), logs.timed("part", said.append):
-        raise OSError
-    assert len(rid) == 8 and logs.current_request() == rid and said[0].startswith(f"[TIMING][{rid}] part: ")
-    assert logs.logger("once") is logs.logger("once") and len(logs.logger("once").handlers) == 1
-
-
 def test_labels(spark):
     rows = [("m", "v1", 3, "T", 0.5, 1.5, 2.5, 3.4), ("m", None, 3, "", 1.0, 2.0, 3.0, 4.0)]
     df = spark.createDataFrame(rows, "d string, v string, p int, s string, a double, b double, c double, e double")
@@ -159,3 +149,28 @@ def test_command_line(spark, tmp_path):
     for _ in range(2):
         cli.main([str(tmp_path / "pages"), str(tmp_path / "store"), "--version", "v2", "--pages-only", "1", "3"])
         assert {r.page_start for r in spark.read.parquet(str(tmp_path / "store/chunks")).collect()} == {1, 3}
+
+
+def test_ingest_with_figures_and_reading_order(spark, tmp_path):
+    """From parsed pages to the store by the command line: lines above the first title, figures by section, records."""
+    body = "Some text that is long enough to be kept as a chunk, {}."
+    pages = [
+        ("m", 1, f"1. FIRST PART\n{body.format('one')}\nNote at the very top.", [(10.0, "Note at the very top."), (50.0, "1. FIRST PART"), (70.0, body.format("one"))], [("i0", 0.0, 5.0, 40.0, 20.0), ("i1", 0.0, 60.0, 40.0, 90.0), ("tiny", 0.0, 60.0, 1.0, 61.0)]),
+        ("m", 2, body.format("two"), [(5.0, body.format("two"))], [("i2", 0.0, 30.0, 40.0, 90.0)]),
+        ("m", 3, f"2. SECOND PART\n{body.format('three')}", [(20.0, "2. SECOND PART"), (40.0, body.format("three"))], [("i3", 0.0, 10.0, 40.0, 15.0), ("i4", 0.0, 30.0, 40.0, 90.0)]),
+        ("n", 1, body.format("other"), None, None), ("n", 2, body.format("another"), None, None),
+    ]
+    schema = "doc_id string, page int, text string, text_lines array<struct<y:double,text:string>>, images array<struct<image_id:string,x0:double,y0:double,x1:double,y1:double>>"
+    spark.createDataFrame(pages, schema).repartition(3).write.parquet(str(tmp_path / "pages"))
+    for _ in range(2):
+        cli.main([str(tmp_path / "pages"), str(tmp_path / "store"), "--version", "v1", "--model", "X"])
+    chunks = {(r.doc_id, r.page_start): (r.section_title, json.loads(r.image_ids), r.text) for r in spark.read.parquet(str(tmp_path / "store/chunks")).collect()}
+    assert chunks["m", 1][:2] == ("1. FIRST PART", ["i1", "i2", "i3"]) and chunks["m", 3][:2] == ("2. SECOND PART", ["i4"])
+    assert chunks["m", 2][0] == "1. FIRST PART" and chunks["n", 1] == (None, [], body.format("other"))
+    text, _, _ = I.ingest(spark.createDataFrame(pages, schema), spark.createDataFrame([("m", "v1", None, None, "p")], "doc_id string, version string, model string, firmware string, source_path string"))
+    ordered = I.in_reading_order(spark.createDataFrame(pages, schema).select("doc_id", "page", "text"), I.page_lines(spark.createDataFrame(pages, schema)))
+    assert {(r.doc_id, r.page): r.text for r in ordered.collect()}["m", 1].startswith("Note at the very top.\n1. FIRST PART")
+    images = {r.image_id: (r.page, r.version) for r in spark.read.parquet(str(tmp_path / "store/images")).collect()}
+    assert images == {"i0": (1, "v1"), "i1": (1, "v1"), "i2": (2, "v1"), "i3": (3, "v1"), "i4": (3, "v1")}
+    manuals = {r.doc_id: (r.n_pages, r.n_chunks, r.model, r.source_path == str(tmp_path / "pages")) for r in spark.read.parquet(str(tmp_path / "store/manuals")).collect()}
+    assert manuals == {"m": (3, 3, "X", True), "n": (2, 2, "X", True)}
