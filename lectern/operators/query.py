@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +69,39 @@ def exact_terms(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return runs.join(vocabulary.select("term").distinct(), runs["gram"] == F.col("term")).select("query_id", "term").distinct()
 
 
+#: Vocabularies up to this number of terms are run over texts as one automaton, larger ones are joined to their token runs.
+MOST_AUTOMATON_TERMS = 200_000
+
+
+def text_terms(texts: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, term: vocabulary terms (term) that stand in whole texts as whole words, each once. The vocabulary is sent to the tasks as
+    one automaton that reads a text's tokens once, whatever the number of terms; nothing is shuffled. Null texts have no terms."""
+    said = F.concat(F.lit(" "), F.array_join(T.tokens(F.coalesce(F.col(text_col), F.lit(""))), " "), F.lit(" "))
+    known = vocabulary.select("term").where("term != ''").distinct()
+    if known.count() > MOST_AUTOMATON_TERMS:
+        return exact_terms(texts.select(F.col(id_col).alias("query_id"), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens")), known).withColumnRenamed("query_id", id_col)
+    sent = texts.sparkSession.sparkContext.broadcast([r.term for r in known.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for term in sent.value:
+            found.add_word(f" {term} ", term)
+        if not len(found):
+            return
+        found.make_automaton()
+        for b in batches:
+            at, terms = [], []
+            for k, text in enumerate(b.column(1)):
+                own = sorted({t for _, t in found.iter(text.as_py())})
+                at += [k] * len(own)
+                terms += own
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string())], names=[id_col, "term"])
+
+    return texts.select(id_col, said.alias("_said")).mapInArrow(run, f"`{id_col}` {texts.schema[id_col].dataType.simpleString()}, term string")
+
+
 def ngrams(queries: DataFrame, sizes: tuple[int, int]) -> DataFrame:
     """query_id, start (from 0), n, gram: runs of n tokens for each n of an inclusive range."""
     return runs_of(queries.select("query_id", "tokens", F.explode(F.sequence(F.lit(sizes[0]), F.lit(sizes[1]))).alias("n")))

@@ -264,6 +264,18 @@ def phrase_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.exact_terms(query_tokens(spark, sf_dir), spark.createDataFrame([(t,) for t in TERMS], "term string"))
 
 
+@query(
+    rf"""WITH {_TOKENS}, voc AS (SELECT DISTINCT unnest([array_to_string(tokens[1:2], ' '), array_to_string(tokens[3:5], ' '), tokens[6]]) AS term FROM tk WHERE len(tokens) >= 6),
+td AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zà-ÿ]+'), ' ') || ' ' AS said FROM documents)
+SELECT doc_id, term FROM td JOIN voc ON contains(said, ' ' || term || ' ')"""
+)
+def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of benchmark items, two, three and one at a time, in all documents."""
+    words = query_tokens(spark, sf_dir).where(F.size("tokens") >= 6)
+    term = F.explode(F.array(F.array_join(F.slice("tokens", 1, 2), " "), F.array_join(F.slice("tokens", 3, 3), " "), F.col("tokens")[5]))
+    return Q.text_terms(docs(spark, sf_dir), words.select(term.alias("term")).distinct())
+
+
 @query(
     f"""WITH {_VOCAB}, {_TOKENS}, fam AS (SELECT * FROM (VALUES (0, 'the', 0), (0, 'of the', 1), (0, 'is the', 2), (1, 'und', 0), (1, 'der die', 1), (1, 'the', 2), (2, 'la', 0), (2, 'de la', 1)) f(family, term, place)),
 m AS (SELECT DISTINCT query_id, term FROM tk, vocab WHERE contains(' ' || array_to_string(tokens, ' ') || ' ', ' ' || term || ' ')),

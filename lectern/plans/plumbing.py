@@ -197,6 +197,24 @@ def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def shared_words() -> R.Scorer:
+    """A stand-in for a cross-encoder: how many of the query's words a text has."""
+    return lambda queries, texts: [0.25 * len(set(q.lower().split(" ")) & set(t.lower().split(" "))) - 2 for q, t in zip(queries, texts, strict=True)]
+
+
+@query(
+    f"""WITH {C._BM25}, sw AS (SELECT b.query_id, chunk_id, b.rank AS before, 0.25 * len(list_intersect(list_distinct(string_split(lower(coalesce(q.text, '')), ' ')), list_distinct(string_split(lower(coalesce(d.text, '')), ' ')))) - 2 AS logit
+  FROM bm25 b JOIN documents d ON chunk_id = doc_id JOIN benchmark q ON b.query_id = q.item_id)
+SELECT query_id, chunk_id, round(1 / (1 + exp(-CAST(logit AS DOUBLE))), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY logit DESC, before) AS INTEGER) AS rank FROM sw"""
+)
+def rerank_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical lists in the order of a model that reads query and text, as tasks load it."""
+    said = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    out = R.rerank_by(C.lexical_lists(spark, sf_dir).drop("score").join(said, "query_id").join(texts, "chunk_id"), shared_words)
+    return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {C._BM25} SELECT query_id, chunk_id, score, rank FROM bm25")
 def stored_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical lists from the stored index, to which the documents came in two batches; some of the first came with other texts and were replaced."""

@@ -107,3 +107,16 @@ def test_very_long_words_cost_nothing(spark):
     got = Q.corrections(spark.createDataFrame([(w,) for w in asked], "word string"), manual, language).collect()
     assert [(r.word, r.corrected) for r in got] == [("stampnate", "stampante")]
     assert Q.corrections(spark.createDataFrame([(long[:50_000] + "z" + long[50_001:],)], "word string"), manual, language).first().corrected == long
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_terms_of_whole_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(Q, "MOST_AUTOMATON_TERMS", most)
+    rng = random.Random(4)
+    words = ["ab", "a", "b", "ba", "è1"]
+    texts = [(k, " ".join(rng.choices(words, k=rng.randint(0, 60))).upper() + "!") for k in range(60)] + [(61, None), (62, ""), (63, "ab " * 200_000)]
+    terms = sorted({" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(40)})
+    got = sorted((r.doc_id, r.term) for r in Q.text_terms(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(t,) for t in [*terms, terms[0]]], "term string")).collect())
+    said = {k: " " + " ".join((t or "").lower().rstrip("!").split()) + " " for k, t in texts}
+    assert got == sorted((k, t) for k, s in said.items() for t in terms if f" {t} " in s)
+    assert Q.text_terms(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([], "term string")).count() == 0

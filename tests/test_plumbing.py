@@ -174,3 +174,25 @@ def test_ingest_with_figures_and_reading_order(spark, tmp_path):
     assert images == {"i0": (1, "v1"), "i1": (1, "v1"), "i2": (2, "v1"), "i3": (3, "v1"), "i4": (3, "v1")}
     manuals = {r.doc_id: (r.n_pages, r.n_chunks, r.model, r.source_path == str(tmp_path / "pages")) for r in spark.read.parquet(str(tmp_path / "store/manuals")).collect()}
     assert manuals == {"m": (3, 3, "X", True), "n": (2, 2, "X", True)}
+
+
+def test_rerank_by_a_model(spark):
+    rows = [(1, c, r, "two words", t) for c, r, t in ((10, 1, "none"), (11, 2, "two of the words"), (12, 3, "two"), (13, 4, None))] + [(2, 20, 1, "broken", "a"), (2, 21, 2, "broken", "b b b"), (3, 30, 1, None, "x")]
+    df = spark.createDataFrame(rows, "query_id long, chunk_id long, rank int, query string, text string").repartition(3)
+
+    def load():
+        def score(queries, texts):
+            if "broken" in queries:
+                raise RuntimeError("no such query")
+            return [float(len(set(q.split()) & set(t.split()))) for q, t in zip(queries, texts, strict=True)]
+
+        return score
+
+    got = {(r.query_id, r.chunk_id): (r.rank, r.score) for r in R.rerank_by(df, load, 1).collect()}
+    assert [got[1, c][0] for c in (11, 12, 10, 13)] == [1, 2, 3, 4] and abs(got[1, 13][1] - 0.5) < 1e-9
+    assert got[2, 20] == (1, None) and got[2, 21] == (2, None) and got[3, 30][0] == 1
+
+    def missing():
+        raise OSError("no model here")
+
+    assert {(r.query_id, r.chunk_id): r.rank for r in R.rerank_by(df, missing).collect()} == {(r[0], r[1]): r[2] for r in rows}
