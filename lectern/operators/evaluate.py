@@ -111,3 +111,28 @@ def typos(words: DataFrame) -> DataFrame:
         F.struct(F.lit("replace").alias("kind"), F.concat(part(F.lit(1), at - 1), F.lit("e"), part(at + 1, n)).alias("typo")),
     )
     return words.where(n >= 5).select("word", F.inline(forms)).where("typo != word")
+
+
+def term_typos(terms: DataFrame) -> DataFrame:
+    """term, typo: of each term (term) of two or three words those with one of its words of 5 letters or more mistyped as in typos()."""
+    words = terms.select("term", F.split("term", " ").alias("w")).distinct().where(F.size("w").between(2, 3))
+    each = words.select("term", "w", F.posexplode("w").alias("k", "word"))
+    wrong = typos(each.select("word").distinct()).select("word", F.col("typo").alias("_typo"))
+    said = F.array_join(F.transform("w", lambda x, i: F.when(i == F.col("k"), F.col("_typo")).otherwise(x)), " ")
+    return each.join(wrong, "word").select("term", said.alias("typo")).distinct()
+
+
+def calibrate(matched: DataFrame, typed: DataFrame, windows: DataFrame, limits: list[float]) -> DataFrame:
+    """limit, n_typos, recovered, rewritten, rewritten_guarded: at each threshold, how many typos (term, typo) that correct text
+    (windows: gram) doesn't hold find their term again, and how many windows of correct text would be rewritten as another term,
+    by the threshold alone and with the guard against function words. matched (gram, term, ratio, promotes): the best term of
+    each window and typo, at the least threshold and without the guard."""
+    best = matched.select("gram", F.col("term").alias("found"), "ratio", "promotes")
+    typo = typed.join(windows.select(F.col("gram").alias("typo")).distinct(), "typo", "left_anti").join(best, F.col("typo") == F.col("gram"), "left")
+    typo = typo.select(F.lit(1).alias("typo"), F.when((F.col("found") == F.col("term")) & ~F.col("promotes"), F.col("ratio")).alias("ratio"), F.lit(False).alias("promotes"))
+    text = windows.select("gram").distinct().join(best, "gram").where("found != gram").select(F.lit(0).alias("typo"), "ratio", "promotes")
+    each = typo.unionByName(text).groupBy("typo", "ratio", "promotes").agg(F.count(F.lit(1)).alias("n"))  # few distinct ratios
+    each = each.withColumn("limit", F.explode(F.array(*[F.lit(float(x)) for x in limits])))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    is_typo, reached = F.col("typo") == 1, F.coalesce(F.col("ratio") >= F.col("limit"), F.lit(False))
+    return each.groupBy("limit").agg(total(is_typo).alias("n_typos"), total(is_typo & reached).alias("recovered"), total(~is_typo & reached).alias("rewritten"), total(~is_typo & reached & ~F.col("promotes")).alias("rewritten_guarded"))

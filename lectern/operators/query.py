@@ -146,13 +146,14 @@ def most_edits(size: Column, other: Column, threshold: float) -> Column:
     return d - F.pmod(d - F.abs(size - other), F.lit(2))
 
 
-def best_matches(windows: DataFrame, vocabulary: DataFrame, threshold: float = SETTINGS.fuzzy_threshold) -> DataFrame:
+def best_matches(windows: DataFrame, vocabulary: DataFrame, threshold: float = SETTINGS.fuzzy_threshold, guard: bool = True) -> DataFrame:
     """The best vocabulary term for each distinct window (gram, n), at a ratio of `threshold` or more: gram, term, ratio.
 
     Terms have as many words as the window. A ratio leaves two texts of given lengths e insertions and deletions, so of e + 1 segments
     of the term one stands in the window as it is, no further from its place than the edits ahead of it and behind it allow: pairs
     meet by equality of segments, some four letters at the usual threshold. No pair at the threshold is lost. Letters are counted
-    before the ratio is taken. Ties go to the term that comes first. A window whose best term would promote a function word has none."""
+    before the ratio is taken. Ties go to the term that comes first. A window whose best term would promote a function word has none,
+    unless guard is off."""
     v = vocabulary.select("term", F.size(F.split("term", " ")).alias("n"), F.length("term").alias("size")).distinct().where("size > 0")
     v = v.withColumns({"v": letter_signature(F.col("term")), "places": F.when(F.col("size") <= fuzzy.MOST_BITS, fuzzy.letter_places(F.col("term")))})
     w = windows.select("gram", "n").where(F.length("gram") >= K.LEAST_WINDOW_CHARS).distinct().withColumn("w", letter_signature(F.col("gram")))
@@ -181,7 +182,8 @@ def best_matches(windows: DataFrame, vocabulary: DataFrame, threshold: float = S
     lcs = F.when(F.col("places").isNotNull(), fuzzy.lcs_by_bits(F.col("gram"), F.col("term"), F.col("places"))).otherwise(fuzzy.lcs_length(F.col("gram"), F.col("term")))
     pairs = both.where(near).withColumn("ratio", 200.0 * lcs / (F.length("gram") + F.length("term"))).where(F.col("ratio") >= threshold)
     best = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("gram").orderBy(F.desc("ratio"), "term"))).where("_k = 1")
-    return best.where(~promotes_function_word(F.col("gram"), F.col("term"))).select("gram", "term", "ratio")
+    best = best.where(~promotes_function_word(F.col("gram"), F.col("term"))) if guard else best
+    return best.select("gram", "term", "ratio")
 
 
 def greedy(candidates: DataFrame) -> DataFrame:

@@ -648,6 +648,26 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sweep(pairs, [float(x) for x in range(70, 100, 2)])
 
 
+#: The thresholds that are tried.
+LIMITS = [70.0, 75.0, 80.0, 82.0, 84.0, 85.0, 86.0, 87.0, 88.0, 89.0, 90.0, 91.0, 92.0, 93.0, 95.0]
+
+
+def calibration(tokens: DataFrame) -> DataFrame:
+    """The sweep of 15 thresholds for texts (query_id, tokens), with their first two and first three words as terms."""
+    windows = Q.ngrams(tokens, K.WINDOW_WORDS).select("gram", "n").distinct()
+    terms = tokens.select(F.explode(F.array(F.array_join(F.slice("tokens", 1, 2), " "), F.array_join(F.slice("tokens", 1, 3), " "))).alias("term")).where("term like '% %'").distinct()
+    typed = E.term_typos(terms)
+    asked = windows.unionByName(typed.select(F.col("typo").alias("gram"), F.size(F.split("typo", " ")).alias("n"))).distinct()
+    matched = Q.best_matches(asked, terms, min(LIMITS), guard=False)
+    return E.calibrate(matched.withColumn("promotes", Q.promotes_function_word(F.col("gram"), F.col("term"))), typed, windows, LIMITS)
+
+
+@query()
+def calibration_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held against a plain computation in the tests, as its SQL would hold every window against every term."""
+    return calibration(query_tokens(spark, sf_dir))
+
+
 @query()
 def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as pages, chunked, with figures for every third headed part; the size split is a recursive rule outside SQL, tested

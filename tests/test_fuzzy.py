@@ -120,3 +120,37 @@ def test_terms_of_whole_texts(spark, monkeypatch, most):
     said = {k: " " + " ".join((t or "").lower().rstrip("!").split()) + " " for k, t in texts}
     assert got == sorted((k, t) for k, s in said.items() for t in terms if f" {t} " in s)
     assert Q.text_terms(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([], "term string")).count() == 0
+
+
+def test_calibration_against_plain(spark):
+    from lectern.operators import evaluate as E
+    from lectern.plans import catalog
+
+    rng = random.Random(11)
+    words = ["storno", "stronzo", "carta", "cartaa", "dello", "della", "stampa", "stampe", "il", "la", "rotolo", "rotoli", sorted(K.FUNCTION_WORDS)[0]]
+    texts = [(k, rng.choices(words, k=rng.randint(0, 9))) for k in range(25)]
+    df = spark.createDataFrame(texts, "query_id long, tokens array<string>")
+    got = {r.limit: (r.n_typos, r.recovered, r.rewritten, r.rewritten_guarded) for r in catalog.calibration(df).collect()}
+    windows = {" ".join(t[a : a + n]) for _, t in texts for n in (2, 3) for a in range(len(t) - n + 1)}
+    terms = {" ".join(t[:n]) for _, t in texts for n in (2, 3)}
+    terms = {t for t in terms if " " in t}
+    mistyped = [(r.term, r.typo) for r in E.term_typos(spark.createDataFrame([(t,) for t in terms], "term string")).collect()]
+    one_word = {}
+    for r in E.typos(spark.createDataFrame([(w,) for w in words], "word string")).collect():
+        one_word.setdefault(r.word, set()).add(r.typo)
+    assert set(mistyped) == {(t, " ".join([*t.split()[:k], x, *t.split()[k + 1 :]])) for t in terms for k, w in enumerate(t.split()) for x in one_word.get(w, ())}
+
+    def best(gram):
+        near = [(-200.0 * lcs(gram, t) / (len(gram) + len(t)), t) for t in terms if t.count(" ") == gram.count(" ")]
+        if len(gram) < K.LEAST_WINDOW_CHARS or not near:
+            return 0.0, None, False
+        r, t = min(near)
+        return -r, t, any(a != b and a in K.FUNCTION_WORDS for a, b in zip(gram.split(), t.split(), strict=True))
+
+    typed = [(t, x) for t, x in mistyped if x not in windows]
+    for limit, (n, recovered, rewritten, guarded) in got.items():
+        assert n == len(typed)
+        assert recovered == sum(r >= limit and f == t and not p for t, (r, f, p) in ((t, best(x)) for t, x in typed))
+        wrong = [(r, p) for r, f, p, w in ((*best(w), w) for w in windows) if f is not None and f != w and r >= limit]
+        assert rewritten == len(wrong) and guarded == sum(not p for _, p in wrong)
+    assert sorted(got) == catalog.LIMITS and got[70.0][1] > got[95.0][1]
