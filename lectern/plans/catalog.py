@@ -201,14 +201,14 @@ def header_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.headers(pages(spark, sf_dir), r"[A-ZÀ-Ý]\S* .{3,60}[.]")
 
 
-_CARRY = """s AS (SELECT conv_id AS doc_id, CAST(turn // 2 AS INTEGER) AS page, CAST(turn % 2 AS INTEGER) AS seg, CASE WHEN role = 'system' OR length(text) % 3 = 0 THEN left(text, 20) END AS title, text AS body FROM conversations WHERE text IS NOT NULL),
+_CARRY = """s AS (SELECT conv_id AS doc_id, CAST(turn // 2 AS INTEGER) AS page, CAST(turn % 2 AS INTEGER) AS seg, CASE WHEN role = 'system' OR length(coalesce(text, '')) % 3 = 0 THEN left(coalesce(text, ''), 20) END AS title, coalesce(text, '') AS body FROM conversations),
 l AS (SELECT *, last_value(title IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM s)"""
 
 
 @query(f"WITH {_CARRY} SELECT doc_id, page, seg, CASE WHEN seg = 0 AND title IS NULL AND last IS NOT NULL THEN last ELSE title END AS title, seg = 0 AND title IS NULL AND last IS NOT NULL AS is_continuation FROM l")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when((F.col("role") == "system") | (F.length("text") % 3 == 0), F.substring("text", 1, 20))
-    s = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 2).cast("int").alias("page"), (F.col("turn") % 2).cast("int").alias("seg"), title.alias("title"), F.col("text").alias("body"))
+    s = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 2).cast("int").alias("page"), (F.col("turn") % 2).cast("int").alias("seg"), title.alias("title"), F.col("text").alias("body"))
     return I.carry_titles(s).select("doc_id", "page", "seg", "title", "is_continuation")
 
 

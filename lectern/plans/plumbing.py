@@ -22,17 +22,17 @@ from .catalog import docs, query, table
 _D = "d AS (SELECT *, coalesce(text, '') AS t FROM documents)"
 
 
-# documents as pages whose native text is cut short or missing, with what OCR read of them.
+# documents as pages whose native text is cut short or missing, with what OCR read of them: all, all but the beginning, or nothing.
 def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     return docs(spark, sf_dir).select(
         F.col("source").alias("doc_id"), n.alias("page"), F.when(n % 3 == 0, F.substring("text", 1, 25)).when(n % 3 == 1, F.substring("text", 1, 60)).alias("native"),
-        F.when(n % 4 == 0, F.substring("text", 1, 200)).when(n % 4 == 1, F.substring("text", 10, 300)).when(n % 4 == 2, "x").alias("ocr_text"), F.when(n % 5 == 0, "unavailable").alias("ocr_status"),
+        F.when(n % 4 == 0, F.col("text")).when(n % 4 == 1, F.substr(F.col("text"), F.lit(10))).when(n % 4 == 2, "x").alias("ocr_text"), F.when(n % 5 == 0, "unavailable").alias("ocr_status"),
     )
 
 
 _OCR = f"""{_D}, sp AS (SELECT source AS doc_id, doc_id AS page, CASE doc_id % 3 WHEN 0 THEN left(t, 25) WHEN 1 THEN left(t, 60) END AS native,
-  CASE doc_id % 4 WHEN 0 THEN left(t, 200) WHEN 1 THEN substr(t, 10, 300) WHEN 2 THEN 'x' END AS ocr, doc_id % 5 = 0 AS broken FROM d),
+  CASE doc_id % 4 WHEN 0 THEN t WHEN 1 THEN substr(t, 10) WHEN 2 THEN 'x' END AS ocr, doc_id % 5 = 0 AS broken FROM d),
 sq AS (SELECT *, trim(coalesce(native, '')) AS n, trim(coalesce(ocr, '')) AS o FROM sp),
 sr AS (SELECT *, length(n) < 40 AS ocr_attempted, length(n) < 40 AND NOT broken AND length(o) >= 20 AS ocr_used, length(n) < 40 AND broken AS ocr_failed, length(n) < 40 AND NOT broken AND length(o) < 20 AS ocr_empty FROM sq),
 oc AS (SELECT doc_id, page, ocr_attempted, ocr_used, ocr_failed, ocr_empty, CASE WHEN NOT ocr_used THEN coalesce(native, '') WHEN n <> '' AND NOT contains(o, n) THEN n || chr(10) || o ELSE o END AS text FROM sr)"""
@@ -122,18 +122,18 @@ def audit_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH o AS (SELECT p_brand AS doc_id, 'v' || (p_size % 4) AS version, p_partkey AS pos, p_name AS image_id FROM part),
 k AS (SELECT doc_id, version, pos, image_id FROM o WHERE version <> 'v1' OR doc_id NOT IN (SELECT doc_id FROM o WHERE version = 'v2') UNION ALL SELECT doc_id, 'v1', pos, image_id || ' II' FROM o WHERE version = 'v2')
-SELECT * FROM k WHERE doc_id IN (SELECT min(p_brand) FROM part UNION ALL SELECT max(p_brand) FROM part)"""
+SELECT * FROM k"""
 )
 def version_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The store written by document and version, one version of all documents replaced, two documents read."""
+    """The store written by document and version, one version of all documents replaced, all read: one by itself, the others as a whole."""
     path = scratch.scratch_path(spark, "store")
     p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.concat(F.lit("v"), (F.col("p_size") % 4).cast("string")).alias("version"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("image_id"))
     S.write_versions(p, path)
     new = p.where("version = 'v2'").select("doc_id", F.lit("v1").alias("version"), "pos", F.concat("image_id", F.lit(" II")).alias("image_id"))
     S.write_versions(new, path)
     # Documents that have no row of the new version keep the old one, as only partitions that are written are replaced.
-    least, most = p.agg(F.min("doc_id"), F.max("doc_id")).first()
-    both = S.read_versions(spark, path, least).unionByName(S.read_versions(spark, path, most))
+    one = p.agg(F.min("doc_id")).first()[0]
+    both = S.read_versions(spark, path, one).unionByName(S.read_versions(spark, path).where(F.col("doc_id") != one))
     return both.select("doc_id", "version", "pos", "image_id")
 
 
