@@ -34,14 +34,15 @@ def run(spark: SparkSession, source: str, out: str, version: str, manual_column:
     n_rows = given.count()
     LOG.info("read %d pages from %s", n_rows, source)
     pages = I.numbered_pages(given, "_order")
-    repeated = I.boilerplate(pages, boilerplate_share)
+    placed = given.where("_order is not null")
+    repeated = I.boilerplate(placed, boilerplate_share)
     sections = I.carry_titles(I.headers(I.strip_lines(pages, repeated), header)).withColumn("version", F.lit(version))
     # Small manuals share tasks and a large one is split; a manual gets few files.
     S.write_versions(sections.select("page", "seg", "title", "body", "is_continuation", "doc_id", "version").hint("rebalance", "doc_id"), f"{out}/sections")
 
     done = read_sections(spark, out).where(F.col("version") == version)
     told = done.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.count("title").alias("n_titles"))
-    record = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages")).join(repeated.groupBy(F.col("doc_id").alias("_d")).agg(F.count(F.lit(1)).alias("n_boilerplate_lines")), F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+    record = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages")).join(repeated.groupBy(F.col("doc_id").alias("_d")).agg(F.count(F.lit(1)).alias("n_boilerplate_lines")), F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
     record = record.join(told.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(
         F.col("n_pages"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_sections", "n_titles", "n_boilerplate_lines")], "doc_id", F.lit(version).alias("version")
     )

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -64,20 +64,35 @@ def lines_of(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
 
 
+#: Recurring lines up to this number are sent to where the pages are.
+MOST_BROADCAST_LINES = 200_000
+
+
 def boilerplate(pages: DataFrame, share: float = SETTINGS.boilerplate_share, most_chars: int = SETTINGS.boilerplate_chars) -> DataFrame:
-    """doc_id, line: trimmed lines of limited length that stand on more than a share of their document's pages."""
+    """doc_id, line: trimmed lines of limited length that stand on more than a share of their document's pages (doc_id, text; a page in a
+    row). A page tells each line once."""
     n = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
-    each = lines_of(pages).select("doc_id", "page", F.trim("line").alias("line")).where((F.col("line") != "") & (F.length("line") <= most_chars)).distinct()
-    return each.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n")).join(n, "doc_id").where(F.col("n") > share * F.col("n_pages")).select("doc_id", "line")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) <= most_chars))
+    each = pages.select("doc_id", F.explode(F.array_distinct(lines)).alias("line"))
+    found = each.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n")).join(n, "doc_id").where(F.col("n") > share * F.col("n_pages")).select("doc_id", "line")
+    shared_dir(pages.sparkSession)
+    return found.checkpoint()  # few lines, which are used several times
 
 
 def strip_lines(pages: DataFrame, repeated: DataFrame) -> DataFrame:
-    """pages without boilerplate lines and lone page numbers (one off either way): doc_id, page, text, trimmed at both ends."""
-    each = lines_of(pages).withColumn("t", F.trim("line"))
-    number = F.when(F.col("t").rlike("^[0-9]{1,9}$"), F.col("t").cast("int"))
-    kept = each.join(repeated.select("doc_id", F.col("line").alias("t")), ["doc_id", "t"], "left_anti").where(number.isNull() | ~number.between(F.col("page") - 1, F.col("page") + 1))
-    text = kept.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return pages.select("doc_id", "page").join(text, ["doc_id", "page"], "left").select("doc_id", "page", F.trim(F.coalesce("text", F.lit("")), F.lit(" \n\t\r")).alias("text"))
+    """pages (doc_id, page, text; a page in a row) without boilerplate lines and lone page numbers (one off either way): doc_id, page, text, trimmed at both ends.
+    Lines are not taken from their page."""
+    gone = repeated.groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))  # a share of pages leaves a document few of them
+    gone = F.broadcast(gone) if repeated.count() <= MOST_BROADCAST_LINES else gone
+    out = pages.select("doc_id", "page", "text").join(gone, "doc_id", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<string>")))
+
+    def stays(line: Column) -> Column:
+        t = F.trim(line)
+        number = F.when(t.rlike("^[0-9]{1,9}$"), t.cast("int"))
+        return ~F.array_contains(F.col("_gone"), t) & F.coalesce(~number.between(F.col("page") - 1, F.col("page") + 1), F.lit(True))
+
+    text = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), stays), "\n")
+    return out.select("doc_id", "page", F.trim(text, F.lit(" \n\t\r")).alias("text"))
 
 
 def merge_ocr(pages: DataFrame) -> DataFrame:
@@ -93,18 +108,25 @@ def merge_ocr(pages: DataFrame) -> DataFrame:
 
 def headers(pages: DataFrame, pattern: str = K.SECTION_HEADER) -> DataFrame:
     """doc_id, page, seg (from 0), title (null for text ahead of the first header), body: trimmed, empty bodies left out; a page
-    where nothing is left is one untitled segment.
+    where nothing is left is one untitled segment. pages have a page in a row, which is cut where it is.
 
     A header is a line that matches the pattern as a whole; a body runs up to the next header."""
-    full = f"^(?:{pattern})$"
-    each = lines_of(pages).withColumn("head", F.col("line").rlike(full))
-    order = Window.partitionBy("doc_id", "page").orderBy("pos")
-    each = each.withColumn("k", F.sum(F.col("head").cast("int")).over(order))
-    parts = each.groupBy("doc_id", "page", "k").agg(F.min(F.when(F.col("head"), F.trim("line"))).alias("title"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("body"))
-    parts = parts.withColumn("body", F.trim(F.col("body"), F.lit(" \n\t\r"))).where("body != ''")
-    parts = parts.withColumn("seg", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("k")) - 1).select("doc_id", "page", "seg", "title", "body")
-    bare = pages.join(parts, ["doc_id", "page"], "left_anti").select("doc_id", "page", F.lit(0).alias("seg"), F.lit(None).cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("body"))
-    return parts.unionByName(bare)
+    # As a generator's output a column is made once, where it would else be made again for each use in a lambda.
+    once = lambda df, name, c: df.select("*", F.inline(F.array(F.struct(c.alias(name)))))
+    out = once(pages.select("doc_id", "page", "text"), "_text", F.coalesce("text", F.lit(""))).drop("text")
+    out = once(out, "_lines", F.split("_text", "\n"))
+    out = once(out, "_at", F.filter(F.transform("_lines", lambda x, k: F.when(x.rlike(f"^(?:{pattern})$"), k)), lambda k: k.isNotNull()))
+
+    def part(k: Column) -> Column:
+        begin = F.when(k > 0, F.get("_at", k - 1) + 1).otherwise(0)
+        end = F.coalesce(F.get("_at", k), F.size("_lines"))
+        body = F.trim(F.array_join(F.slice("_lines", begin + 1, end - begin), "\n"), F.lit(" \n\t\r"))
+        return F.struct(F.when(k > 0, F.trim(F.get("_lines", begin - 1))).alias("title"), body.alias("body"))
+
+    parts = F.filter(F.transform(F.sequence(F.lit(0), F.size("_at")), part), lambda x: x["body"] != "")
+    bare = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.col("_text").alias("body")))
+    out = once(out, "_parts", parts).withColumn("_parts", F.when(F.size("_parts") > 0, F.col("_parts")).otherwise(bare))
+    return out.select("doc_id", "page", F.posexplode("_parts").alias("seg", "_p")).select("doc_id", "page", "seg", "_p.title", "_p.body")
 
 
 def carry_titles(segments: DataFrame) -> DataFrame:

@@ -320,3 +320,15 @@ def test_audit_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n, r.n_fallback) for r in spark.table("rates").collect()] == [(1, 1)]
+
+
+def test_pages_are_cut_where_they_are(spark):
+    """Neither lines nor segments of a page go over the network, and a page without a manual keeps its text."""
+    p = spark.createDataFrame([*MANUAL, (None, 1, "Alone\n1.1 Titolo della pagina\nTesto")], "doc_id string, page int, text string")
+    heads = I.headers(p)
+    assert "Exchange" not in heads._jdf.queryExecution().executedPlan().toString()
+    assert [(r.seg, r.body) for r in heads.where("doc_id is null").orderBy("seg").collect()] == [(0, "Alone"), (1, "Testo")]
+    repeated = spark.createDataFrame([("d", "Cassa RCH")], "doc_id string, line string")
+    out = I.strip_lines(p, repeated)
+    assert "hashpartitioning(page" not in out._jdf.queryExecution().executedPlan().toString() and "hashpartitioning(doc_id#" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc_id, r.page): r.text for r in out.collect()}[None, 1] == "Alone\n1.1 Titolo della pagina\nTesto"
