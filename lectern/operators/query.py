@@ -12,7 +12,7 @@ from .. import constants as K
 from ..functions import fuzzy
 from ..functions import text as T
 from ..settings import SETTINGS
-from ..sources.scratch import shared_dir
+from ..sources.scratch import scratch_path, shared_dir
 
 
 def synonyms(spark: SparkSession) -> DataFrame:
@@ -140,6 +140,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, made once and read again from a folder that all share, whose size plans can go by."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def most_edits(size: Column, other: Column, threshold: float) -> Column:
     """Insertions and deletions that a ratio of `threshold` leaves two texts of these lengths; as odd or even as their difference is."""
     d = F.floor((1 - threshold / 100) * (size + other) + 1e-9).cast("int")
@@ -209,6 +216,8 @@ def expansion(terms: DataFrame, families: DataFrame) -> DataFrame:
 
 #: Words of more letters meet by segments, shorter ones by forms with letters deleted.
 MOST_DELETED_FROM = 20
+#: Up to this number of forms of the asked words, some 20 MB, they are sent to the vocabulary's tasks; more are shuffled with its forms.
+MOST_SENT_FORMS = 200_000
 #: Two edits break four segments at most, as each swap has a letter in two.
 SEGMENTS = 5
 
@@ -218,20 +227,32 @@ def corrections(tokens: DataFrame, manual: DataFrame, language: DataFrame) -> Da
     1 edit (up to 6 letters) or 2, by frequency, or one of the language that is strictly nearer. Words under 5 letters or with
     a digit stay as they are and don't appear, nor do words with nothing near.
 
-    Candidates are found by equality joins that lose none: words of up to MOST_DELETED_FROM letters share a form with at most two
-    letters deleted, longer ones one of their five segments. Vocabulary words whose length no asked word is near to take no part.
-    The exact distance, with swaps as one edit, is computed on what that finds. All in the JVM."""
-    unknown = tokens.select("word").distinct().where((F.length("word") >= K.LEAST_CORRECTED_CHARS) & ~T.has_digit(F.col("word")))
-    unknown = unknown.join(manual.select("word"), "word", "left_anti").join(language.select("word"), "word", "left_anti")
-    limit = F.when(F.length("word") <= K.SHORT_WORD_CHARS, K.EDITS_SHORT).otherwise(K.EDITS_LONG)
+    Candidates are found by equality joins that lose none: words of up to MOST_DELETED_FROM letters share a form with at most as many
+    letters deleted as they may have edits, longer ones one of their five segments. Vocabularies are made once and written, without words
+    whose length no asked word is near to; each word of them is looked at once. The exact distance, with swaps as one edit, is computed on
+    what that finds. All in the JVM."""
+    told = tokens.select("word").distinct().where((F.length("word") >= K.LEAST_CORRECTED_CHARS) & ~T.has_digit(F.col("word")))
+    told = written(told, "asked-words")
+    near_to = F.explode(F.sequence(F.length("word") - K.EDITS_LONG, F.length("word") + K.EDITS_LONG))
+    lengths = told.select(near_to.alias("to_size")).distinct()  # as many rows as there are lengths of words
     vocab = manual.select(F.col("word").alias("to"), F.col("freq").cast("double").alias("freq"), F.lit(0).alias("list")).unionByName(language.select(F.col("word").alias("to"), F.col("freq").cast("double").alias("freq"), F.lit(1).alias("list")))
-    asked = unknown.select("word", limit.alias("limit"), F.length("word").alias("size"), letter_signature(F.col("word")).alias("ws"))
-    lengths = asked.select("size").distinct()  # as many rows as there are lengths of words
-    fits = vocab.withColumn("to_size", F.length("to")).join(F.broadcast(lengths.select(F.explode(F.sequence(F.col("size") - K.EDITS_LONG, F.col("size") + K.EDITS_LONG)).alias("to_size")).distinct()), "to_size")
-    fits = fits.withColumn("ts", letter_signature(F.col("to")))
-    short = asked.where(F.col("size") <= MOST_DELETED_FROM).withColumn("form", F.explode(deletions(F.col("word"), K.EDITS_LONG)))
-    forms = fits.where(F.col("to_size") <= MOST_DELETED_FROM + K.EDITS_LONG).withColumn("form", F.explode(deletions(F.col("to"), K.EDITS_LONG)))
-    pairs = short.join(forms, "form").select("word", "limit", "ws", "to", "freq", "list", "ts").unionByName(segment_pairs(asked.where(F.col("size") > MOST_DELETED_FROM), fits))
+    fits = written(vocab.withColumn("to_size", F.length("to")).join(F.broadcast(lengths), "to_size"), "vocabulary")
+    # Of a vocabulary only what is asked for is looked for, so that the larger side stays where it is.
+    known = fits.select(F.col("to").alias("word")).join(told, "word", "left_semi")
+    limit = F.when(F.length("word") <= K.SHORT_WORD_CHARS, K.EDITS_SHORT).otherwise(K.EDITS_LONG)
+    asked = told.join(known, "word", "left_anti").select("word", limit.alias("limit"), F.length("word").alias("size"), letter_signature(F.col("word")).alias("ws"))
+    asked = written(asked, "unknown-words")
+    short = asked.where(F.col("size") <= MOST_DELETED_FROM)
+    forms = deletions(short.where(F.col("limit") == K.EDITS_SHORT), "word", K.EDITS_SHORT).unionByName(deletions(short.where(F.col("limit") > K.EDITS_SHORT), "word", K.EDITS_LONG)).distinct()
+    few = K.SHORT_WORD_CHARS + 1 - K.EDITS_LONG  # words with fewer letters are near to words with one edit only
+    sizes = short.select(F.explode(F.sequence(F.col("size") - F.col("limit"), F.col("size") + F.col("limit"))).alias("to_size")).distinct()
+    own = fits.join(F.broadcast(sizes), "to_size")
+    own = deletions(own.where(F.col("to_size") < few), "to", K.EDITS_SHORT).unionByName(deletions(own.where(F.col("to_size") >= few), "to", K.EDITS_LONG))
+    forms = written(forms, "forms")
+    forms = F.broadcast(forms) if forms.count() <= MOST_SENT_FORMS else forms
+    pairs = own.join(forms, "form").where(F.abs(F.col("size") - F.col("to_size")) <= F.col("limit")).withColumn("ts", letter_signature(F.col("to")))
+    columns = ["word", "limit", "ws", "to", "freq", "list", "ts"]
+    pairs = pairs.select(*columns).unionByName(segment_pairs(asked.where(F.col("size") > MOST_DELETED_FROM), fits.where(F.col("to_size") > MOST_DELETED_FROM - K.EDITS_LONG).withColumn("ts", letter_signature(F.col("to")))))
     pairs = pairs.distinct().where(F.abs(F.length("word") - F.length("to")) <= F.col("limit"))
     # As a generator the distance is taken once, where a filter's and a column's would be taken twice.
     near = pairs.withColumn("plain", F.when(F.length("word") <= 3 * MOST_DELETED_FROM, F.levenshtein("word", "to"))).where("plain is null or plain <= 2 * limit")
@@ -264,13 +285,15 @@ def segment_pairs(asked: DataFrame, vocab: DataFrame) -> DataFrame:
     return cut.join(at, ["size", "k", "part"]).select("word", "limit", "ws", "to", "freq", "list", "ts")
 
 
-def deletions(word: Column, edits: int) -> Column:
-    """A word and all its forms with up to `edits` letters deleted; as many as a power of its length, so for words of bounded length."""
-    one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
-    out = F.array(word)
+def deletions(words: DataFrame, column: str, edits: int) -> DataFrame:
+    """words with form: a row for each word with up to `edits` letters deleted, from left to right; the same form may come twice. As many as
+    a power of the word's length, so for words of bounded length."""
+    out = words.withColumns({"form": F.col(column), "_from": F.lit(0)})
     for _ in range(edits):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(F.filter(out, lambda w: F.length(w) > 1), one))))
-    return out
+        # The place behind the last letter deletes nothing, and ends the word's turn.
+        out = out.withColumn("_at", F.explode(F.sequence("_from", F.length("form"))))
+        out = out.withColumn("form", F.concat(F.substr("form", F.lit(1), F.col("_at")), F.substr("form", F.col("_at") + 2))).withColumn("_from", F.col("_at"))
+    return out.drop("_from", "_at")
 
 
 def correct(queries: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -292,7 +315,7 @@ def normalise(queries: DataFrame, families: DataFrame, manual: DataFrame, langua
     model."""
     q = queries.withColumn("tokens", T.tokens(F.col("text")))
     fixes = corrections(q.select(F.explode("tokens").alias("word")), manual, language)
-    q = correct(q, fixes)
+    q = written(correct(q, fixes), "corrected")  # many parts below go by it
     now = q.select("query_id", T.tokens(F.col("corrected")).alias("tokens"))
     vocabulary = families.select("term")
     exact = exact_terms(now, vocabulary).select("query_id", F.lit(0).alias("kind"), F.lit(0).alias("n"), F.lit(0).alias("start"), "term")

@@ -154,3 +154,19 @@ def test_calibration_against_plain(spark):
         wrong = [(r, p) for r, f, p, w in ((*best(w), w) for w in windows) if f is not None and f != w and r >= limit]
         assert rewritten == len(wrong) and guarded == sum(not p for _, p in wrong)
     assert sorted(got) == catalog.LIMITS and got[70.0][1] > got[95.0][1]
+
+
+def test_vocabularies_are_made_once(spark):
+    """However many parts of the normalisation go by the corrected text, a vocabulary's rows are made one time."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    words = frame([("sostituzione", 3), ("rotolo", 5), ("stampante", 2), ("carta", 9)], "word string, freq long").mapInArrow(counted, "word string, freq long")
+    queries = frame([(1, "rololo di crata nella stampnate"), (2, None)], "query_id long, text string")
+    out = Q.normalise(queries, Q.synonyms(spark), words, frame([("nella", 1.0)], "word string, freq double"), frame([("E60",)], "code string"), Q.indexed_models(frame([("SRC-1", 1)], "model string, pos long")))
+    assert {r.query_id: r.corrected for r in out.collect()} == {1: "rotolo di carta nella stampante", 2: None} and made.value == 4
