@@ -357,7 +357,7 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = spark.conf.get(ST.PROVIDER, None)
     try:
         for part in (F.col("turn") < 2, F.col("turn").between(2, 3), F.col("turn") > 3):
-            t.where(part).coalesce(1).write.mode("append").parquet(path)
+            t.where(part).write.mode("append").parquet(path)
             turns = spark.readStream.schema(ST.TURNS).parquet(path)
             out = streamed(spark, ST.pending_questions(turns).select("session", "turn", "pending", "query"), "sessions", state)
     finally:

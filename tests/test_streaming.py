@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lectern.streaming import sessions as ST
@@ -43,6 +44,37 @@ def test_pending_is_forgotten(spark, tmp_path, store):
     assert got["a", 2] == (None, "the X20")
 
 
+class Slot:
+    """A slot of state that counts its uses, each of which is a call to the JVM."""
+
+    def __init__(self, value):
+        self.value, self.uses = value, 0
+
+    def exists(self):
+        self.uses += 1
+        return self.value is not None
+
+    def get(self):
+        self.uses += 1
+        return self.value
+
+    def update(self, value):
+        self.uses, self.value = self.uses + 1, value
+
+    def clear(self):
+        self.uses, self.value = self.uses + 1, None
+
+
+def test_the_slot_is_used_as_little_as_can_be():
+    big = 2**53 + 1
+    turns = [Row(session="a", turn=None, text="last", asks=False), Row(session="a", turn=big, text="so", asks=True), Row(session="a", turn=1, text="the X20", asks=False)]
+    for held, rows, uses, left in ((None, turns, 1, None), (("Which?",), turns, 2, None), (None, turns[1:], 2, ("so",))):
+        p = ST.Pending(None)
+        p.slot = Slot(held)
+        got = [(r.turn, r.pending) for r in p.handleInputRows(("a",), iter(rows), None)]
+        assert got == [(1, held and held[0]), (big, None), (None, "so")][: len(rows)] and (p.slot.uses, p.slot.value) == (uses, left)
+
+
 def test_percentiles_of_a_stream(spark, tmp_path):
     rng = np.random.default_rng(1)
     values = {0: rng.permutation(20_000), 1: rng.integers(0, 50, 900), 2: np.array([7]), 9: np.array([1])}
