@@ -253,7 +253,8 @@ def corrections(tokens: DataFrame, manual: DataFrame, language: DataFrame) -> Da
     pairs = own.join(forms, "form").where(F.abs(F.col("size") - F.col("to_size")) <= F.col("limit")).withColumn("ts", letter_signature(F.col("to")))
     columns = ["word", "limit", "ws", "to", "freq", "list", "ts"]
     pairs = pairs.select(*columns).unionByName(segment_pairs(asked.where(F.col("size") > MOST_DELETED_FROM), fits.where(F.col("to_size") > MOST_DELETED_FROM - K.EDITS_LONG).withColumn("ts", letter_signature(F.col("to")))))
-    pairs = pairs.distinct().where(F.abs(F.length("word") - F.length("to")) <= F.col("limit"))
+    # Written, as distances are long expressions, of which the driver would keep a copy for each step of a long plan.
+    pairs = written(pairs.distinct().where(F.abs(F.length("word") - F.length("to")) <= F.col("limit")), "pairs")
     # As a generator the distance is taken once, where a filter's and a column's would be taken twice.
     near = pairs.withColumn("plain", F.when(F.length("word") <= 3 * MOST_DELETED_FROM, F.levenshtein("word", "to"))).where("plain is null or plain <= 2 * limit")
     near = near.select("word", "to", "freq", "list", F.explode(F.filter(F.array(edits()), lambda d: d <= F.col("limit"))).alias("d"))
@@ -314,13 +315,13 @@ def normalise(queries: DataFrame, families: DataFrame, manual: DataFrame, langua
     fuzzy ones in window order), error_codes, expanded (corrected text, families' terms and codes, joined by " | "), firmware,
     model."""
     q = queries.withColumn("tokens", T.tokens(F.col("text")))
-    fixes = corrections(q.select(F.explode("tokens").alias("word")), manual, language)
+    fixes = written(corrections(q.select(F.explode("tokens").alias("word")), manual, language), "fixes")
     q = written(correct(q, fixes), "corrected")  # many parts below go by it
     now = q.select("query_id", T.tokens(F.col("corrected")).alias("tokens"))
     vocabulary = families.select("term")
     exact = exact_terms(now, vocabulary).select("query_id", F.lit(0).alias("kind"), F.lit(0).alias("n"), F.lit(0).alias("start"), "term")
     windows = ngrams(now, K.WINDOW_WORDS)
-    found = greedy(windows.join(best_matches(windows, vocabulary), "gram").select("query_id", "start", "n", "term"))
+    found = written(greedy(windows.join(best_matches(windows, vocabulary), "gram").select("query_id", "start", "n", "term")), "fuzzy-terms")
     fuzzy_ = found.select("query_id", F.lit(1).alias("kind"), (-F.col("n")).alias("n"), "start", "term")
     listed = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("kind", "n", "start", "term"))), lambda x: x["term"]))
     matched = exact.unionByName(fuzzy_)
