@@ -12,7 +12,8 @@ Layout under the store's folder (Parquet): store/kind=chunk (key, payload), stor
 index (recipes in order: segment, pos, doc_id, ahead, n_tokens, root, digests, lens) and manifest (segment, start, n_tokens,
 n_docs, root).
 
-Words recur, so encodings of white-space-separated words are kept in a bounded cache; that gives the ids of encoding the
+Words recur, so texts are split into white-space-separated words some megabytes at a time, by Arrow, each distinct word is looked up
+once, and encodings of words are kept in a bounded cache; that gives the ids of encoding the
 whole text where no pre-token, added token or normalisation step of the vocabulary reaches across ASCII white space, which is
 read from its configuration (tested against the library); other vocabularies encode whole texts. Only digests travel for joins when reading back; the checksum of a document is put together
 from those of its chunks, since CRC-32 is linear.
@@ -20,6 +21,7 @@ from those of its chunks, since CRC-32 is linear.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import os
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, hold, mix64, new_path, slices
+from .common import as_bytes, batched, hold, mix64, new_path
 
 END_ID = 1
 DIGEST = 16
@@ -54,19 +56,20 @@ class Encoder(dict):
     """Ids of a text as the tokenizers library gives them; a bounded cache from words (bytes) to packed ids.
 
     In vocabularies built like word_bpe_49k.json (see `lowers`) no token reaches across ASCII white space, so words are encoded one
-    by one: a word of Latin letters with at most one common mark after it is one or two pre-tokens, which go straight to the
+    by one: a word of Latin letters with ASCII marks after it is one or two pre-tokens, which go straight to the
     library's model; any other word goes through the library as a whole. With any other vocabulary each text goes through
     the library whole.
     """
 
     MOST = 800_000
-    #: Letters up to U+024F that lower and normalise one by one, then a mark.
-    PLAIN = re.compile("([a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)")
-    #: Visible ASCII, less what special tokens and contractions begin with, and its pre-tokens.
+    #: Letters up to U+024F that lower and normalise one by one.
+    LETTERS = re.compile("[a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+    #: Visible ASCII, less what special tokens and contractions begin with, its pre-tokens, and what of it is neither letter nor digit.
     PRINTABLE, PIECES = re.compile(rb"[!-&(-;=-~]+"), re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+    MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum() and x not in b"'<")
     #: Fixed value: the pre-tokens of such a vocabulary, which leave white space out.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    SYMBOLS = _byte_symbols()
+    SYMBOLS = "".join(_byte_symbols()[b] for b in range(256))
 
     def __init__(self, path: str):
         super().__init__()
@@ -81,11 +84,13 @@ class Encoder(dict):
         self.special = [t["content"].encode() for t in config["added_tokens"]]
         names = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
         splits = [x["type"] for x in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        # What encoding by words and PLAIN rely on.
+        # What encoding by words and LETTERS rely on.
         self.lowers = names == ["NFC", "Replace", "Lowercase"] and splits == ["Split", "ByteLevel"] and config["model"]["type"] == "BPE" and not config["post_processor"]
         if self.lowers:
             split, as_bytes_ = config["pre_tokenizer"]["pretokenizers"]
             self.lowers = split["pattern"].get("Regex") == self.SPLIT and split["behavior"] == "Removed" and split["invert"] and not as_bytes_["add_prefix_space"] and not as_bytes_["use_regex"]
+        if self.lowers:
+            self.packed = [k.to_bytes(self.width, "little") for k in range(max(self.tokenizer.get_vocab().values()) + 1)]
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -96,27 +101,23 @@ class Encoder(dict):
 
     def _model(self, piece: str) -> bytes:
         if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(self.SYMBOLS)
-        return array(self.kind, [t.id for t in self.model.tokenize(piece)]).tobytes()
+            piece = codecs.charmap_decode(piece.encode(), "strict", self.SYMBOLS)[0]
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(piece)])
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.MOST:
             self.clear()
-        if word.isalpha():  # ASCII letters alone
-            out = self[word] = array(self.kind, [t.id for t in self.model.tokenize(word.decode().lower())]).tobytes()
-            return out
-        if self.PRINTABLE.fullmatch(word):
+        letters = word.rstrip(self.MARKS)
+        if letters.isalpha():  # ASCII letters alone
+            out = self._model(letters.decode().lower()) if len(letters) == len(word) else self[letters] + self[word[len(letters) :]]
+        elif not letters or self.PRINTABLE.fullmatch(word):
             parts = self.PIECES.findall(word)
-            out = self[word] = b"".join([self[x] for x in parts]) if len(parts) > 1 else self._model(word.decode())
-            return out
-        text = word.decode("utf-8", "replace")
-        m = self.PLAIN.fullmatch(text)
-        if m is None:
-            out = array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        elif m[2]:
-            out = self[m[1].encode()] + self[m[2].encode()] if len(text) > 1 else self._model(text)
+            out = b"".join([self[x] for x in parts]) if len(parts) > 1 else self._model(word.decode())
+        elif self.LETTERS.fullmatch(text := letters.decode("utf-8", "replace")):
+            out = self._model(text.lower()) if len(letters) == len(word) else self[letters] + self[word[len(letters) :]]
         else:
-            out = self._model(m[1].lower())
+            out = array(self.kind, self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
         self[word] = out
         return out
 
@@ -124,28 +125,37 @@ class Encoder(dict):
         """Little-endian ids of `width` bytes each, for each text."""
         if not self.lowers:
             return [array(self.kind, self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes() for t in texts]
-        get, out = self.__getitem__, []
-        for t in texts:
-            # A-Z is lowered ahead of the cache as the vocabulary lowers all the same, but not where a special token may be spelled out.
-            if not any(x in t.lower() for x in self.special):
-                t = t.lower()
-            out.append(b"".join(map(get, t.split())))
-        return out
+        # A-Z is lowered ahead of the cache as the vocabulary lowers all the same, but not where a special token may be spelled out.
+        lowered = [t if any(x in low for x in self.special) else low for t, low in zip(texts, map(bytes.lower, texts), strict=True)]
+        ends = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(t) for t in lowered], out=ends[1:])
+        whole = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(b"".join(lowered)))
+        words = pc.ascii_split_whitespace(whole)
+        each = words.flatten().dictionary_encode()
+        # Each distinct word is looked up once, then its ids are put where it stands.
+        distinct = each.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False)
+        ids = pa.array([self[w] for w in distinct], pa.large_binary()).take(each.indices)
+        _, places, data = ids.buffers()
+        at = np.frombuffer(places, np.int64, len(ids) + 1)[words.offsets.to_numpy()].tolist()
+        return [data[a:z].to_pybytes() for a, z in zip(at, at[1:], strict=False)]
 
 
 _MIXED_IDS = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
-def _marks(ids: np.ndarray, window: int, mean: int) -> np.ndarray:
+def _marks(ids: np.ndarray, window: int, mean: int, at_once: int = 1 << 15) -> np.ndarray:
     """The ends of those runs of `window` ids whose hash says so, one in `mean`."""
-    if len(ids) < window:
-        return np.empty(0, np.int64)
-    x = _MIXED_IDS.take(ids) if ids.itemsize == 2 else mix64(ids.astype(np.uint64) + np.uint64(1))
-    h = np.zeros(len(ids) - window + 1, np.uint64)
-    for j in range(window):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += x[j : j + len(h)]
-    return np.flatnonzero(mix64(h) < np.uint64((1 << 64) // mean)) + window
+    base, found = 0x9E3779B97F4A7C15, [np.empty(0, np.int64)]
+    for a in range(0, len(ids) - window + 1, at_once):
+        part = ids[a : a + at_once + window - 1]
+        x = _MIXED_IDS.take(part) if ids.itemsize == 2 else mix64(part.astype(np.uint64) + np.uint64(1))
+        h, n = x, 1  # of runs of n ids; two runs beside each other make one twice as long
+        for bit in bin(window)[3:]:
+            h, n = h[:-n] * np.uint64(pow(base, n, 1 << 64)) + h[n:], 2 * n
+            if bit == "1":
+                h, n = h[:-1] * np.uint64(base) + x[n:], n + 1
+        found.append(np.flatnonzero(mix64(h) < np.uint64((1 << 64) // mean)) + (a + window))
+    return np.concatenate(found)
 
 
 def cuts_of(streams: list[np.ndarray], window: int = 8, mean: int = 512, least: int = 128, most: int = 4096) -> list[list[int]]:
@@ -253,6 +263,17 @@ def crc_whole(shares_xor: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return shares_xor.astype(np.uint32) ^ _times(np.uint32(0xFFFFFFFF), _shift(n_bytes)) ^ np.uint32(0xFFFFFFFF)
 
 
+def portions(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of (identifier, text) in parts of bounded bytes of text; a longer text is a part by itself."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most_bytes, side="right")))
+            yield b.slice(a, z - a)
+            a = z
+
+
 def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> str:
     """Write the store of all rows and return its folder. Null text is empty (the end id alone); a null identifier sorts
     first; repeated rows are documents of their own and share their chunks. Other columns are ignored. Texts of any length are
@@ -266,7 +287,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
         seen: set[bytes] = set()
 
         def rows() -> Iterator[tuple]:
-            for batch in slices(batches):
+            for batch in portions(batches):
                 streams = [x + end for x in encoder.encode([t or b"" for t in as_bytes(batch.column(1))])]
                 arrays = [np.frombuffer(x, kind) for x in streams]
                 for doc, stream, ids, own in zip(batch.column(0).to_pylist(), streams, arrays, cuts_of(arrays), strict=True):

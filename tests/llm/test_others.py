@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,6 +365,53 @@ def test_encoder_and_cuts():
     assert len({x - 777 for x in moved} & set(c)) > 0.8 * len(c)
 
 
+def test_words_are_looked_up_once():
+    """Distinct words of the texts given together, whose marks are pre-tokens of their own; the library sees no word whole that is Latin letters and marks."""
+    from tokenizers import Tokenizer
+
+    path, asked, whole = queries.vocabulary(), [], []
+
+    class Counting(token_store.Encoder):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    e, t = Counting(path), Tokenizer.from_file(path)
+
+    class Library:
+        def encode(self, text, **kw):
+            whole.append(text)
+            return t.encode(text, **kw)
+
+    e.tokenizer = Library()
+    texts = ["the Stoß%%% "] * 500 + ["", " \t the\x0b\x0cthe\n", "ÜBER?! naïve###."]
+    assert [np.frombuffer(x, "<u2").tolist() for x in e.encode([x.encode() for x in texts])] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) < 30 and not whole
+    odd = ["a<b ü<", "ü's it's ñ'", "é,x ñ1 1ñ. ñ.ñ", "x\u0301, =\u0338 ,\u0338 ü\u0301!", "。, 、! ü。.", "...", "", "İ! ǅ?? ẞ."]
+    assert [np.frombuffer(x, "<u2").tolist() for x in e.encode([x.encode() for x in odd])] == [x.ids for x in t.encode_batch(odd, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 1 << 20])
+def test_portions(most):
+    texts = ["ab", None, "", "é" * 20, "abc", "d", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["d", "t"])
+    parts = list(token_store.portions(iter([batch, batch.slice(0, 0), batch.slice(2, 3)]), most))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts + texts[2:5]
+    assert all(p.num_rows and (p.num_rows == 1 or sum(len((x or "").encode()) for x in p.column(1).to_pylist()) <= most) for p in parts)
+
+
+def test_marks_do_not_depend_on_blocks():
+    ids = np.random.default_rng(3).integers(0, 40000, 5000).astype(np.uint16)
+    x = token_store.mix64(ids.astype(np.uint64) + np.uint64(1))
+    for window in (1, 2, 7, 8, 11):
+        h = np.zeros(len(x) - window + 1, np.uint64)
+        for j in range(window):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + x[j : j + len(h)]
+        want = np.flatnonzero(token_store.mix64(h) < np.uint64((1 << 64) // 16)) + window
+        assert len(want) > 100 and all(np.array_equal(want, token_store._marks(ids, window, 16, n)) for n in (1, 100, 4096, 1 << 15))
+        assert not len(token_store._marks(ids[: window - 1], window, 16))
+
+
 def test_checksum_of_parts():
     rng = random.Random(2)
     parts = [rng.randbytes(rng.randint(0, 300)) for _ in range(40)]
