@@ -124,6 +124,25 @@ def test_bytes(docs, odd, empty, rows, length):
     assert suffix_dedup.remove_repeated_bytes(empty).count() == 0
 
 
+def test_bytes_of_planted_passages(spark):
+    """Passages of 51 to 90 words in two documents each: found by n_removed if and only if they have 400 bytes; n_bytes, the input's length, tells nothing."""
+    rng = random.Random(8)
+    some = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(n))
+    texts, want = [], []
+    for n in range(51, 91):
+        passage = some(n)
+        shared = len(passage) + 2  # with the blanks around it; what stands next to these differs
+        for x in "xy":
+            texts.append(f"{some(rng.randint(20, 200))} {x} {passage} {x} {some(rng.randint(20, 200))}")
+            want.append(shared if shared >= 400 else 0)
+    texts += [some(rng.randint(1, 400)) for _ in range(40)]
+    want += [0] * 40
+    assert 20 < sum(x > 0 for x in want) < 70
+    out = suffix_dedup.remove_repeated_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in out.collect()}
+    assert found == {k: (len(t), n, int(n > 0)) for k, (t, n) in enumerate(zip(texts, want, strict=True))}
+
+
 def brute_components(rows, percent=75):
     sets = []
     for _, t, *_ in rows:
